@@ -22,9 +22,17 @@ def rule_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(_UNICODE + pattern), F.lit(group))
 
 
+# text every match of a rule must hold; a plain search skips the pattern on most texts
+_MARKS = {"email": "@", "url": "://"}
+_NONE = "array<string>"
+
+
 def typed_matches(text: Column, kind: str, pattern: str) -> Column:
     """Stripped, non-empty matches of one typed rule as (key, value, kind), in text order."""
-    values = F.filter(F.transform(rule_matches(text, pattern), tx.strip), lambda v: v != "")
+    found = rule_matches(text, pattern)
+    if dict(fv.FIELD_RULES).get(kind) == pattern and kind in _MARKS:
+        found = F.when(text.contains(_MARKS[kind]), found).otherwise(F.array().cast(_NONE))
+    values = F.filter(F.transform(found, tx.strip), lambda v: v != "")
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("key"), v.alias("value"), F.lit(kind).alias("kind")))
 
 
@@ -160,18 +168,26 @@ def array_type(values: Column) -> Column:
     return type_of(F.size(F.filter(cells, is_number_cell)), F.size(F.filter(cells, has_date)), F.size(cells))
 
 
-def cells_of(table_rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Long cells (table_id, row_index, col_index, col_name, value).
+def wide_rows(table_rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows with their header (table_id, row_index, cells, col_names).
 
     Short rows read as "" in the missing columns, long rows are cut to the header.
     """
     from quirefold.session import broadcast_if_small
 
     joined = table_rows.join(broadcast_if_small(headers.select("table_id", "col_names")), "table_id")
-    return joined.select("table_id", "row_index", "cells", F.posexplode("col_names").alias("col_index", "col_name")).select(
-        "table_id", "row_index", "col_index", "col_name",
-        F.coalesce(F.get("cells", F.col("col_index")), F.lit("")).alias("value"),
-    )
+    padded = F.transform("col_names", lambda _, i: F.coalesce(F.get("cells", i), F.lit("")))
+    return joined.select("table_id", "row_index", padded.alias("cells"), "col_names")
+
+
+def long_cells(wide: DataFrame) -> DataFrame:
+    """(table_id, row_index, col_index, col_name, value) from wide rows."""
+    return wide.select("table_id", "row_index", F.posexplode(F.arrays_zip("col_names", "cells")).alias("col_index", "c")).select(
+        "table_id", "row_index", "col_index", F.col("c.col_names").alias("col_name"), F.col("c.cells").alias("value"))
+
+
+def cells_of(table_rows: DataFrame, headers: DataFrame) -> DataFrame:
+    return long_cells(wide_rows(table_rows, headers))
 
 
 def infer_types(cells: DataFrame) -> DataFrame:

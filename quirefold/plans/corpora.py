@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.functions import text as tx
+from quirefold.session import spread
 
 TABLE_DOC_BASE = 1_000_000_000_000
 TABLE_SPECS = {
@@ -35,7 +35,7 @@ def money(c: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document texts as a catalogue; documents labelled low quality count as failed."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     failed = F.coalesce(F.col("quality") == 0, F.lit(False))
     title = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"))
@@ -57,7 +57,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents without the label join, for jobs that only need the texts."""
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("document_id"),
         F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("title"),
         F.col("lang").alias("file_type"),
@@ -67,7 +67,7 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, title, file_type, status, text): nine lines of text per order."""
-    orders = read(spark, sf_dir, "orders")
+    orders = spread(read(spark, sf_dir, "orders"))
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")

@@ -59,3 +59,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     which adaptive execution splits on skewed keys.
     """
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan of fewer files than cores before CPU-heavy row work.
+
+    On a large table the scan has far more splits than this and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
