@@ -50,11 +50,11 @@ def item_matches(text: Column) -> Column:
 
 
 def pair_source(text: Column) -> Column:
-    """Text without fenced code and without diagram or arrow lines."""
-    unfenced = F.regexp_replace(text, "(?s)" + fv.FENCE_PATTERN, " ")
+    """Lines that can hold a pair: outside fenced code, with a colon, no diagram or arrow line."""
+    unfenced = F.when(text.contains("```"), F.regexp_replace(text, "(?s)" + fv.FENCE_PATTERN, " ")).otherwise(text)
     kept = F.filter(
         tx.text_lines(unfenced),
-        lambda ln: ~ln.rlike("(?iU)" + fv.DIAGRAM_LINE_PATTERN) & ~ln.rlike(fv.ARROW_LINE_PATTERN),
+        lambda ln: ln.contains(":") & ~ln.rlike("(?iU)" + fv.DIAGRAM_LINE_PATTERN) & ~ln.rlike(fv.ARROW_LINE_PATTERN),
     )
     return F.array_join(kept, "\n")
 
@@ -63,8 +63,7 @@ def readable_pair(key: Column, value: Column) -> Column:
     """False for code-like or mostly-punctuation keys and values."""
     readable = F.length(F.regexp_replace(value, r"[^\p{L}\p{N}\s\x{85}\x{a0}]", ""))
     return (
-        ~key.rlike(fv.PAIR_NOISE_PATTERN)
-        & ~value.rlike(fv.PAIR_NOISE_PATTERN)
+        ~F.concat_ws("\n", key, value).rlike(fv.PAIR_NOISE_PATTERN)
         & value.rlike("[A-Za-z0-9]")
         & (readable >= F.length(value) * fv.PAIR_READABLE_SHARE)
     )

@@ -9,13 +9,14 @@ from quirefold.operators.chunk import chunk_prose
 from quirefold.plans import corpora
 from quirefold.plans import oracle_parts as op
 from quirefold.plans.registry import query
+from quirefold.session import materialize
 
 
 def library(spark, sf_dir):
     """documents, fields, tables and chunks of the invoice and table library."""
     inv = corpora.invoices(spark, sf_dir)
     docs = corpora.library_documents(spark, sf_dir)
-    fields = extract.extract_fields(inv)
+    fields = materialize(extract.extract_fields(inv), "fields")  # a stored library table
     rows = corpora.table_rows(spark, sf_dir)
     counts = rows.groupBy("table_id").agg(F.count("*").alias("row_count"))
     tables = corpora.table_headers(spark).join(counts, "table_id", "left").select(

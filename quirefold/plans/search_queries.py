@@ -321,11 +321,11 @@ SELECT array_to_string(pr.ts, ' ') AS phrase, t.chunk_id, count(*) AS tf FROM pr
 WHERE x.ts[t.pos + 2] = pr.ts[2] GROUP BY ALL""")
 def phrase_match(spark, sf_dir):
     """Every pair of neighbouring words of every passage as a phrase."""
-    post = keyword.build_postings(doc_chunks(spark, sf_dir), stem=False)
+    index = keyword.build_index(doc_chunks(spark, sf_dir), stem=False)
     words = corpora.passages(spark, sf_dir).select("query_id", tx.tokens(F.col("q")).alias("w"))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, 2))).alias("tokens"))
     phrases = pairs.withColumn("phrase", F.array_join("tokens", " "))
-    return keyword.phrase_matches(phrases, post).select("phrase", "chunk_id", "tf")
+    return keyword.phrase_matches(phrases, index).select("phrase", "chunk_id", "tf")
 
 
 def _filtered_queries(spark, sf_dir):

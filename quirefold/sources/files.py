@@ -13,8 +13,8 @@ from quirefold.sources.jsondocs import parse_json, walk_json
 from quirefold.sources.parsed import failed
 from quirefold.sources.plain import parse_text
 
-# type -> (parser of the decoded text column); add a format by adding an entry
-PARSERS = {"txt": parse_text, "md": parse_text, "csv": parse_delimited, "html": parse_html, "htm": parse_html}
+# parser of the decoded text column -> file types; add a format by adding an entry
+PARSERS = {parse_text: ["txt", "md"], parse_delimited: ["csv"], parse_html: ["html", "htm"]}
 BOM_STRIPPED = ["csv", "json", "html", "htm"]
 
 
@@ -55,8 +55,8 @@ def parse(docs: DataFrame, parsers=None) -> DataFrame:
     staged = docs.withColumn("_text", decode(F.col("content"), kind))
     staged = staged.withColumn("_json", walk_json(F.when(kind == "json", F.col("_text"))))
     parsed = F.when(kind == "json", parse_json(F.col("_text"), F.col("_json")))
-    for file_type, parser in parsers.items():
-        parsed = parsed.when(kind == file_type, parser(F.col("_text")))
+    for parser, types in parsers.items():
+        parsed = parsed.when(kind.isin(*types), parser(F.col("_text")))
     parsed = parsed.otherwise(failed(F.concat(F.lit("unsupported file type: "), kind)))
     return staged.withColumn("_p", parsed).select(*docs.columns, "_p.blocks", "_p.tables", "_p.warnings", "_p.error")
 

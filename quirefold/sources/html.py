@@ -1,7 +1,7 @@
 """HTML pages: visible text as one prose block, every table as a grid. JVM expressions only.
 
-Tables nested up to three deep are read as tables of their own; deeper ones are text of
-the cell that holds them.
+A table nested in a table is read as a table of its own; deeper ones are text of the cell
+that holds them.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ TAG = r"<[/!?a-zA-Z][^>]*>"
 _JUNK = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-MAX_NESTING = 3
+MAX_NESTING = 2
+
+
+# entity name -> character from the standard table of names, as one foldable expression
+_NAMES = "\u0001".join(f"{name}\u0002{chr(code)}" for name, code in sorted(name2codepoint.items()))
 
 
 def _named() -> Column:
-    """Entity name -> character, from the standard table of names."""
-    pairs = [F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))]
-    return F.create_map(*pairs)
+    return F.str_to_map(F.lit(_NAMES), F.lit("\u0001"), F.lit("\u0002"))
 
 
 def _character(entity: Column) -> Column:
@@ -39,8 +41,9 @@ def _character(entity: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Entities as characters; the ampersand is restored last so nothing is decoded twice."""
     bodies = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)))
-    known = F.filter(F.transform(bodies, lambda e: F.struct((_character(e) == "&").alias("last"), e.alias("e"), _character(e).alias("c"))), lambda p: p["c"].isNotNull())
-    decoded = F.aggregate(F.array_sort(known), text, lambda acc, p: F.replace(acc, F.concat(F.lit("&"), p["e"], F.lit(";")), p["c"]))
+    known = F.filter(F.transform(bodies, lambda e: F.struct(_character(e).alias("c"), e.alias("e"))), lambda p: p["c"].isNotNull())
+    ordered = F.array_sort(F.transform(known, lambda p: F.struct((p["c"] == "&").alias("last"), p["e"].alias("e"), p["c"].alias("c"))))
+    decoded = F.aggregate(ordered, text, lambda acc, p: F.replace(acc, F.concat(F.lit("&"), p["e"], F.lit(";")), p["c"]))
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
