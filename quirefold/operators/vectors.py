@@ -130,9 +130,9 @@ def _knn_resident(queries: DataFrame, vectors: DataFrame, k: int, key: str) -> D
 def _knn_grid(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_blocks: int, vector_blocks: int) -> DataFrame:
     """Block grid for many queries: each cell pairs one bounded block of queries with one of vectors."""
     qs = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).cast("long"))
+        "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vector_blocks - 1).cast("long"))))
     vs = vectors.select(F.col(key).cast("long").alias(key), "embedding", F.pmod(F.xxhash64(key), F.lit(vector_blocks)).alias("vb")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
