@@ -36,11 +36,16 @@ def typed_matches(text: Column, kind: str, pattern: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("key"), v.alias("value"), F.lit(kind).alias("kind")))
 
 
+# A name is a stretch of these characters, so it can only begin where such a run begins or
+# where the last item ended. Saying so keeps the search linear in the text.
+_ITEM_START = r"(?:\G|(?<![A-Za-z0-9 \-]))[0-9 \-]*+"
+
+
 def item_matches(text: Column) -> Column:
     """Line items: name, quantity marker and price, as (name, "×quantity · price", item)."""
     pattern = _UNICODE + fv.LINE_ITEM_PATTERN
     return F.transform(
-        rule_matches(text, fv.LINE_ITEM_PATTERN),
+        rule_matches(text, f"{_ITEM_START}({fv.LINE_ITEM_PATTERN})", 1),
         lambda m: F.struct(
             tx.strip(F.regexp_extract(m, pattern, 1)).alias("key"),
             F.concat(F.lit("×"), F.regexp_extract(m, pattern, 2), F.lit(" · "), F.regexp_extract(m, pattern, 3)).alias("value"),

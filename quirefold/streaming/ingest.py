@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.operators import admission, ingest
 from quirefold.operators.library import Library
-from quirefold.session import materialize
+from quirefold.session import materialize, spread
 
 
 def ingest_batch(library: Library, batch: DataFrame, batch_id: int, snapshot_to: str | None = None, max_mb: int | None = None) -> None:
@@ -18,7 +18,7 @@ def ingest_batch(library: Library, batch: DataFrame, batch_id: int, snapshot_to:
     admitted, _ = admission.admit(batch) if max_mb is None else admission.admit(batch, max_mb)
     known = library.read("documents", before_batch=batch_id).select("document_id", "content_hash") if library.exists() else None
     fresh = materialize(admission.new_documents(admitted, known), "fresh")
-    library.write_batch(batch_id, ingest.ingest(fresh))
+    library.write_batch(batch_id, ingest.ingest(spread(fresh)))
     if snapshot_to:
         library.snapshot(snapshot_to, batch_id)
 
