@@ -43,7 +43,8 @@ class Library:
             if table in frames:
                 owned = self._owned(frames[table])
                 bucket = F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
-                out = owned.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(*owned.columns[:1]), F.lit(8)))
+                # rebalance gathers small buckets and splits a bucket that one hot document fills
+                out = owned.withColumn("bucket", bucket).hint("rebalance", "bucket")
                 out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/batch_id={batch_id}")
 
     def exists(self) -> bool:

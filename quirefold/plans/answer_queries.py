@@ -12,6 +12,7 @@ from quirefold.plans import oracle_parts as op
 from quirefold.plans.library_queries import library
 from quirefold.plans.registry import query
 from quirefold.plans.search_queries import CHUNKS, HYB, QTERMS, TOKENS, doc_chunks, search_index
+from quirefold.session import broadcast_if_small, materialize
 
 
 def _any(x: str, cues) -> str:
@@ -288,9 +289,7 @@ def judgements(spark, sf_dir):
     words = docs.select("document_id", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= run)
     runs = words.select("document_id", F.explode(tx.let(F.col("w"), lambda w: F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.size(w) - run + 1), lambda i: F.array_join(F.slice(w, i, run), " "))))).alias("run"))
-    from quirefold.session import broadcast_if_small
-
-    pairs = runs.join(broadcast_if_small(probe), "run").select("query_id", "q", "document_id").distinct()
+    pairs = materialize(runs.join(broadcast_if_small(probe), "run").select("query_id", "q", "document_id").distinct(), "pairs")
     return docs.select("document_id", "text").join(broadcast_if_small(pairs), "document_id").filter(
         F.col("text").contains(F.col("q"))).select("query_id", "document_id")
 
@@ -331,8 +330,6 @@ def mrr(spark, sf_dir):
 
 @query("eval_by_mode", EV + "SELECT mode, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM ev GROUP BY mode")
 def eval_by_mode(spark, sf_dir):
-    from quirefold.session import materialize
-
     judged = materialize(judgements(spark, sf_dir), "judgements")
     out = evaluation.by_mode(corpora.passages(spark, sf_dir), _runs(spark, sf_dir), judged)
     return out.select("mode", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
