@@ -36,6 +36,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def numbered(df, columns, array, pos: str, item: str):
+    """``columns`` and one row per element of ``array`` with its position.
+
+    The optimizer puts a size check of the array below a plain explode and so computes a costly
+    array again for the check; the outer form has no such check, and empty arrays are dropped here.
+    """
+    return df.select(*columns, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(fv.SPACE_CHARACTERS))
 

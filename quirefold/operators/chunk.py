@@ -96,7 +96,7 @@ def chunk_prose(docs: DataFrame, heading: Column | None = None, rate: TokenRate
     header = context_header(F.col("title"), F.lit(None).cast("string") if heading is None else heading)
     staged = docs.select("document_id", header.alias("_h"), tx.words(F.col("text")).alias("_w"))
     pieces = prose_pieces(F.col("_w"), prose_window(F.col("_h"), rate, max_tokens), overlap)
-    return _finish(staged.select("document_id", F.lit(None).cast("string").alias("location"), "_h", F.posexplode(pieces).alias("seq", "text")))
+    return _finish(tx.numbered(staged, ["document_id", F.lit(None).cast("string").alias("location"), "_h"], pieces, "seq", "text"))
 
 
 def chunk_documents(parsed: DataFrame, rate: TokenRate = DEFAULT_RATE, overlap: int = fv.OVERLAP_WORDS,
@@ -132,7 +132,7 @@ def chunk_documents(parsed: DataFrame, rate: TokenRate = DEFAULT_RATE, overlap:
         F.when(b["is_table"], table_pieces(b, runs)).otherwise(prose_pieces(b["words"], prose_window(b["h"], rate, max_tokens), overlap)),
         lambda t: F.struct(b["h"].alias("h"), b["location"].alias("location"), t.alias("text")),
     )))
-    exploded = staged.select("document_id", F.posexplode(pieces).alias("seq", "p"))
+    exploded = tx.numbered(staged, ["document_id"], pieces, "seq", "p")
     return _finish(exploded.select("document_id", "seq", F.col("p.location").alias("location"), F.col("p.h").alias("_h"), F.col("p.text").alias("text")))
 
 

@@ -133,7 +133,7 @@ def with_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: int
 
 def explode_fields(docs: DataFrame) -> DataFrame:
     """(field_id, document_id, key, value, kind) from rows that carry ``fields``."""
-    return docs.select("document_id", F.posexplode("fields").alias("pos", "f")).select(
+    return tx.numbered(docs, ["document_id"], F.col("fields"), "pos", "f").select(
         (F.col("document_id") * FIELD_ID_SPAN + F.col("pos")).alias("field_id"),
         "document_id", F.col("f.key").alias("key"), F.col("f.value").alias("value"), F.col("f.kind").alias("kind"),
     )
@@ -146,7 +146,7 @@ def extract_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: i
 def extract_kind(docs: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
     """Every match of one typed rule (document_id, pos, value), before de-duplication."""
     pattern = dict(fv.FIELD_RULES)[kind]
-    return docs.select("document_id", F.posexplode(typed_matches(F.col(text_col), kind, pattern)).alias("pos", "f")).select(
+    return tx.numbered(docs, ["document_id"], typed_matches(F.col(text_col), kind, pattern), "pos", "f").select(
         "document_id", "pos", F.col("f.value").alias("value")
     )
 

@@ -13,7 +13,7 @@ from quirefold.plans import oracle_parts as op
 from quirefold.plans.library_queries import library as library_frames
 from quirefold.plans.registry import query
 from quirefold.plans.search_queries import CHUNKS, doc_chunks
-from quirefold.session import scratch_path
+from quirefold.session import scratch_path, spread
 from quirefold.sources import delimited, files, html, jsondocs, plain
 from quirefold.streaming import ingest as streaming
 
@@ -97,7 +97,7 @@ t AS (SELECT page_id, {op.strip(_entities("regexp_extract(h, '(?is)<title>(.*?)<
         regexp_split_to_array({_entities("regexp_replace(h, '<[/!?a-zA-Z][^>]*>', '', 'g')")}, '\\n') AS ls FROM c)
 SELECT page_id AS document_id, heading, array_to_string(list_filter(list_transform(ls, lambda x: {op.strip('x')}), lambda x: x <> ''), chr(10)) AS text FROM t""")
 def html_text(spark, sf_dir):
-    pages = corpora.read(spark, sf_dir, "pages").select(F.col("page_id").alias("document_id"), html.parse_html(F.col("html"))["blocks"].alias("blocks"))
+    pages = spread(corpora.read(spark, sf_dir, "pages")).select(F.col("page_id").alias("document_id"), html.parse_html(F.col("html"))["blocks"].alias("blocks"))
     return files.blocks_of(pages).filter("kind = 'prose'").select("document_id", "heading", "text")
 
 
@@ -119,7 +119,7 @@ def html_tables(spark, sf_dir):
 def mixed_files(spark, sf_dir):
     """Files of four formats from four tables, with ids that do not collide."""
     def rows(name, key, offset, ext, text):
-        df = corpora.read(spark, sf_dir, name)
+        df = spread(corpora.read(spark, sf_dir, name))
         title = F.concat(F.lit(name + "_"), F.col(key).cast("string"))
         return df.select((F.col(key) * 4 + offset).alias("document_id"), F.concat(title, F.lit("." + ext)).alias("filename"), title.alias("title"), F.encode(text, "UTF-8").alias("content"))
 
@@ -200,8 +200,8 @@ def catalog_append(spark, sf_dir):
 
 
 @query("structured_sink", op.with_(op.INV, op.INV_FIELDS, op.TAB) + """
-SELECT 'fields' AS name, kind AS part, count(*) AS n, sum(field_id % 1000) AS checksum FROM inv_fields GROUP BY kind
-UNION ALL SELECT 'table_rows', CAST(table_id AS VARCHAR), count(*), sum(row_index % 1000) FROM tab_rows GROUP BY table_id
+SELECT 'fields' AS name, kind AS part, count(*) AS n, CAST(sum(field_id % 1000) AS BIGINT) AS checksum FROM inv_fields GROUP BY kind
+UNION ALL SELECT 'table_rows', CAST(table_id AS VARCHAR), count(*), CAST(sum(row_index % 1000) AS BIGINT) FROM tab_rows GROUP BY table_id
 UNION ALL SELECT 'tables', CAST(table_id AS VARCHAR), count(*), 0 FROM tab_names GROUP BY table_id""")
 def structured_sink(spark, sf_dir):
     lib = library.Library(spark, scratch_path(spark, "library"), 8)
@@ -257,7 +257,7 @@ def recover_partial(spark, sf_dir):
 
 
 @query("snapshot_roundtrip", op.with_(op.INV, op.INV_FIELDS) + """
-SELECT document_id, count(*) AS n_fields, sum(field_id % 1024) AS checksum FROM inv_fields WHERE document_id % 2 = 1 GROUP BY document_id""")
+SELECT document_id, count(*) AS n_fields, CAST(sum(field_id % 1024) AS BIGINT) AS checksum FROM inv_fields WHERE document_id % 2 = 1 GROUP BY document_id""")
 def snapshot_roundtrip(spark, sf_dir):
     """Store, delete the even documents, snapshot, restore elsewhere, read the fields."""
     lib = library.Library(spark, scratch_path(spark, "library"), 8)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
+from quirefold.functions import text as tx
 from quirefold.operators import admission
 from quirefold.sources.delimited import parse_delimited
 from quirefold.sources.html import parse_html
@@ -63,7 +64,7 @@ def parse(docs: DataFrame, parsers=None) -> DataFrame:
 
 def blocks_of(parsed: DataFrame) -> DataFrame:
     """(document_id, block_no, text, kind, location, heading)."""
-    return parsed.select("document_id", F.posexplode("blocks").alias("block_no", "b")).select("document_id", "block_no", "b.*")
+    return tx.numbered(parsed, ["document_id"], F.col("blocks"), "block_no", "b").select("document_id", "block_no", "b.*")
 
 
 def is_supported(file_type: Column) -> Column:

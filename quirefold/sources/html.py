@@ -40,11 +40,15 @@ def _character(entity: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Entities as characters; the ampersand is restored last so nothing is decoded twice."""
-    bodies = F.array_distinct(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)))
-    known = F.filter(F.transform(bodies, lambda e: F.struct(_character(e).alias("c"), e.alias("e"))), lambda p: p["c"].isNotNull())
-    ordered = F.array_sort(F.transform(known, lambda p: F.struct((p["c"] == "&").alias("last"), p["e"].alias("e"), p["c"].alias("c"))))
-    decoded = F.aggregate(ordered, text, lambda acc, p: F.replace(acc, F.concat(F.lit("&"), p["e"], F.lit(";")), p["c"]))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        bodies = F.array_distinct(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1)))
+        known = F.filter(F.transform(bodies, lambda e: F.struct(_character(e).alias("c"), e.alias("e"))), lambda p: p["c"].isNotNull())
+        ordered = F.array_sort(F.transform(known, lambda p: F.struct((p["c"] == "&").alias("last"), p["e"].alias("e"), p["c"].alias("c"))))
+        decoded = F.aggregate(ordered, t, lambda acc, p: F.replace(acc, F.concat(F.lit("&"), p["e"], F.lit(";")), p["c"]))
+        return F.when(t.contains("&"), decoded).otherwise(t)
+
+    return tx.let(text, decode)
 
 
 def without_tags(html: Column) -> Column:
@@ -111,8 +115,8 @@ def visible_text(outside: Column) -> Column:
 
 
 def page_title(clean: Column) -> Column:
-    raw = F.regexp_extract(clean, _TITLE, 1)
-    return F.when(raw != "", tx.strip(unescape(raw)))
+    raw = F.when(clean.rlike(r"(?i)<title\b"), F.regexp_extract(clean, _TITLE, 1))
+    return tx.let(raw, lambda r: F.when(r != "", tx.strip(unescape(r))))
 
 
 def clean_html(html: Column) -> Column:
