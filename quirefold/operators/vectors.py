@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +44,13 @@ def embed_passages(chunks: DataFrame, dim: int = 8) -> DataFrame:
 
 def embed_with(make_model, text: Column) -> Column:
     """Model seam: ``make_model()`` runs once per Python worker and returns texts -> vectors."""
-    import pandas as pd
 
-    def batches(texts):
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_model()
         for batch in texts:
             yield pd.Series([list(map(float, v)) for v in model(batch.tolist())])
 
-    return F.pandas_udf(batches, "array<float>", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(batches, "array<float>")(text)
 
 
 def cosine(a: Column, b: Column) -> Column:
