@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, simhash
+from quirefold.llm import decontaminate, quality, simhash
 from quirefold.llm.oracles import OP2
 from quirefold.llm.common import table
 
@@ -38,3 +38,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
     )
+
+
+@query("op9_quality_discriminant")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
