@@ -28,3 +28,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
+
+_TRIM = "trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT rid, doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS ln FROM d),
+nb AS (SELECT rid, doc_id, ln, {_TRIM} AS l, len(regexp_split_to_array({_TRIM}, '\s+')) AS w,
+              row_number() OVER (PARTITION BY rid ORDER BY ln) AS idx
+       FROM raw WHERE {_TRIM} <> ''),
+cum AS (SELECT *, sum(w) OVER (PARTITION BY rid ORDER BY idx) AS e FROM nb),
+docs AS (SELECT rid, doc_id, list(l ORDER BY idx) AS ls, list(e ORDER BY idx) AS es, list(w ORDER BY idx) AS ws FROM cum GROUP BY ALL),
+ends AS (SELECT a.rid, a.idx AS i, min(b.idx) AS j FROM cum a JOIN cum b ON a.rid = b.rid AND b.e - (a.e - a.w) >= 50 AND b.idx >= a.idx GROUP BY ALL
+         UNION
+         SELECT b.rid, max(a.idx), b.idx FROM cum a JOIN cum b ON a.rid = b.rid AND b.e - (a.e - a.w) >= 50 AND b.idx >= a.idx GROUP BY b.rid, b.idx),
+runs AS (SELECT ends.rid, doc_id, i, j, array_to_string(ls[i:j], chr(10)) AS run FROM ends JOIN docs USING (rid)),
+firsts AS (SELECT run, min(struct_pack(a := doc_id, b := i)) AS f FROM runs GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(i, j)) AS idx FROM runs JOIN firsts USING (run) WHERE struct_pack(a := doc_id, b := i) <> f),
+lns AS (SELECT nb.rid, nb.ln FROM nb JOIN gone USING (rid, idx)),
+kept AS (SELECT raw.rid, string_agg(raw.l, chr(10) ORDER BY raw.ln) AS t FROM raw ANTI JOIN lns ON raw.rid = lns.rid AND raw.ln = lns.ln GROUP BY raw.rid),
+n AS (SELECT rid, count(*) AS k FROM lns GROUP BY rid), a AS (SELECT rid, count(*) AS k FROM nb GROUP BY rid)
+SELECT doc_id, CAST(coalesce(a.k, 0) AS BIGINT) AS n_lines, CAST(coalesce(n.k, 0) AS BIGINT) AS n_deleted,
+       CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text
+FROM d LEFT JOIN n USING (rid) LEFT JOIN a USING (rid) LEFT JOIN kept USING (rid)
+"""
