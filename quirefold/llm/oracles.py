@@ -52,3 +52,12 @@ SELECT doc_id, CAST(coalesce(a.k, 0) AS BIGINT) AS n_lines, CAST(coalesce(n.k, 0
        CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text
 FROM d LEFT JOIN n USING (rid) LEFT JOIN a USING (rid) LEFT JOIN kept USING (rid)
 """
+
+OP5 = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN generate_series(1, len(q.v))]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

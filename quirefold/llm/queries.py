@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, linededup, packing, quality, simhash
-from quirefold.llm.oracles import OP2, OP10
+from quirefold.llm import decontaminate, linededup, packing, quality, simhash, topk
+from quirefold.llm.oracles import OP2, OP5, OP10
 from quirefold.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +42,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_threshold_top_k", OP5)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
