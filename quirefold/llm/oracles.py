@@ -61,3 +61,18 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([q.v[i] * c
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_BIT = "CAST(substr(bits, 5 * i + {k}, 1) AS INTEGER) * {v}"
+_FIVE = " + ".join(_BIT.format(k=k + 1, v=16 >> k) for k in range(5))
+
+OP8 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, b, CAST(CAST(unhex(sha1(b)) AS BIT) AS VARCHAR) AS bits FROM p),
+d AS (SELECT page_id, payload_bytes, b,
+             array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1) FOR i IN generate_series(0, 31)], '') AS payload_digest FROM h),
+k AS (SELECT b, max(page_id) AS keeper FROM d GROUP BY b)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM d JOIN k USING (b)
+"""

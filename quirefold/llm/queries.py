@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, linededup, packing, quality, simhash, topk
-from quirefold.llm.oracles import OP2, OP5, OP10
+from quirefold.llm import decontaminate, linededup, packing, quality, simhash, topk, warc
+from quirefold.llm.oracles import OP2, OP5, OP8, OP10
+from quirefold.session import scratch_path
 from quirefold.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +61,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op8_warc_packages", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_quality_discriminant")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
