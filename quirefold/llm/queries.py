@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, htmltext, linededup, packing, quality, simhash, topk, warc
+from quirefold.llm import decontaminate, htmltext, langid, linededup, packing, quality, simhash, topk, warc
 from quirefold.llm.oracles import OP2, OP5, OP8, OP10
 from quirefold.session import scratch_path
 from quirefold.llm.common import table
@@ -43,6 +43,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_byte_cnn_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 @query("op4_html_text_ratio")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
