@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quirefold.llm.licences import LEAST_DICE, TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,3 +78,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
 FROM d JOIN k USING (b)
 """
+
+
+_LICENCE_WORDS = r"[a-z0-9]+(?:\.[0-9]+)*"
+_QUOTE = "'"
+_VALUES = ", ".join(f"({k}, '{name}', '{text.replace(_QUOTE, 2 * _QUOTE)}')" for k, (name, text) in enumerate(TEMPLATES))
+
+OP6 = rf"""
+WITH t AS (SELECT k, name, list_distinct([(w[i], w[i + 1]) FOR i IN generate_series(1, len(w) - 1)]) AS g
+           FROM (SELECT k, name, regexp_extract_all(lower(x), '{_LICENCE_WORDS}') AS w FROM (VALUES {_VALUES}) AS v(k, name, x))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, generate_subscripts(ls, 1) AS ln, regexp_extract_all(lower(unnest(ls)), '{_LICENCE_WORDS}') AS w FROM d),
+f AS (SELECT *, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY ln) AS par, max(ln) OVER (PARTITION BY rid) AS n FROM l),
+u AS (SELECT rid, ln AS a, ln AS b, w FROM f WHERE len(w) > 0
+      UNION ALL SELECT rid, min(ln), max(ln), flatten(list(w ORDER BY ln)) FROM f WHERE len(w) > 0 GROUP BY rid, par, n HAVING count(*) > 1 AND count(*) < n
+      UNION ALL SELECT rid, 1, n, flatten(list(w ORDER BY ln)) FROM f WHERE n > 1 GROUP BY rid, n),
+g AS (SELECT rid, a, b, list_distinct([(w[i], w[i + 1]) FOR i IN generate_series(1, len(w) - 1)]) AS g FROM u WHERE len(w) > 1),
+m AS (SELECT rid, a, b, name, max(2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g))) AS dice
+      FROM g JOIN t ON least(len(g.g), len(t.g)) * 2.0 >= {LEAST_DICE} * (len(g.g) + len(t.g)) GROUP BY ALL),
+best AS (SELECT * FROM m WHERE dice >= {LEAST_DICE} QUALIFY dice = max(dice) OVER (PARTITION BY rid, a, b)),
+s AS (SELECT rid, count(*) AS n, max(dice) AS best, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licences, round(coalesce(best, 0), 6) AS best_dice
+FROM d LEFT JOIN s USING (rid)
+"""

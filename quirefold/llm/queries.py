@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, htmltext, langid, linededup, packing, quality, simhash, topk, warc
-from quirefold.llm.oracles import OP2, OP5, OP8, OP10
+from quirefold.llm import decontaminate, htmltext, langid, licences, linededup, packing, quality, simhash, topk, warc
+from quirefold.llm.oracles import OP2, OP5, OP6, OP8, OP10
 from quirefold.session import scratch_path
 from quirefold.llm.common import table
 
@@ -60,6 +60,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+@query("op6_licence_scan", OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.licence")), ",").alias("licences"),
+        F.round(F.coalesce(F.array_max("matches.dice"), F.lit(0.0)), 6).alias("best_dice"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
