@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages over ``documents``."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage works on all rows that the one before left, is written as Parquet and read again, so a lost executor costs a
+re-read and no stage holds the lineage of another. Stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,55 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from quirefold.llm import simhash  # noqa: E402
+from quirefold.llm import decontaminate, linededup, packing, quality, queries, simhash  # noqa: E402
 from quirefold.session import scratch_path  # noqa: E402
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant, fitted on the labels outside its held-out fold, rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are deleted from the texts; a document of which nothing is left goes. ``n_chars`` follows the text."""
+    found = linededup.dedup_lines(docs).filter("__deleted = 0 or __deleted < __lines")
+    kept = F.when(F.col("__deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays: that of the smallest id."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more lies in passages of the benchmark go; the others stay as they are."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, packed into sequences in the corpus's mixture of sources."""
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("mixture_packing", sequences),
+]
+
+#: The classifier, the hashes of the fingerprints and the tokenizer have no SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
