@@ -154,10 +154,10 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     merged = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))), F.expr("cast(array() as array<struct<start:int,end:int>>)"),
         lambda acc, x: F.when(
-            F.element_at(F.transform(acc, lambda y: y["end"]), -1) >= x["start"],
+            F.try_element_at(acc, F.lit(-1))["end"] >= x["start"],
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"),
-                F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"),
+                F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
+                F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"),
             ))),
         ).otherwise(F.concat(acc, F.array(x))),
     )

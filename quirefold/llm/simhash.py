@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values ordered by the bit counts of their 16-bit words; the cells' counts and bounds."""
-    words = np.bitwise_count(values.view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    words = np.bitwise_count(np.ascontiguousarray(values).view(np.uint16).reshape(-1, 4)).astype(np.int64)
     key = words @ np.array([4913, 289, 17, 1])
     order = np.argsort(key, kind="stable")
     key, first = np.unique(key[order], return_index=True)

@@ -28,7 +28,7 @@ LISTS = 4
 SCALE = 256
 BLOCK_BYTES = 8 << 20
 MATRIX = 1 << 22
-LIMIT = float(1 << 62)
+NO_CUT = -(1 << 100)
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -120,9 +120,11 @@ def _collect(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, cutoff, k
     m = len(blocks)
 
     def run(batches):
-        least = cutoff.value
+        whole = np.array(cutoff.value, object)
+        rounded = np.nextafter(whole.astype(np.float64), -np.inf)  # never above the cutoff
         for own, matrix in _slices(batches, width, len(ids)):
             terms = _partials(queries, matrix, blocks)
+            least = whole if terms.dtype == object else rounded
             share = least[:, None]
             seen = terms * m >= share  # the uniform threshold, in whole numbers
             bound = np.where(seen, terms * m, share).sum(axis=0)  # m times the highest sum that the seen entries allow
@@ -165,11 +167,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, bl
         by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         tops = _gather(vectors, ids, sent, k, lists).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
         cuts = tops.groupBy("q").agg(F.min("score").alias("cut"), F.count("*").alias("n")).filter(F.col("n") == k).collect()  # a row a query
-        least = np.full(len(ids), -LIMIT)
+        least = [NO_CUT] * len(ids)
         for row in cuts:
-            least[row["q"]] = row["cut"]
-        if np.abs(least).max() >= 1 << 53:
-            least = np.array([int(x) for x in least], object)
+            least[row["q"]] = row["cut"] if row["cut"] > -(1 << 63) else NO_CUT
         best = _collect(vectors, ids, sent, spark.sparkContext.broadcast(least), k, lists)
         ranked = best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
         names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(ids)), pa.int32()), "query_id": pa.array(ids)}))
