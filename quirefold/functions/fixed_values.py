@@ -121,8 +121,12 @@ EXCERPT_CHARS = 1200
 
 # --- FIXED VALUES: admission --------------------------------------------------------------
 MAX_UPLOAD_MB = 25
+TOO_LARGE = "file exceeds {}MB limit"
+UNSUPPORTED = "unsupported file type: "
+DUPLICATE = "duplicate"
+NO_HEADER = "no header row detected — columns auto-named Column 1..N"
+INVALID_JSON = "invalid JSON: "
 SUPPORTED_TYPES = ["txt", "md", "csv", "json", "html", "htm"]
-DELIMITERS = [",", ";", "\t", "|"]
 
 # --- FIXED VALUES: white space and line ends, as character classes ------------------------
 # The set that counts as white space / as a line break for the text rules, written so that

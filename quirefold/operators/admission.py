@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
+from quirefold.session import broadcast_if_small, materialize
 
 
 def content_hash(content: Column) -> Column:
@@ -26,8 +27,8 @@ def title_of(filename: Column) -> Column:
 def admission_reason(size: Column, file_type: Column, max_mb: int = fv.MAX_UPLOAD_MB, supported=None) -> Column:
     """Why a file is refused, or null when it is admitted; size is checked first."""
     supported = fv.SUPPORTED_TYPES if supported is None else supported
-    return F.when(size > max_mb * 1024 * 1024, F.lit(f"file exceeds {max_mb}MB limit")).when(
-        ~file_type.isin(*supported), F.concat(F.lit("unsupported file type: "), file_type)
+    return F.when(size > max_mb * 1024 * 1024, F.lit(fv.TOO_LARGE.format(max_mb))).when(
+        ~file_type.isin(*supported), F.concat(F.lit(fv.UNSUPPORTED), file_type)
     )
 
 
@@ -49,7 +50,8 @@ def canonical_ids(incoming: DataFrame, catalogue: DataFrame | None = None) -> Da
     """
     first = incoming.groupBy("content_hash").agg(F.min("document_id").alias("first_id"))
     if catalogue is not None:
-        known = catalogue.groupBy("content_hash").agg(F.min("document_id").alias("known_id"))
+        asked = broadcast_if_small(first.select("content_hash"))  # the catalogue is filtered where it lies, not shuffled
+        known = catalogue.join(asked, "content_hash", "left_semi").groupBy("content_hash").agg(F.min("document_id").alias("known_id"))
         first = first.join(known, "content_hash", "left").withColumn("first_id", F.coalesce("known_id", "first_id")).withColumn("known", F.col("known_id").isNotNull()).drop("known_id")
     else:
         first = first.withColumn("known", F.lit(False))
@@ -61,12 +63,14 @@ def canonical_ids(incoming: DataFrame, catalogue: DataFrame | None = None) -> Da
 
 
 def new_documents(incoming: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
-    """Rows of a batch that are not duplicates of each other or of the catalogue."""
-    fresh = incoming
-    if catalogue is not None:
-        fresh = incoming.join(catalogue.select("content_hash"), "content_hash", "left_anti")
-    first = fresh.groupBy("content_hash").agg(F.min("document_id").alias("document_id"))
-    return fresh.join(first.select("document_id"), "document_id", "left_semi")
+    """Rows of a batch that are not duplicates of each other or of the catalogue.
+
+    Decided on ids and hashes alone; the rows, which may carry file contents, then lose the duplicates by a
+    join that does not move them as long as the duplicates' ids are measured small.
+    """
+    light = materialize(incoming.select("document_id", "content_hash"), "hashes")
+    repeats = materialize(canonical_ids(light, catalogue).filter("status = 'duplicate'").select("document_id"), "repeats")
+    return incoming.join(broadcast_if_small(repeats), "document_id", "left_anti")
 
 
 def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:

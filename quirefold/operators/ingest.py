@@ -48,7 +48,7 @@ def ingest(docs: DataFrame, uploaded_at: Column | None = None) -> dict[str, Data
     """
     texts = F.exists("blocks", lambda b: F.when(
         b["kind"] == "table", F.size(tx.text_lines(b["text"])) > 1).otherwise(tx.strip(b["text"]) != ""))
-    parsed = files.parse(docs).drop("content")
+    parsed = files.parse(docs)
     parsed = parsed.withColumn("error", F.coalesce("error", F.when(~F.coalesce(texts, F.lit(False)), "no extractable text")))
     parsed = materialize(parsed, "parsed")  # five outputs read it; every file is parsed once
     ready = F.col("error").isNull()

@@ -1,21 +1,26 @@
 """The stored library: appends, deletes, snapshots and dense document numbers.
 
-Every table lies under ``<root>/<table>/batch_id=N/bucket=M``. A batch overwrites its own
-folder, so writing it twice changes nothing, and its documents are written last: a batch
-without documents is one that was interrupted, and readers do not see it.
+Every table lies under ``<root>/<table>/writer=W/batch_id=N/bucket=M``. A writer is one bulk load, one restore or one
+streaming checkpoint, so batches of different writers never meet. A batch overwrites its own folder, so writing it twice
+changes nothing, and its documents are written last: a batch without documents is one that was interrupted, and
+readers do not see it. A delete names the stored rows (document, writer, batch), so a later document may use the id again.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.operators.chunk import CHUNK_ID_SPAN
 from quirefold.session import broadcast_if_small, materialize
 
-TABLES = ["chunks", "fields", "tables", "table_rows", "vectors", "documents"]
+TABLES = ["chunks", "fields", "tables", "table_rows", "vectors", "rejects", "documents"]
+BATCH = ["writer", "batch_id"]
 BUCKETS = 64
+MAIN = "main"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,6 +31,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def new_writer(kind: str) -> str:
+    return f"{kind}-{uuid.uuid4().hex}"
+
+
 class Library:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -33,60 +42,95 @@ class Library:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _owned(self, df: DataFrame) -> DataFrame:
-        """Every stored row carries the id of its document."""
-        return df if "document_id" in df.columns else df.withColumn("document_id", F.expr(f"chunk_id div {CHUNK_ID_SPAN}"))
+    def _bucket(self, df: DataFrame) -> Column:
+        owner = F.col("document_id") if "document_id" in df.columns else F.expr(f"chunk_id div {CHUNK_ID_SPAN}")
+        return F.pmod(F.xxhash64(owner), F.lit(self.buckets)).cast("int")
 
-    def write_batch(self, batch_id: int, frames: dict[str, DataFrame]) -> None:
-        """Write one batch; documents come last and make it visible."""
+    def write_batch(self, batch_id: int, frames: dict[str, DataFrame], writer: str = MAIN) -> None:
+        """Write one batch of one writer; documents come last and make it visible."""
         for table in TABLES:
             if table in frames:
-                owned = self._owned(frames[table])
-                bucket = F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
+                df = frames[table]
+                if "document_id" not in df.columns:  # every stored row carries the id of its document
+                    df = df.withColumn("document_id", F.expr(f"chunk_id div {CHUNK_ID_SPAN}"))
                 # rebalance gathers small buckets and splits a bucket that one hot document fills
-                out = owned.withColumn("bucket", bucket).hint("rebalance", "bucket")
-                out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/batch_id={batch_id}")
+                out = df.withColumn("bucket", self._bucket(df)).hint("rebalance", "bucket")
+                out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/writer={writer}/batch_id={batch_id}")
 
     def exists(self) -> bool:
         return path_exists(self.spark, self._path("documents"))
 
     def deleted(self) -> DataFrame | None:
+        """(document_id, writer, batch_id) of deleted documents."""
         path = self._path("deleted")
-        return self.spark.read.parquet(path).select("document_id").distinct() if path_exists(self.spark, path) else None
-
-    def read(self, table: str, before_batch: int | None = None) -> DataFrame:
-        """Live rows of a table: complete batches, without deleted documents."""
-        df = self.spark.read.parquet(self._path(table))
-        if table != "documents":
-            complete = self.spark.read.parquet(self._path("documents")).select("batch_id").distinct()
-            df = df.join(broadcast_if_small(complete), "batch_id", "left_semi")
-        if before_batch is not None:
-            df = df.filter(F.col("batch_id") < before_batch)
+        return self.spark.read.parquet(path).select("document_id", *BATCH).distinct() if path_exists(self.spark, path) else None
+
+    def _live(self, table: str, replay: tuple[str, int] | None = None) -> DataFrame:
+        df = self.spark.read.parquet(self._path(table)).withColumn("writer", F.col("writer").cast("string"))
+        if table not in ("documents", "rejects"):  # rejects count whether or not a document came with them
+            complete = self.spark.read.parquet(self._path("documents")).select(F.col("writer").cast("string").alias("writer"), "batch_id").distinct()
+            df = df.join(broadcast_if_small(complete), BATCH, "left_semi")
+        if replay is not None:
+            df = df.filter((F.col("writer") != replay[0]) | (F.col("batch_id") < replay[1]))
         gone = self.deleted()
         if gone is not None:
-            df = df.join(broadcast_if_small(gone), "document_id", "left_anti")
-        return df.drop("batch_id", "bucket")
+            df = df.join(broadcast_if_small(gone), ["document_id", *BATCH], "left_anti")
+        return df
+
+    def read(self, table: str, replay: tuple[str, int] | None = None) -> DataFrame:
+        """Live rows of a table: complete batches, without deleted documents.
+
+        ``replay`` names the batch that is being written: what it or later ones of its writer may
+        have stored in an interrupted attempt is left out.
+        """
+        return self._live(table, replay).drop(*BATCH, "bucket")
+
+    def next_id(self) -> int:
+        """One more than the highest document id ever used, deleted ones included."""
+        highest = [0]
+        for table in ("documents", "floor"):
+            if path_exists(self.spark, self._path(table)):
+                highest.append(self.spark.read.parquet(self._path(table)).agg(F.max("document_id")).first()[0] or 0)
+        return max(highest) + 1
 
     def delete(self, doomed: DataFrame) -> int:
         """Delete documents with all they own; returns how many existed.
 
-        Only the ids are written. Reads leave their rows out and the next snapshot drops them.
+        Only ids are written. Reads leave their rows out, and a restore of a snapshot does not bring them back.
         """
-        present = materialize(self.read("documents").join(doomed.select("document_id").distinct(), "document_id", "left_semi").select("document_id"), "doomed")
-        n = present.count()
+        present = materialize(
+            self._live("documents").join(broadcast_if_small(doomed.select("document_id").distinct()), "document_id", "left_semi").select("document_id", *BATCH), "doomed"
+        )
+        n = present.select("document_id").distinct().count()
         if n:
             present.write.mode("append").parquet(self._path("deleted"))
         return n
 
     # --- snapshots ---------------------------------------------------------------------------
 
-    def snapshot(self, target: str, version: int) -> None:
-        """Copy the live tables to ``target``; the manifest row comes last and completes it."""
-        stored = [t for t in TABLES if path_exists(self.spark, self._path(t))]
-        for table in stored:
-            self.read(table).write.mode("overwrite").parquet(f"{target}/version={version}/{table}")
-        rows = [(version, t) for t in stored]
-        self.spark.createDataFrame(rows, "version long, name string").coalesce(1).write.mode("append").parquet(f"{target}/manifest")
+    def snapshot(self, target: str, version: int | None = None) -> int:
+        """Bring ``target`` up to date: only batches that no earlier snapshot holds are copied.
+
+        Stored batches never change, so a version is a list of batches, the deletes at that time and the highest
+        id; its manifest rows come last and complete it. Returns the version, by default one more than the newest.
+        """
+        manifest = self.spark.read.parquet(f"{target}/manifest") if path_exists(self.spark, f"{target}/manifest") else None
+        if version is None:
+            version = 1 if manifest is None else manifest.agg(F.max("version")).first()[0] + 1
+        batches = materialize(self.spark.read.parquet(self._path("documents")).select(F.col("writer").cast("string").alias("writer"), F.col("batch_id").cast("long").alias("batch_id")).distinct(), "batches")
+        fresh = batches if manifest is None else batches.join(manifest.select(*BATCH), BATCH, "left_anti")
+        if not fresh.isEmpty():
+            for table in TABLES:
+                if path_exists(self.spark, self._path(table)):
+                    rows = self.spark.read.parquet(self._path(table)).withColumn("writer", F.col("writer").cast("string"))
+                    rows.join(broadcast_if_small(fresh), BATCH, "left_semi").write.mode("overwrite").option(
+                        "partitionOverwriteMode", "dynamic").partitionBy(*BATCH, "bucket").parquet(f"{target}/{table}")
+        gone = self.deleted()
+        if gone is not None:
+            gone.write.mode("overwrite").parquet(f"{target}/deleted/version={version}")
+        batches.select(F.lit(version).cast("long").alias("version"), *BATCH, F.lit(self.next_id() - 1).cast("long").alias("highest")).coalesce(1).write.mode(
+            "append").parquet(f"{target}/manifest")
+        return version
 
     def restore(self, source: str) -> bool:
         """Install the newest complete snapshot, only where no library exists yet."""
@@ -94,8 +138,19 @@ class Library:
             return False
         manifest = self.spark.read.parquet(f"{source}/manifest")
         newest = manifest.agg(F.max("version")).first()[0]
-        names = [r["name"] for r in manifest.filter(F.col("version") == newest).select("name").distinct().collect()]
-        self.write_batch(0, {t: self.spark.read.parquet(f"{source}/version={newest}/{t}") for t in names})
+        batches = manifest.filter(F.col("version") == newest)
+        gone = f"{source}/deleted/version={newest}"
+        gone = self.spark.read.parquet(gone) if path_exists(self.spark, gone) else None
+        frames = {}
+        for table in TABLES:
+            if path_exists(self.spark, f"{source}/{table}"):
+                rows = self.spark.read.parquet(f"{source}/{table}").withColumn("writer", F.col("writer").cast("string"))
+                rows = rows.join(broadcast_if_small(batches.select(*BATCH).distinct()), BATCH, "left_semi")
+                if gone is not None:
+                    rows = rows.join(broadcast_if_small(gone), ["document_id", *BATCH], "left_anti")
+                frames[table] = rows.drop(*BATCH, "bucket")
+        batches.agg(F.max("highest").alias("document_id")).write.mode("overwrite").parquet(self._path("floor"))
+        self.write_batch(0, frames, new_writer("restore"))
         return True
 
 
@@ -110,18 +165,24 @@ def dense_ids(df: DataFrame, key: str, start: int = 1) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     numbered = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(key))).join(F.broadcast(offsets), "part")
-    return df.join(numbered.select(key, (F.col("before") + F.col("at") + (start - 1)).cast("long").alias("document_id")), key)
+    numbered = numbered.select(key, (F.col("before") + F.col("at") + (start - 1)).cast("long").alias("document_id"))
+    return df.join(broadcast_if_small(numbered), key)  # the rows may carry file contents: they stay where they are if the ids are few
 
 
 def bulk_load(library: Library, directory: str) -> int:
-    """Load every visible file of a folder into an empty library, in name order; returns the number added."""
+    """Load every visible file of a folder into an empty library, in name order; returns the number added.
+
+    Refused files and repeated contents are kept in ``rejects`` with their reason.
+    """
     from quirefold.operators import admission, ingest
     from quirefold.sources import files
+    from quirefold.streaming.ingest import settle
 
     if library.exists() and library.read("documents").limit(1).count():
         raise ValueError("library is not empty")
-    scanned = files.scan_files(library.spark, directory)
-    admitted, _ = admission.admit(scanned)
-    fresh = materialize(admission.new_documents(dense_ids(admitted, "filename")), "fresh")
-    library.write_batch(0, ingest.ingest(fresh))
+    admitted, refused = files.admit_folder(library.spark, directory)
+    light = materialize(dense_ids(admitted.select("filename", "title", "file_type", "size", "content_hash"), "filename", library.next_id()), "admitted")
+    keep, rejects = settle(light, refused, None)
+    fresh = materialize(admitted.join(broadcast_if_small(keep.join(light.select("document_id", "filename"), "document_id")), "filename"), "fresh")
+    library.write_batch(0, {**ingest.ingest(fresh), "rejects": rejects}, new_writer("load"))
     return fresh.count()

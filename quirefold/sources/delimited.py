@@ -88,7 +88,7 @@ def parse_delimited(text: Column) -> Column:
             F.lit("rows").alias("location"),
         )
         warning = F.when(headed, F.array().cast("array<string>")).otherwise(
-            F.array(F.lit("no header row detected — columns auto-named Column 1..N")))
+            F.array(F.lit(fv.NO_HEADER)))
         return result(F.array(block(joined_rows(rows, ","), "table", F.lit("rows"))), F.array(table), warning)
 
     def judge(rows: Column) -> Column:

@@ -79,3 +79,61 @@ def test_rank_limit_runs_before_the_shuffle(spark):
 
     plan = top_k(spark.range(100).withColumn("k", F.col("id") % 3), "k", 5, [F.asc("id")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_two_writers_into_one_library(spark):
+    """A bulk load, two streams and their replays: no batch overwrites another writer's."""
+    lib = library.Library(spark, scratch_path(spark, "writers"), 4)
+    schema = "document_id long, title string, text string"
+    lib.write_batch(0, {"documents": rows(spark, "bulk one", "bulk two").withColumn("status", F.lit("ready")).drop("content")}, library.new_writer("load"))
+    for start in (50, 60):
+        source = scratch_path(spark, "source")
+        spark.createDataFrame([(start, "t", f"text {start}"), (start + 1, "t", "bulk one"), (start + 2, "t", "text 50")], schema).coalesce(1).write.parquet(source)
+        checkpoint = scratch_path(spark, "cp")
+        for _ in range(2):
+            streaming.stream_ingest(streaming.file_stream(spark, source, schema), lib, checkpoint, prepare=files.text_rows).awaitTermination()
+    assert ids(lib.read("documents")) == [1, 2, 50, 60]
+    repeats = {(r["document_id"], r["canonical_id"], r["reason"]) for r in lib.read("rejects").collect()}
+    assert repeats == {(51, 1, "duplicate"), (52, 50, "duplicate"), (61, 1, "duplicate"), (62, 50, "duplicate")}
+
+
+def test_deleted_ids_come_back(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("alpha")
+    (tmp_path / "b.txt").write_text("beta")
+    lib = library.Library(spark, scratch_path(spark, "again"), 4)
+    assert library.bulk_load(lib, str(tmp_path)) == 2
+    assert lib.delete(lib.read("documents").select("document_id")) == 2
+    assert library.bulk_load(lib, str(tmp_path)) == 2
+    assert ids(lib.read("documents")) == [3, 4] and ids(lib.read("chunks")) == [3, 4]
+    streaming.ingest_batch(lib, rows(spark, "gamma", start=1), 0, writer="w")  # an id that was deleted before
+    assert ids(lib.read("documents")) == [1, 3, 4]
+    assert lib.delete(spark.createDataFrame([(1,)], "document_id long")) == 1
+    streaming.ingest_batch(lib, rows(spark, "delta", start=1), 1, writer="w")
+    assert ids(lib.read("documents")) == [1, 3, 4] and [r["title"] for r in lib.read("documents").filter("document_id = 1").collect()] == ["doc1"]
+
+
+def test_snapshots_copy_new_batches_only(spark):
+    lib, target = library.Library(spark, scratch_path(spark, "lib"), 2), scratch_path(spark, "snap")
+    streaming.ingest_batch(lib, rows(spark, "one", "two"), 0, target, writer="w")
+    before = {f for f in spark.read.parquet(f"{target}/documents").inputFiles()}
+    streaming.ingest_batch(lib, rows(spark, "three", start=5), 1, target, writer="w")
+    after = {f for f in spark.read.parquet(f"{target}/documents").inputFiles()}
+    assert before < after
+    lib.delete(spark.createDataFrame([(1,), (5,)], "document_id long"))
+    assert lib.snapshot(target) == 3
+    copy = library.Library(spark, scratch_path(spark, "copy"), 2)
+    assert copy.restore(target) and ids(copy.read("documents")) == [2] and copy.next_id() == 6
+
+
+def test_large_and_foreign_files_are_not_read(spark, tmp_path):
+    for name, body in {"a.txt": b"alpha", "big.TXT": b"x" * (2 << 20), "c.exe": b"no", "d.Md": b"# delta\ntext", "same.txt": b"alpha"}.items():
+        (tmp_path / name).write_bytes(body)
+    admitted, refused = files.admit_folder(spark, str(tmp_path), max_mb=1)
+    plan = admitted._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,1048576)" in plan
+    assert sorted(r["filename"] for r in admitted.collect()) == ["a.txt", "d.Md", "same.txt"]
+    assert {(r["filename"], r["reason"]) for r in refused.collect()} == {("big.TXT", "file exceeds 1MB limit"), ("c.exe", "unsupported file type: exe")}
+    assert "content" not in refused._jdf.queryExecution().executedPlan().toString()
+    lib = library.Library(spark, scratch_path(spark, "bulk"), 4)
+    assert library.bulk_load(lib, str(tmp_path)) == 3
+    assert {(r["filename"], r["reason"]) for r in lib.read("rejects").collect()} == {("c.exe", "unsupported file type: exe"), ("same.txt", "duplicate")}
