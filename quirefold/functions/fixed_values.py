@@ -30,7 +30,6 @@ DIAGRAM_LINE_PATTERN = (
 ARROW_LINE_PATTERN = r"-->|-\.->|==>|-\|>|\|>|--\||~~~|→|←|⟶"
 URL_SCHEMES = ["http", "https", "ftp", "mailto", "tel"]
 NUMERIC_CELL_PATTERN = r"^[+-]?[\d,]*\.?\d+%?$"
-FIELD_LIMIT = 200
 PAIR_VALUE_MAX = 120
 PAIR_READABLE_SHARE = 0.4
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
+from quirefold.functions.ids import parent_id
 from quirefold.session import broadcast_if_small, materialize
 
 
@@ -79,15 +80,13 @@ def cascade_delete(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str,
     ``table_rows`` hangs on tables and ``vectors``/``postings`` hang on chunks, whose ids
     carry the document id, so each table needs one anti join and none is read twice.
     """
-    from quirefold.operators.chunk import CHUNK_ID_SPAN
-
     ids = doomed.select("document_id").distinct()
     out = {}
     for name, df in tables.items():
         if "document_id" in df.columns:
             out[name] = df.join(ids, "document_id", "left_anti")
         elif "chunk_id" in df.columns:
-            owner = F.expr(f"chunk_id div {CHUNK_ID_SPAN}")
+            owner = parent_id("chunk_id")
             out[name] = df.withColumn("_owner", owner).join(ids, F.col("_owner") == F.col("document_id"), "left_anti").drop("_owner")
         elif "table_id" in df.columns:
             gone = tables["tables"].join(ids, "document_id", "left_semi").select("table_id")

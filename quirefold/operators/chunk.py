@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
-
-CHUNK_ID_SPAN = 1 << 20
+from quirefold.functions.ids import child_id
 
 
 @dataclass(frozen=True)
@@ -138,7 +137,7 @@ def chunk_documents(parsed: DataFrame, rate: TokenRate = DEFAULT_RATE, overlap:
 
 def _finish(pieces: DataFrame) -> DataFrame:
     return pieces.select(
-        (F.col("document_id") * CHUNK_ID_SPAN + F.col("seq")).alias("chunk_id"),
+        child_id(F.col("document_id"), F.col("seq")).alias("chunk_id"),
         "document_id", "seq", "text", F.concat("_h", "text").alias("embed_text"), "location",
     )
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
+from quirefold.functions.ids import child_id
 
-FIELD_ID_SPAN = 1024
 _UNICODE = "(?dU)"
 _FIELD = "array<struct<key:string,value:string,kind:string>>"
 
@@ -106,19 +106,19 @@ def _signature(f: Column) -> Column:
     return F.concat_ws("\u0001", f["kind"], F.when(named, F.lower(f["key"])).otherwise(""), F.lower(f["value"]))
 
 
-def first_of_each(fields: Column, limit: int) -> Column:
-    """First field of every signature, in order, at most ``limit``."""
-    return tx.let(fields, lambda fs: tx.let(
-        F.transform(fs, _signature),
-        lambda sigs: F.transform(
-            F.slice(F.array_distinct(sigs), F.lit(1), F.lit(limit)),
-            lambda s: F.element_at(fs, F.array_position(sigs, s).cast("int")),
-        ),
-    ))
+def first_of_each(fields: Column) -> Column:
+    """First field of every signature, in order: by sorting, so that documents with very many fields stay cheap."""
+    tagged = F.transform(fields, lambda f, i: F.struct(_signature(f).alias("s"), i.alias("i"), f.alias("f")))
+    first = lambda t: F.filter(t, lambda x, i: F.coalesce(F.get(t, i - 1)["s"] != x["s"], F.lit(True)))
+    in_order = F.array_sort(F.transform(tx.let(F.array_sort(tagged), first), lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"))))
+    return F.transform(in_order, lambda x: x["f"])
 
 
-def with_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: int = fv.FIELD_LIMIT) -> DataFrame:
-    """Add ``fields``: the ordered, de-duplicated, capped fields of every document row."""
+def with_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: int | None = None) -> DataFrame:
+    """Add ``fields``: the ordered, de-duplicated fields of every document row.
+
+    All of them by default; with a ``limit`` the first so many, and ``fields_left_out`` with the number of the others.
+    """
     rules = fv.FIELD_RULES if rules is None else rules
     text = F.col(text_col)
     typed = F.concat(F.array().cast(_FIELD), *[typed_matches(text, k, p) for k, p in rules])
@@ -126,20 +126,24 @@ def with_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: int
     def rest(first: Column) -> Column:
         seen = F.transform(first, lambda f: F.lower(f["value"]))
         named = tx.let(seen, lambda s: F.concat(item_matches(text), pair_matches(text, s)))
-        return F.slice(F.concat(first, first_of_each(named, limit)), F.lit(1), F.lit(limit))
+        return F.concat(first, first_of_each(named))
 
-    return docs.withColumn("fields", tx.let(first_of_each(typed, limit), rest))
+    found = docs.withColumn("fields", tx.let(first_of_each(typed), rest))
+    if limit is None:
+        return found
+    left_out = F.greatest(F.size("fields") - limit, F.lit(0))
+    return found.withColumn("fields_left_out", left_out).withColumn("fields", F.slice("fields", 1, limit))
 
 
 def explode_fields(docs: DataFrame) -> DataFrame:
     """(field_id, document_id, key, value, kind) from rows that carry ``fields``."""
     return tx.numbered(docs, ["document_id"], F.col("fields"), "pos", "f").select(
-        (F.col("document_id") * FIELD_ID_SPAN + F.col("pos")).alias("field_id"),
+        child_id(F.col("document_id"), F.col("pos")).alias("field_id"),
         "document_id", F.col("f.key").alias("key"), F.col("f.value").alias("value"), F.col("f.kind").alias("kind"),
     )
 
 
-def extract_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: int = fv.FIELD_LIMIT) -> DataFrame:
+def extract_fields(docs: DataFrame, text_col: str = "text", rules=None, limit: int | None = None) -> DataFrame:
     return explode_fields(with_fields(docs.select("document_id", text_col), text_col, rules, limit))
 
 

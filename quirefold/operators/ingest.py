@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as tx
+from quirefold.functions.ids import child_id
 from quirefold.operators import chunk, extract
 from quirefold.session import materialize
 from quirefold.sources import files
 
-TABLE_ID_SPAN = 1 << 20
-
 
 def prose_of(blocks: Column) -> Column:
     """Texts of the non-table blocks in order, one per line: the input of the field rules."""
@@ -30,7 +29,7 @@ def library_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """chunks, fields, tables and table_rows of parsed documents; no step shuffles."""
     fields = extract.extract_fields(parsed.select("document_id", prose_of(F.col("blocks")).alias("text")))
     exploded = parsed.select("document_id", F.posexplode("tables").alias("n", "t"))
-    table_id = F.col("document_id") * TABLE_ID_SPAN + F.col("n")
+    table_id = child_id(F.col("document_id"), F.col("n"))
     tables = exploded.select(
         table_id.alias("table_id"), "document_id", F.col("t.name").alias("name"), typed_columns(F.col("t")).alias("columns"),
         F.col("t.location").alias("location"), F.size("t.rows").alias("row_count"),

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirefold.operators.chunk import CHUNK_ID_SPAN
+from quirefold.functions.ids import parent_id
 from quirefold.session import broadcast_if_small, materialize
 
 TABLES = ["chunks", "fields", "tables", "table_rows", "vectors", "rejects", "documents"]
@@ -43,7 +43,7 @@ class Library:
         return f"{self.root}/{table}"
 
     def _bucket(self, df: DataFrame) -> Column:
-        owner = F.col("document_id") if "document_id" in df.columns else F.expr(f"chunk_id div {CHUNK_ID_SPAN}")
+        owner = F.col("document_id") if "document_id" in df.columns else parent_id("chunk_id")
         return F.pmod(F.xxhash64(owner), F.lit(self.buckets)).cast("int")
 
     def write_batch(self, batch_id: int, frames: dict[str, DataFrame], writer: str = MAIN) -> None:
@@ -52,7 +52,7 @@ class Library:
             if table in frames:
                 df = frames[table]
                 if "document_id" not in df.columns:  # every stored row carries the id of its document
-                    df = df.withColumn("document_id", F.expr(f"chunk_id div {CHUNK_ID_SPAN}"))
+                    df = df.withColumn("document_id", parent_id("chunk_id"))
                 # rebalance gathers small buckets and splits a bucket that one hot document fills
                 out = df.withColumn("bucket", self._bucket(df)).hint("rebalance", "bucket")
                 out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/writer={writer}/batch_id={batch_id}")

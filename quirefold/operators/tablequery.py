@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as tx
+from quirefold.session import broadcast_if_small
 
 
 def cell(index: int) -> Column:
@@ -80,11 +81,16 @@ def load_table(table_rows: DataFrame, table_id: int) -> DataFrame:
     return table_rows.filter(F.col("table_id") == table_id).orderBy("row_index")
 
 
-def any_cell_filter(table_rows: DataFrame, q: str, fetched: int = 200, shown: int = 100) -> DataFrame:
-    """Of the first ``fetched`` rows of every table, those with a cell containing the text, ``shown`` at most."""
-    out = table_rows.filter(F.col("row_index") < fetched)
+def any_cell_filter(table_rows: DataFrame, q: str, shown: int | None = None) -> DataFrame:
+    """Rows of every table with a cell containing the text (all rows for no text), numbered per table.
+
+    All of them by default; with ``shown`` the first so many of each table, and ``left_out`` with the number of the others.
+    """
     low = q.strip().lower()
-    if low:
-        out = out.filter(F.exists("cells", lambda c: F.lower(c).contains(low)))
+    out = table_rows.filter(F.exists("cells", lambda c: F.lower(c).contains(low))) if low else table_rows
     w = Window.partitionBy("table_id").orderBy("row_index")
-    return out.withColumn("shown_as", F.row_number().over(w)).filter(F.col("shown_as") <= shown)
+    ranked = out.withColumn("shown_as", F.row_number().over(w))
+    if shown is None:
+        return ranked
+    left_out = out.groupBy("table_id").agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("left_out"))
+    return ranked.filter(F.col("shown_as") <= shown).join(broadcast_if_small(left_out), "table_id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
+from quirefold.functions.ids import parent_id
 from quirefold.operators import answers, evaluation, extract, hybrid, keyword, routing, tablefacts
 from quirefold.plans import corpora
 from quirefold.plans import oracle_parts as op
@@ -89,16 +93,16 @@ def library_summary(spark, sf_dir):
 
 
 @query("budget_pack", f"""
-WITH ln AS (SELECT lang AS file_type, doc_id, left(text, 5 + doc_id % 400) AS line, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS pos FROM documents),
+WITH ln AS (SELECT lang AS file_type, doc_id, text AS line, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 7, doc_id) AS pos FROM documents),
 f AS (SELECT file_type, list_reduce(list_prepend({{'used': 0, 'ids': CAST([] AS BIGINT[])}}, list({{'used': length(line) + 1, 'ids': [doc_id]}} ORDER BY pos)),
         lambda a, x: CASE WHEN a.used + x.used > 11000 THEN a ELSE {{'used': a.used + x.used, 'ids': list_concat(a.ids, x.ids)}} END) AS f FROM ln GROUP BY file_type),
 k AS (SELECT file_type, unnest(f.ids) AS doc_id FROM f)
 SELECT file_type, line FROM k JOIN ln USING (file_type, doc_id)""")
 def budget_pack(spark, sf_dir):
-    """Lines of mixed length per language, longest documents first."""
+    """Whole texts of mixed length per language."""
     docs = corpora.read(spark, sf_dir, "documents").select(
-        F.col("lang").alias("file_type"), "n_chars", "doc_id", F.expr("left(text, cast(5 + doc_id % 400 AS int))").alias("line"))
-    return routing.budget_pack(docs, "file_type", [F.desc("n_chars"), F.asc("doc_id")], 0).select("file_type", "line")
+        F.col("lang").alias("file_type"), (F.col("doc_id") % 7).alias("seventh"), "doc_id", F.col("text").alias("line"))
+    return routing.budget_pack(docs, "file_type", [F.asc("seventh"), F.asc("doc_id")], 0).select("file_type", "line")
 
 
 # --- table facts -----------------------------------------------------------------------------
@@ -273,31 +277,44 @@ JUDGED = """
 jud AS (SELECT item_id AS query_id, doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
+SHORT_BLOCK = 500
+
+
 def judgements(spark, sf_dir):
     """(query_id, document_id): documents that hold a passage word for word.
 
     A document that holds the passage holds its inner words (all but first and last, which
-    may touch other text) in sequence, so both sides meet on a run of inner words and the
-    few candidates are then compared in full.
+    may touch other text) in sequence, so both sides meet on a run of up to eight inner words, as many as the
+    passage has, and the few candidates are then compared in full. Passages without inner words are looked for in
+    every document, a block of them at a time.
     """
-    passages, docs = corpora.passages(spark, sf_dir), corpora.doc_texts(spark, sf_dir)
-    shortest = passages.agg(F.min(F.size(tx.words(F.col("q"))))).first()[0] or 0
-    run = min(8, shortest - 2)
-    if run < 1:
-        raise ValueError("passages need three words or more")
-    probe = passages.select("query_id", "q", F.array_join(F.slice(tx.words(F.col("q")), 2, run), " ").alias("run"))
-    words = docs.select("document_id", tx.words(F.col("text")).alias("w")).filter(F.size("w") >= run)
-    runs = words.select("document_id", F.explode(tx.let(F.col("w"), lambda w: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(w) - run + 1), lambda i: F.array_join(F.slice(w, i, run), " "))))).alias("run"))
-    pairs = materialize(runs.join(broadcast_if_small(probe), "run").select("query_id", "q", "document_id").distinct(), "pairs")
-    return docs.select("document_id", "text").join(broadcast_if_small(pairs), "document_id").filter(
-        F.col("text").contains(F.col("q"))).select("query_id", "document_id")
+    docs = corpora.doc_texts(spark, sf_dir)
+    passages = corpora.passages(spark, sf_dir).filter("q is not null").withColumn("n", F.least(F.lit(8), F.size(tx.words(F.col("q"))) - 2))
+    probe = passages.filter("n > 0").select("query_id", "q", "n", F.array_join(F.slice(tx.words(F.col("q")), F.lit(2), F.col("n")), " ").alias("run"))
+    lengths = sorted(r["n"] for r in probe.select("n").distinct().collect())  # eight at most
+    found = []
+    if lengths:
+        cut = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        runs = tx.let(tx.words(F.col("text")), lambda w: F.array_distinct(F.flatten(F.array(*[cut(w, n) for n in lengths]))))
+        met = docs.select("document_id", F.explode(runs).alias("run")).join(broadcast_if_small(probe.select("query_id", "q", "run")), "run")
+        pairs = materialize(met.select("query_id", "q", "document_id").distinct(), "pairs")
+        found.append(docs.select("document_id", "text").join(broadcast_if_small(pairs), "document_id").filter(
+            F.col("text").contains(F.col("q"))).select("query_id", "document_id"))
+    short = materialize(passages.filter("n <= 0").select("query_id", "q"), "short-passages")
+    n_blocks = -(-short.count() // SHORT_BLOCK)
+    for block in range(n_blocks):
+        rows = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).collect()
+        known = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["q"]).alias("q")) for r in rows])
+        if rows:
+            held = docs.select("document_id", F.explode(F.filter(known, lambda k: F.col("text").contains(k["q"]))).alias("k"))
+            found.append(held.select("k.query_id", "document_id"))
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, document_id long")
 
 
 def _runs(spark, sf_dir, modes=("keyword", "semantic", "hybrid")):
     """The ten best chunks per passage and mode."""
     index, queries = search_index(spark, sf_dir), corpora.passages(spark, sf_dir)
-    return {m: hybrid.ranked_chunks(queries, index, m, limit=10).withColumn("document_id", F.expr("chunk_id div 1048576")) for m in modes}
+    return {m: hybrid.ranked_chunks(queries, index, m, limit=10).withColumn("document_id", parent_id("chunk_id")) for m in modes}
 
 
 EV = op.with_(CHUNKS, TOKENS, QTERMS, HYB, JUDGED) + """,

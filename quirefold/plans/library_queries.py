@@ -142,11 +142,10 @@ def extract_totals(spark, sf_dir):
     return catalog.extract_totals(docs, fields, tables)
 
 
-@query("record_search", W + f""",
-lead AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {KIND_ORDER_SQL}, field_id) AS p FROM inv_fields)
+@query("record_search", W + """
 SELECT document_id, title FROM lib_docs d WHERE status = 'ready'
-  AND EXISTS (SELECT 1 FROM lead l WHERE l.document_id = d.document_id AND p <= 10 AND kind = 'item')
-  AND (contains(lower(title), '99') OR EXISTS (SELECT 1 FROM lead l WHERE l.document_id = d.document_id AND p <= 10
+  AND EXISTS (SELECT 1 FROM inv_fields l WHERE l.document_id = d.document_id AND kind = 'item')
+  AND (contains(lower(title), '99') OR EXISTS (SELECT 1 FROM inv_fields l WHERE l.document_id = d.document_id
        AND (contains(lower(value), '99') OR contains(lower(key), '99'))))""")
 def record_search(spark, sf_dir):
     docs, fields, _, _ = library(spark, sf_dir)
@@ -233,8 +232,8 @@ def load_table(spark, sf_dir):
 
 @query("any_cell_filter", T + """,
 f AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_index) AS shown_as FROM tab_rows
-      WHERE row_index < 200 AND len(list_filter(cells, lambda c: contains(lower(c), 'ma'))) > 0)
-SELECT table_id, row_index, array_to_string(cells, '|') AS cells, shown_as FROM f WHERE shown_as <= 100""")
+      WHERE len(list_filter(cells, lambda c: contains(lower(c), 'ma'))) > 0)
+SELECT table_id, row_index, array_to_string(cells, '|') AS cells, shown_as FROM f""")
 def any_cell_filter(spark, sf_dir):
     out = tablequery.any_cell_filter(corpora.table_rows(spark, sf_dir), "MA")
     return out.select("table_id", "row_index", F.array_join("cells", "|").alias("cells"), "shown_as")

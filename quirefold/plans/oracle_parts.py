@@ -72,7 +72,7 @@ inv_first AS (
                                ORDER BY rule_no, pos) AS dup
   FROM inv_raw WHERE kind <> 'pair' OR length(value) <= 120),
 inv_fields AS (
-  SELECT document_id * 1024 + row_number() OVER (PARTITION BY document_id ORDER BY rule_no, pos) - 1 AS field_id,
+  SELECT document_id * 1048576 + row_number() OVER (PARTITION BY document_id ORDER BY rule_no, pos) - 1 AS field_id,
          document_id, key, value, kind
   FROM inv_first WHERE dup = 1)"""
 

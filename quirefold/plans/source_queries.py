@@ -64,6 +64,20 @@ def csv_infer_header(spark, sf_dir):
                          F.array_join(F.get(t["rows"], F.lit(0)), "~").alias("first_row"), (F.size("p.warnings") > 0).alias("warned"))
 
 
+@query("csv_quoted_lines", """
+SELECT c_custkey AS document_id, 0 AS row_index, 'key|remark|balance' AS columns,
+       c_custkey || '~' || c_name || ' of' || c_mktsegment || ', "late"~' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS row FROM customer
+UNION ALL SELECT c_custkey, 1, 'key|remark|balance', '0~plain~1' FROM customer""")
+def csv_quoted_lines(spark, sf_dir):
+    """A file per customer with a blank after each comma and a quoted remark that runs over a line end."""
+    key = F.col("c_custkey").cast("string")
+    remark = F.concat(F.lit('"'), "c_name", F.lit(" of\r\n"), "c_mktsegment", F.lit(', ""late""\"'))
+    text = F.concat(F.lit("key, remark, balance\r\n"), key, F.lit(", "), remark, F.lit(", "), corpora.money(F.col("c_acctbal")), F.lit("\r\n0, plain, 1"))
+    parsed = corpora.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.explode(delimited.parse_delimited(text)["tables"]).alias("t"))
+    return parsed.select("document_id", F.array_join("t.columns", "|").alias("columns"), F.posexplode("t.rows").alias("row_index", "r")).select(
+        "document_id", "row_index", "columns", F.array_join("r", "~").alias("row"))
+
+
 @query("json_flatten", "SELECT event_id, 'k: ' || regexp_extract(props, '[0-9]+') AS line FROM events")
 def json_flatten(spark, sf_dir):
     walked = corpora.read(spark, sf_dir, "events").select("event_id", jsondocs.walk_json(F.col("props")).alias("w"))
@@ -116,6 +130,20 @@ def html_tables(spark, sf_dir):
         "document_id", "name", "location", "columns", "row_index", F.array_join("r", "|").alias("row"))
 
 
+@query("html_nested_tables", """
+WITH p AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m FROM customer)
+SELECT k AS document_id, 'table 1' AS location, 'before ' || n || m || '|after' AS columns FROM p
+UNION ALL SELECT k, 'table 2', n || m FROM p UNION ALL SELECT k, 'table 3', m FROM p UNION ALL SELECT k, 'table 4', CAST(k AS VARCHAR) || '|x' FROM p""")
+def html_nested_tables(spark, sf_dir):
+    """Per customer three tables inside each other, attributes that hold a ">", an end tag with a blank, and a table that is never closed."""
+    page = F.concat(
+        F.lit('<table summary="a > b"><tr><td>before <table><tr><td title=\'>\'>'), "c_name", F.lit("<TABLE><tr><td>"), "c_mktsegment",
+        F.lit("</td></tr></TABLE ></td></tr></table></td><td>after</td></tr></table><p data-x='1 > 0'>text</p><table><tr><td>"),
+        F.col("c_custkey").cast("string"), F.lit("<td>x"))
+    parsed = corpora.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.explode(html.parse_html(page)["tables"]).alias("t"))
+    return parsed.select("document_id", "t.location", F.array_join("t.columns", "|").alias("columns"))
+
+
 def mixed_files(spark, sf_dir):
     """Files of four formats from four tables, with ids that do not collide."""
     def rows(name, key, offset, ext, text):
@@ -257,7 +285,7 @@ def recover_partial(spark, sf_dir):
 
 
 @query("snapshot_roundtrip", op.with_(op.INV, op.INV_FIELDS) + """
-SELECT document_id, count(*) AS n_fields, CAST(sum(field_id % 1024) AS BIGINT) AS checksum FROM inv_fields WHERE document_id % 2 = 1 GROUP BY document_id""")
+SELECT document_id, count(*) AS n_fields, CAST(sum(field_id % 1048576) AS BIGINT) AS checksum FROM inv_fields WHERE document_id % 2 = 1 GROUP BY document_id""")
 def snapshot_roundtrip(spark, sf_dir):
     """Store, delete the even documents, snapshot, restore elsewhere, read the fields."""
     lib = library.Library(spark, scratch_path(spark, "library"), 8)
@@ -268,7 +296,7 @@ def snapshot_roundtrip(spark, sf_dir):
     lib.snapshot(target, 1)
     copy = library.Library(spark, scratch_path(spark, "restored"), 8)
     copy.restore(target)
-    return copy.read("fields").groupBy("document_id").agg(F.count("*").alias("n_fields"), F.sum(F.col("field_id") % 1024).alias("checksum"))
+    return copy.read("fields").groupBy("document_id").agg(F.count("*").alias("n_fields"), F.sum(F.col("field_id") % 1048576).alias("checksum"))
 
 
 @query("bulk_load_ids", "SELECT doc_id AS was, row_number() OVER (ORDER BY source || '_' || doc_id || '.txt') AS document_id FROM documents")

@@ -14,13 +14,21 @@ SAMPLE = 2048
 _PREFERENCE = [",", "\t", ";", "|"]
 
 
+_BREAK = fv.LINE_BREAK
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+'
+
+
 def _escaped(delimiter: str) -> str:
     return "\\" + delimiter if delimiter == "|" else delimiter
 
 
+def _sample(text: Column) -> Column:
+    """Lines of the head of the text without what stands in quotes."""
+    return tx.text_lines(F.regexp_replace(F.substring(text, 1, SAMPLE), '"[^"]*"', ""))
+
+
 def delimiter_of(text: Column) -> Column:
     """The candidate that cuts most sample lines into the same number of cells; comma otherwise."""
-    sample = F.transform(tx.text_lines(F.substring(text, 1, SAMPLE)), lambda ln: F.regexp_replace(ln, '"[^"]*"', ""))
 
     def votes(lines: Column, delimiter: str) -> Column:
         counts = F.filter(F.transform(lines, lambda ln: F.size(F.split(ln, _escaped(delimiter))) - 1), lambda n: n > 0)
@@ -34,23 +42,37 @@ def delimiter_of(text: Column) -> Column:
         ])
         return F.array_max(ranked)["d"]
 
-    return tx.let(sample, elect)
+    return tx.let(_sample(text), elect)
+
+
+def blanks_follow(text: Column, delimiter: Column) -> Column:
+    """Whether every delimiter of the first line has a blank behind it, which then is no part of the cells."""
+    count = lambda line, what: F.length(line) - F.length(F.replace(line, what, F.lit("")))
+    return tx.let(F.coalesce(F.get(_sample(text), F.lit(0)), F.lit("")), lambda line: (
+        (count(line, delimiter) > 0) & (count(line, delimiter) * 2 == count(line, F.concat(delimiter, F.lit(" "))))))
+
 
+def cut_rows(text: Column, delimiter: Column, blanks: Column) -> Column:
+    """Rows of cells. Quotes are read first, over the whole text: they protect delimiters and line ends, and doubled quotes
+    stand for one. A line end within quotes is dropped; a quote that does not open a cell is an ordinary character."""
+    d = F.when(delimiter == "|", "\\|").otherwise(delimiter)
+    rest = F.concat(F.lit("[^"), d, F.lit(r"\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]*+"))
+    lead = F.when(blanks, " *+").otherwise("")
+    cell = F.concat(lead, F.lit(f"(?:{_QUOTED}(?:\"|\\z)"), rest, F.lit("|"), rest, F.lit(")"))
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.concat(F.lit(f"(?:{_BREAK}|"), d, F.lit(")"), cell), F.lit(0))
 
-def split_line(line: Column, delimiter: Column) -> Column:
-    """Cells of one line; quotes protect delimiters and doubled quotes stand for one."""
+    def value(match: Column) -> Column:
+        bare = F.regexp_replace(match, F.concat(F.lit(f"^(?:{_BREAK}|"), d, F.lit(")"), lead), F.lit(""))
+        inner = lambda c: tx.let(F.regexp_extract(c, f"^({_QUOTED})", 1), lambda q: F.replace(F.substring(q, F.lit(2), F.length(q)), F.lit('""'), F.lit('"')))
+        opened = lambda c: F.concat(F.regexp_replace(inner(c), _BREAK, ""), F.regexp_replace(c, f'^{_QUOTED}"?', ""))
+        return tx.let(bare, lambda c: F.when(c.startswith('"'), opened(c)).otherwise(c))
 
-    def cells(d: str) -> Column:
-        e = _escaped(d)
-        found = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(f'{e}("(?:[^"]|"")*+"|[^{e}]*)'), F.lit(1))
-        quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
-        return F.transform(found, lambda c: F.when(
-            quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    def group(cells: Column) -> Column:
+        heads = F.filter(F.transform(cells, lambda c, i: F.when(c.rlike(f"^(?:{_BREAK})"), i)), lambda i: i.isNotNull())
+        return tx.let(heads, lambda hs: F.transform(hs, lambda at, k: F.transform(
+            F.slice(cells, at + 1, F.coalesce(F.get(hs, k + 1), F.size(cells)) - at), value)))
 
-    out = cells(",")
-    for d in _PREFERENCE[1:]:
-        out = F.when(delimiter == d, cells(d)).otherwise(out)
-    return out
+    return tx.let(found, group)
 
 
 def has_header(rows: Column) -> Column:
@@ -73,7 +95,7 @@ def has_header(rows: Column) -> Column:
 
 def rows_of(text: Column) -> Column:
     """Non-blank rows of cells."""
-    parsed = tx.let(delimiter_of(text), lambda d: F.transform(tx.text_lines(text), lambda ln: split_line(ln, d)))
+    parsed = tx.let(delimiter_of(text), lambda d: cut_rows(text, d, blanks_follow(text, d)))
     return F.filter(parsed, lambda r: F.exists(r, lambda c: tx.strip(c) != ""))
 
 

@@ -1,7 +1,6 @@
 """HTML pages: visible text as one prose block, every table as a grid. JVM expressions only.
 
-A table nested in a table is read as a table of its own; deeper ones are text of the cell
-that holds them.
+Every table is a table of its own, however deep it is nested, and text of the cell that holds it.
 """
 
 from __future__ import annotations
@@ -14,11 +13,12 @@ from pyspark.sql import functions as F
 from quirefold.functions import text as tx
 from quirefold.sources.parsed import block, failed, joined_rows, result
 
-TAG = r"<[/!?a-zA-Z][^>]*>"
-_JUNK = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
-_TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+# what may follow a tag's name; a quoted attribute value may hold a ">"
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+TAG = rf"<[/!?a-zA-Z]{_REST}"
+_JUNK = rf"(?is)<!--.*?-->|<(script|style|noscript)\b{_REST}.*?</\1\s*>"
+_TITLE = rf"(?is)<title\b{_REST}(.*?)</title\s*>"
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-MAX_NESTING = 2
 
 
 # entity name -> character from the standard table of names, as one foldable expression
@@ -56,35 +56,48 @@ def without_tags(html: Column) -> Column:
 
 
 def split_tables(html: Column) -> Column:
-    """struct(outside, flat, tables): text around the outermost tables, the same text with each
-    table replaced by its own text, and the tables themselves."""
-    pieces = F.split(html, r"(?i)(?=<table\b)|(?<=</table>)")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("outside"), F.lit("").alias("flat"),
-                     F.lit("").alias("open"), F.array().cast("array<string>").alias("tables"))
+    """struct(outside, tables): the text around all tables, and every table in document order, in which nested
+    tables are reduced to their text. A table that is never closed ends with the page.
+
+    The page is cut before each start and after each end of a table. One walk over the cuts, which carries numbers
+    only, gives every piece its depth and every table its first and last piece.
+    """
+    pieces = F.split(html, r"(?i)(?=<table\b)|(?<=</table\s{0,9}>)", -1)
+    ints, spans = "array<int>", "array<struct<first:int,last:int>>"
+    start = F.struct(F.array().cast(ints).alias("open"), F.array().cast(ints).alias("depths"), F.array().cast(spans).alias("tables"))
 
     def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + piece.rlike(r"(?i)^<table\b").cast("int")
-        after = F.greatest(depth - piece.rlike(r"(?i)</table>\z").cast("int"), F.lit(0))
-        whole = F.concat(acc["open"], piece)
-        inside, closed = depth > 0, (depth > 0) & (after == 0)
+        at = F.size(acc["depths"])
+        opened = F.when(piece.rlike(r"(?i)^<table\b"), F.concat(acc["open"], F.array(at))).otherwise(acc["open"])
+
+        def close(now: Column) -> Column:
+            ends = piece.rlike(r"(?i)</table\s{0,9}>\z") & (F.size(now) > 0)
+            span = F.struct(F.get(now, F.size(now) - 1).alias("first"), at.alias("last"))
+            return F.struct(
+                F.when(ends, F.slice(now, F.lit(1), F.size(now) - 1)).otherwise(now).alias("open"),
+                F.concat(acc["depths"], F.array(F.size(now))).alias("depths"),
+                F.when(ends, F.concat(acc["tables"], F.array(span))).otherwise(acc["tables"]).alias("tables"))
+
+        return tx.let(opened, close)
+
+    def build(s: Column) -> Column:
+        ps, w = s["pieces"], s["walk"]
+        unclosed = F.transform(w["open"], lambda i: F.struct(i.alias("first"), (F.size(ps) - 1).alias("last")))
+        own = lambda t: F.array_join(F.transform(
+            F.slice(F.arrays_zip(ps.alias("p"), w["depths"].alias("d")), t["first"] + 1, t["last"] - t["first"] + 1),
+            lambda x: F.when(x["d"] == F.get(w["depths"], t["first"]), x["p"]).otherwise(without_tags(x["p"]))), "")
+        outside = F.filter(F.transform(ps, lambda p, i: F.when(F.get(w["depths"], i) == 0, p)), lambda p: p.isNotNull())
         return F.struct(
-            after.alias("depth"),
-            F.when(inside, acc["outside"]).otherwise(F.concat(acc["outside"], piece)).alias("outside"),
-            F.when(closed, F.concat(acc["flat"], without_tags(whole))).when(inside, acc["flat"]).otherwise(F.concat(acc["flat"], piece)).alias("flat"),
-            F.when(closed | ~inside, "").otherwise(whole).alias("open"),
-            F.when(closed, F.concat(acc["tables"], F.array(whole))).otherwise(acc["tables"]).alias("tables"),
-        )
+            F.array_join(outside, "").alias("outside"),
+            F.transform(F.array_sort(F.concat(w["tables"], unclosed)), own).alias("tables"))
 
-    # a table that is never closed ends with the page
-    finish = lambda s: F.struct(
-        s["outside"].alias("outside"), F.concat(s["flat"], without_tags(s["open"])).alias("flat"),
-        F.when(s["open"] != "", F.concat(s["tables"], F.array(s["open"]))).otherwise(s["tables"]).alias("tables"))
-    return tx.let(F.aggregate(pieces, start, step), finish)
+    walked = tx.let(pieces, lambda ps: F.struct(ps.alias("pieces"), F.aggregate(ps, start, step).alias("walk")))
+    return tx.let(walked, build)
 
 
 def grid(flat: Column) -> Column:
     """Rows of cells of one table without nested tables: blank rows dropped, short rows padded."""
-    parts = lambda s, tag: F.slice(F.split(s, rf"(?i)<{tag}\b[^>]*>"), F.lit(2), F.lit(1 << 30))
+    parts = lambda s, tag: F.slice(F.split(s, rf"(?i)<{tag}\b{_REST}"), F.lit(2), F.lit(1 << 30))
     cell = lambda c: F.array_join(tx.words(unescape(without_tags(F.regexp_replace(c, r"(?is)</t[dh]\b.*", "")))), " ")
     rows = F.transform(parts(flat, "tr"), lambda r: F.transform(parts(F.regexp_replace(r, r"(?is)</tr\b.*", ""), "t[dh]"), cell))
     kept = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
@@ -94,18 +107,9 @@ def grid(flat: Column) -> Column:
     ))
 
 
-def _grids(tables: Column, depth: int) -> Column:
-    def one(table: Column) -> Column:
-        inner = F.regexp_replace(table, r"(?i)^<table\b[^>]*>|</table>\z", "")
-        nested = lambda s: _grids(s["tables"], depth - 1) if depth > 1 else F.array().cast("array<array<array<string>>>")
-        return tx.let(split_tables(inner), lambda s: F.concat(F.array(grid(s["flat"])), nested(s)))
-
-    return F.flatten(F.transform(tables, one))
-
-
-def table_grids(html: Column, depth: int = MAX_NESTING) -> Column:
-    """Grids of all tables in document order; a nested table follows the one that holds it."""
-    return _grids(split_tables(html)["tables"], depth)
+def table_grids(tables: Column) -> Column:
+    """Grids of the tables of ``split_tables``; a nested table follows the one that holds it."""
+    return F.transform(tables, grid)
 
 
 def visible_text(outside: Column) -> Column:
@@ -141,6 +145,7 @@ def parse_html(html: Column) -> Column:
         parsed = F.struct(F.concat(prose, blocks).alias("blocks"), tables.alias("tables"))
         return tx.let(parsed, lambda p: F.when(F.size(p["blocks"]) == 0, failed("no extractable text")).otherwise(result(p["blocks"], p["tables"])))
 
-    whole = tx.let(clean_html(html), lambda c: tx.let(
-        F.struct(page_title(c).alias("title"), visible_text(split_tables(c)["outside"]).alias("text"), table_grids(c).alias("grids")), build))
+    cut = lambda c: tx.let(split_tables(c), lambda s: F.struct(
+        page_title(c).alias("title"), visible_text(s["outside"]).alias("text"), table_grids(s["tables"]).alias("grids")))
+    whole = tx.let(clean_html(html), lambda c: tx.let(cut(c), build))
     return F.when(tx.strip(html) == "", failed("file is empty")).otherwise(whole)
