@@ -52,6 +52,8 @@ HIGHLIGHT_STOPWORDS = (
     "my me you your we"
 ).split()
 QUERY_TOKEN_PATTERN = r'"[^"]*"|\S+'
+QUERY_OPERATORS = ["AND", "OR", "NOT"]
+QUERY_NEAR = "NEAR"
 BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_IDF_FLOOR = 1e-6
