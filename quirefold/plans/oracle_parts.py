@@ -5,6 +5,7 @@ not depend on the extraction rules they are compared with.
 """
 
 from quirefold.functions import fixed_values as fv
+from quirefold.functions import stem
 
 SP = fv.SPACE_CLASS + "+"
 
@@ -133,3 +134,74 @@ def with_(*parts: str, recursive: bool = False) -> str:
 
 
 LIBRARY = (INV, INV_TEXT, INV_FIELDS, TAB, LIB_DOCS, LIB_TABLES)
+
+
+# --- Porter stems, stated with the usual regular expressions for consonant and vowel runs -----------
+
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+
+
+def _runs(w: str, pattern: str) -> str:
+    return f"regexp_matches({w}, '^({_C})?{pattern}')"
+
+
+def _m0(w):
+    return _runs(w, _V + _C)
+
+
+def _m1(w):
+    return _runs(w, f"{_V}{_C}({_V})?$")
+
+
+def _m2(w):
+    return _runs(w, _V + _C + _V + _C)
+
+
+def _vowel(w):
+    return _runs(w, "[aeiouy]")
+
+
+def _short(w):
+    return f"regexp_matches({w}, '^{_C}[aeiouy][^aeiouwxy]$')"
+
+
+def _cut(w, n):
+    return f"left({w}, length({w}) - {n})"
+
+
+def _suffixes(table) -> str:
+    ordered = sorted(table, key=lambda p: -len(p[0]))
+    arms = [f"WHEN ends_with(w, '{a}') THEN CASE WHEN {_m0(_cut('w', len(a)))} THEN {_cut('w', len(a))} || '{b}' ELSE w END" for a, b in ordered]
+    return "CASE " + " ".join(arms) + " ELSE w END"
+
+
+def _last_suffix(suffixes) -> str:
+    arms = []
+    for a in suffixes:
+        base = _cut("w", len(a))
+        extra = f" AND (ends_with({base}, 's') OR ends_with({base}, 't'))" if a == "ion" else ""
+        arms.append(f"WHEN ends_with(w, '{a}') THEN CASE WHEN {_m2(base)}{extra} THEN {base} ELSE w END")
+    return "CASE " + " ".join(arms) + " ELSE w END"
+
+
+def stems(lex: str) -> str:
+    """CTE ``stm(term, s)`` for the distinct tokens of the relation ``lex(term)``. A leading y is a consonant, so it is kept apart as Y."""
+    w1 = _cut("w", 1)
+    steps = [
+        "CASE WHEN starts_with(term, 'y') THEN 'Y' || substr(term, 2) ELSE term END",
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut('w', 2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {w1} ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m0(_cut('w', 3))} THEN {w1} ELSE w END"
+        f" WHEN ends_with(w, 'ed') AND {_vowel(_cut('w', 2))} THEN '#' || {_cut('w', 2)}"
+        f" WHEN ends_with(w, 'ing') AND {_vowel(_cut('w', 3))} THEN '#' || {_cut('w', 3)} ELSE w END",
+        "CASE WHEN NOT starts_with(w, '#') THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN substr(w, 2) || 'e'"
+        f" WHEN length(w) > 2 AND right(w, 1) = left(right(w, 2), 1) AND NOT regexp_matches(w, '[aeioulsz]$') THEN substr({w1}, 2)"
+        f" WHEN {_m1('substr(w, 2)')} AND {_short('substr(w, 2)')} THEN substr(w, 2) || 'e' ELSE substr(w, 2) END",
+        f"CASE WHEN ends_with(w, 'y') AND {_vowel(w1)} THEN {w1} || 'i' ELSE w END",
+        _suffixes(stem._STEP2), _suffixes(stem._STEP3), _last_suffix(stem._STEP4),
+        f"CASE WHEN ends_with(w, 'e') AND ({_m2(w1)} OR ({_m1(w1)} AND NOT {_short(w1)})) THEN {w1} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {_m2('w')} THEN {w1} ELSE w END",
+    ]
+    inner = f"(SELECT term, term AS w FROM {lex})"
+    for step in steps:
+        inner = f"(SELECT term, {step} AS w FROM {inner})"
+    return f"stm AS (SELECT term, CASE WHEN length(term) BETWEEN 3 AND 64 THEN replace(w, 'Y', 'y') ELSE term END AS s FROM {inner})"

@@ -138,11 +138,12 @@ def chunk_table_rows(spark, sf_dir):
     return chunk.chunk_documents(docs).select("chunk_id", "document_id", "seq", "text")
 
 
-@query("empty_doc_reject", """SELECT doc_id AS document_id, 'failed' AS status, 'no extractable text' AS error FROM documents
-WHERE NOT regexp_matches(text, '[0-9]')""")
+@query("empty_doc_reject", f"""SELECT doc_id AS document_id, 'failed' AS status, 'no extractable text' AS error FROM documents
+WHERE {op.strip('text')} = '' OR doc_id % 3 = 0""")
 def empty_doc_reject(spark, sf_dir):
-    """The digits of every document as its text: documents without a digit have no text."""
-    docs = corpora.doc_texts(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^0-9]+", " "))
+    """All documents with their whole texts; in every third one each character that is no blank is made one."""
+    blank = F.regexp_replace("text", r"\S", "\u3000")
+    docs = corpora.doc_texts(spark, sf_dir).withColumn("text", F.when(F.col("document_id") % 3 == 0, blank).otherwise(F.col("text")))
     return chunk.without_chunks(docs.select("document_id"), chunk.chunk_prose(docs))
 
 
@@ -200,15 +201,16 @@ def knn_postfilter(spark, sf_dir):
 
 
 @query("vector_upsert", """
-SELECT vec_id AS chunk_id, round(CASE WHEN label = 0 THEN -embedding[1] ELSE embedding[1] END, 6) AS head FROM embeddings
-UNION ALL SELECT vec_id + 1000000, round(embedding[1], 6) FROM embeddings WHERE label = 2""")
+SELECT vec_id + extra AS chunk_id, i - 1 AS place, round(CASE WHEN label = 0 THEN -embedding[i] ELSE embedding[i] END, 6) AS value
+FROM (SELECT vec_id, label, embedding, extra, unnest(range(1, len(embedding) + 1)) AS i
+      FROM (SELECT *, 0 AS extra FROM embeddings UNION ALL SELECT *, 1000000 FROM embeddings WHERE label = 2))""")
 def vector_upsert(spark, sf_dir):
     vecs = _vectors(spark, sf_dir)
     flipped = vecs.filter("label = 0").select("chunk_id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(2).alias("version"))
     stale = vecs.filter("label = 0").select("chunk_id", F.transform("embedding", lambda x: x * F.lit(5).cast("float")).alias("embedding"), F.lit(1).alias("version"))
     fresh = vecs.filter("label = 2").select((F.col("chunk_id") + 1000000).alias("chunk_id"), "embedding", F.lit(1).alias("version"))
     out = vectors.upsert(vecs.select("chunk_id", "embedding"), flipped.unionByName(stale).unionByName(fresh))
-    return out.select("chunk_id", F.round(F.get("embedding", F.lit(0)), 6).alias("head"))
+    return out.select("chunk_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("vector_dim_check", "SELECT min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS matches FROM embeddings")
@@ -245,6 +247,19 @@ bm AS (SELECT query_id, chunk_id, document_id, file_type,
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rnk FROM bm)"""
 K = op.with_(CHUNKS, TOKENS)
 S = op.with_(CHUNKS, TOKENS, QTERMS)
+# the same with stems: the lexicon of texts and questions is stemmed once, and token lists are rebuilt from it
+_PLAIN_TOKS, _PLAIN_PHRASES = TOKENS.split("\n")[1], QTERMS.split("\n")[4]
+_LEXICON = f"""
+raw0 AS (SELECT chunk_id, document_id, file_type, {op.tokens('text')} AS ts FROM chunks),
+lex AS (SELECT DISTINCT term FROM (SELECT unnest(ts) AS term FROM raw0 UNION ALL SELECT unnest({op.tokens('text')}) FROM benchmark)),
+""" + op.stems("lex")
+STEM_TOKENS = _LEXICON + "," + TOKENS.replace(_PLAIN_TOKS, """toks AS (SELECT chunk_id, document_id, file_type, coalesce(list(s ORDER BY pos) FILTER (s IS NOT NULL), []) AS ts
+  FROM raw0 LEFT JOIN (SELECT chunk_id, s, pos FROM (SELECT chunk_id, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM raw0) JOIN stm USING (term)) USING (chunk_id)
+  GROUP BY chunk_id, document_id, file_type),""")
+STEM_QTERMS = QTERMS.replace(_PLAIN_PHRASES, f"""qnum AS (SELECT row_number() OVER () AS qn, query_id, {op.tokens('term')} AS ts FROM qterm),
+qphr AS (SELECT query_id, list(s ORDER BY pos) AS ts FROM (SELECT qn, query_id, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM qnum) JOIN stm USING (term) GROUP BY qn, query_id),""")
+KS = op.with_(CHUNKS, STEM_TOKENS)
+SS = op.with_(CHUNKS, STEM_TOKENS, STEM_QTERMS)
 
 
 @query("tokenize", K + "SELECT chunk_id, pos, term FROM tok")
@@ -252,7 +267,7 @@ def tokenize(spark, sf_dir):
     return keyword.tokenize(doc_chunks(spark, sf_dir), stem=False).select("chunk_id", "pos", "term")
 
 
-@query("tokenize_stemmed")
+@query("tokenize_stemmed", KS + "SELECT chunk_id, pos, term FROM tok")
 def tokenize_stemmed(spark, sf_dir):
     return keyword.tokenize(doc_chunks(spark, sf_dir)).select("chunk_id", "pos", "term")
 
@@ -279,7 +294,7 @@ def bm25_search(spark, sf_dir):
     return _hits(keyword.bm25_search(corpora.passages(spark, sf_dir), index))
 
 
-@query("bm25_search_stemmed")
+@query("bm25_search_stemmed", SS + "SELECT query_id, rnk, chunk_id, round(score, 6) AS score FROM kw WHERE rnk <= 100")
 def bm25_search_stemmed(spark, sf_dir):
     return _hits(keyword.bm25_search(corpora.passages(spark, sf_dir), keyword.build_index(doc_chunks(spark, sf_dir))))
 
@@ -291,15 +306,34 @@ def query_terms(spark, sf_dir):
 
 
 def _boolean_queries(spark, sf_dir):
-    """Passages as Boolean requests: their first two words, any of the next three, none of the last."""
+    """Passages as Boolean requests: their first two words, any of the others, none of the last."""
     w = tx.words(F.col("q"))
     return corpora.passages(spark, sf_dir).select(
-        "query_id", F.slice(w, 1, 2).alias("all_of"), F.slice(w, 3, 3).alias("any_of"), F.slice(w, -1, 1).alias("none_of"))
+        "query_id", F.slice(w, 1, 2).alias("all_of"), F.slice(w, F.lit(3), F.greatest(F.size(w) - 3, F.lit(0))).alias("any_of"), F.slice(w, -1, 1).alias("none_of"))
+
+
+@query("question_operators", K + f""",
+bw AS (SELECT item_id AS query_id, {op.tokens('text')} AS ws FROM benchmark),
+it AS (SELECT query_id, ws[i] AS term, (i - 1) // 3 AS c, (i - 1) % 3 = 2 AS neg FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM bw)),
+tm AS (SELECT query_id, term, count(*) AS times FROM it WHERE NOT neg GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, sum(times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / avg_len))) AS score FROM tm JOIN post USING (term) JOIN dfs USING (term), tot GROUP BY query_id, chunk_id),
+cl AS (SELECT query_id, c, count(DISTINCT term) FILTER (NOT neg) AS np, count(DISTINCT term) FILTER (neg) AS nn FROM it GROUP BY ALL),
+m AS (SELECT it.query_id, it.c, chunk_id, count(DISTINCT term) FILTER (NOT neg) AS a, count(DISTINCT term) FILTER (neg) AS z FROM it JOIN post USING (term) GROUP BY ALL),
+good AS (SELECT DISTINCT query_id, chunk_id FROM m JOIN cl USING (query_id, c) WHERE a = np AND NOT (nn > 0 AND z = nn)),
+r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rnk FROM sc JOIN good USING (query_id, chunk_id))
+SELECT query_id, rnk, chunk_id, round(score, 6) AS score FROM r WHERE rnk <= 100""")
+def question_operators(spark, sf_dir):
+    """Whole passages as questions: of every three words two have to be there and the third must not, or the next three decide."""
+    w = tx.tokens(F.col("q"))
+    joint = lambda i: F.when(i == 0, "").when(i % 3 == 0, " OR ").when(i % 3 == 2, " NOT ").otherwise(" ")
+    asked = corpora.passages(spark, sf_dir).select("query_id", F.array_join(F.transform(w, lambda t, i: F.concat(joint(i), t)), "").alias("q"))
+    return _hits(keyword.bm25_search(asked, keyword.build_index(doc_chunks(spark, sf_dir), stem=False)))
 
 
 @query("bool_match", K + f""",
 bq AS (SELECT item_id AS query_id, {op.words('text')} AS ws FROM benchmark),
-side AS (SELECT query_id, 'all' AS side, unnest(ws[1:2]) AS term FROM bq UNION ALL SELECT query_id, 'any', unnest(ws[3:5]) FROM bq
+side AS (SELECT query_id, 'all' AS side, unnest(ws[1:2]) AS term FROM bq UNION ALL SELECT query_id, 'any', unnest(ws[3:len(ws) - 1]) FROM bq
          UNION ALL SELECT query_id, 'none', unnest(ws[-1:]) FROM bq),
 sp AS (SELECT DISTINCT query_id, side, {op.tokens('term')} AS ts FROM side),
 ss AS (SELECT * FROM sp WHERE len(ts) > 0),
