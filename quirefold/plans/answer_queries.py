@@ -186,6 +186,25 @@ def table_facts(spark, sf_dir):
     return tablefacts.table_facts(corpora.questions(spark, sf_dir), *_tables(spark, sf_dir))
 
 
+EMPTY_TABLES = op.TAB.replace("(4, 'nation', ['nationkey','name','regionkey'])", "(4, 'nation', ['nationkey','name','regionkey']), (5, 'refund', ['refundkey','amount'])")
+EMPTY_QST = op.QST + """,
+qst2 AS (SELECT * FROM qst UNION ALL SELECT -c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'how many refund rows are there?' WHEN 1 THEN 'total amount of the refund table'
+  ELSE 'how many refund rows for ' || c_mktsegment || '?' END FROM customer)"""
+
+
+@query("table_facts_empty", op.with_(EMPTY_TABLES, EMPTY_QST, FACTS.replace("FROM qst)", "FROM qst2)"), FACT_ROWS.replace(
+    "(SELECT max(n_rows)", "coalesce((SELECT max(n_rows)").replace("st.f_key = b.f_key)\n", "st.f_key = b.f_key), 0)\n")) + """
+SELECT query_id, pos, table_id, score, fact FROM (SELECT query_id, lower(q) AS question FROM qst2) JOIN fr USING (question) WHERE pos <= 3""")
+def table_facts_empty(spark, sf_dir):
+    """The questions of ``table_facts`` and some about a table that has a header and no rows."""
+    headers, rows = _tables(spark, sf_dir)
+    empty = spark.createDataFrame([(5, corpora.TABLE_DOC_BASE + 5, "refund", ["refundkey", "amount"])], headers.schema)
+    key = F.col("c_custkey")
+    about = corpora.read(spark, sf_dir, "customer").select((-key).alias("query_id"), F.when(key % 3 == 0, "how many refund rows are there?").when(
+        key % 3 == 1, "total amount of the refund table").otherwise(F.concat(F.lit("how many refund rows for "), "c_mktsegment", F.lit("?"))).alias("q"))
+    return tablefacts.table_facts(corpora.questions(spark, sf_dir).unionByName(about), headers.unionByName(empty), rows)
+
+
 @query("parse_number", op.with_(op.TAB) + """
 SELECT table_id, row_index, col_index, try_cast(nullif(regexp_extract(replace(value, ',', ''), '-?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS number FROM tab_cells""")
 def parse_number(spark, sf_dir):
@@ -260,7 +279,26 @@ def excerpt_bundle(spark, sf_dir):
     return answers.excerpt_bundle(_keyword_hits(spark, sf_dir))
 
 
-@query("question_context")
+CONTEXT_QST = """
+qst AS (SELECT item_id AS query_id, text AS q FROM benchmark
+        UNION ALL SELECT min(c_custkey) + 1000000, 'How many customer rows are in the ' || c_mktsegment || ' segment?' FROM customer GROUP BY c_mktsegment),
+asked AS (SELECT query_id AS item_id, q AS text FROM qst)"""
+_ASKED = [part.replace("FROM benchmark", "FROM asked") for part in (QTERMS, HYB)]
+
+
+@query("question_context", op.with_(*op.LIBRARY, CONTEXT_QST, FACTS, FACT_ROWS, SUMMARY, CHUNKS, TOKENS, *_ASKED) + f""",
+sl AS (SELECT array_to_string(kinds, ',') AS kinds, 0 AS pos, header AS line FROM ks, hd
+       UNION ALL SELECT array_to_string(kinds, ','), pos, line FROM kept JOIN od USING (kinds, pos)
+       UNION ALL SELECT array_to_string(kinds, ','), 2147483647, '(+' || (total - len(f.ids)) || ' more document(s) omitted to fit the size limit)' FROM fold, hd WHERE total > len(f.ids)),
+sm AS (SELECT kinds, string_agg(line, chr(10) ORDER BY pos) AS summary FROM sl GROUP BY kinds),
+fb AS (SELECT question, 'TABLE FACTS (computed in code over the COMPLETE table — authoritative, use these exact numbers verbatim; never recompute from the excerpts):' || chr(10)
+         || string_agg('- ' || fact, chr(10) ORDER BY pos) AS facts FROM fr WHERE pos <= 3 GROUP BY question),
+ex AS (SELECT query_id, string_agg('[' || title || ']' || chr(10) || CASE WHEN length(text) <= 1200 THEN text ELSE substr(text, 1, 1200) || '…' END, chr(10) || chr(10) ORDER BY rnk) AS excerpts
+       FROM hyb JOIN (SELECT chunk_id, title, text FROM chunks) USING (chunk_id) WHERE rnk <= 10 GROUP BY query_id),
+fl AS (SELECT query_id, lower(q) AS question, {_any(PAD, fv.AGGREGATE_CUES)} AS wide, array_to_string({TARGETS}, ',') AS kinds FROM qst),
+al AS (SELECT fl.*, facts, excerpts, concat_ws(chr(10) || chr(10), CASE WHEN wide THEN summary END, facts) AS extra
+       FROM fl LEFT JOIN sm USING (kinds) LEFT JOIN fb USING (question) LEFT JOIN ex USING (query_id))
+SELECT query_id, wide OR facts IS NOT NULL AS aggregate, extra, coalesce(excerpts, '') AS excerpts, excerpts IS NOT NULL OR extra <> '' AS found FROM al""")
 def question_context(spark, sf_dir):
     """Passages as open questions plus one computable question per market segment."""
     segments = corpora.read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("k")).select(
@@ -312,9 +350,10 @@ def judgements(spark, sf_dir):
 
 
 def _runs(spark, sf_dir, modes=("keyword", "semantic", "hybrid")):
-    """The ten best chunks per passage and mode."""
+    """The ten best chunks per passage and mode, over legs computed once."""
     index, queries = search_index(spark, sf_dir), corpora.passages(spark, sf_dir)
-    return {m: hybrid.ranked_chunks(queries, index, m, limit=10).withColumn("document_id", parent_id("chunk_id")) for m in modes}
+    runs = hybrid.ranked_modes(queries, index, list(modes), limit=10)
+    return {m: run.withColumn("document_id", parent_id("chunk_id")) for m, run in runs.items()}
 
 
 EV = op.with_(CHUNKS, TOKENS, QTERMS, HYB, JUDGED) + """,

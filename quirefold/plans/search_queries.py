@@ -445,19 +445,28 @@ def title_match(spark, sf_dir):
     return hybrid.title_leg(hybrid.title_matches(queries, titles), fv.LEG_DEPTH)
 
 
-@query("hybrid_search", op.with_(CHUNKS, TOKENS, QTERMS, HYB) + f""",
+HYB_PAGE = f""",
 pg AS (SELECT query_id, rnk, chunk_id, score FROM hyb WHERE rnk <= 20),
 o AS (SELECT query_id, term, length(term) AS n FROM te),
 hit AS (SELECT pg.*, c.document_id, c.title, c.file_type, c.text,
           (SELECT arg_min(instr(lower(c.text), o.term), (-o.n, o.term)) FROM o WHERE o.query_id = pg.query_id AND contains(lower(c.text), o.term)) AS at0
         FROM pg JOIN chunks c USING (chunk_id)),
 pos AS (SELECT *, coalesce(at0, 0) AS loc, greatest(0, coalesce(at0, 1) - 1 - 73) AS st FROM hit)
-SELECT query_id, CAST(rnk AS INT) AS rnk, chunk_id, document_id, title AS document_title, file_type, {SNIP} AS snippet, round(score, 6) AS score FROM pos""")
+SELECT query_id, CAST(rnk AS INT) AS rnk, chunk_id, document_id, title AS document_title, file_type, {SNIP} AS snippet, round(score, 6) AS score FROM pos"""
+
+
+@query("hybrid_search", op.with_(CHUNKS, TOKENS, QTERMS, HYB) + HYB_PAGE)
 def hybrid_search(spark, sf_dir):
     hits = hybrid.search(corpora.passages(spark, sf_dir), search_index(spark, sf_dir))
     return hits.withColumn("score", F.round("score", 6)).drop("text", "location")
 
 
+@query("hybrid_search_stemmed", op.with_(CHUNKS, STEM_TOKENS, STEM_QTERMS, HYB) + HYB_PAGE)
+def hybrid_search_stemmed(spark, sf_dir):
+    hits = hybrid.search(corpora.passages(spark, sf_dir), search_index(spark, sf_dir, stem=True))
+    return hits.withColumn("score", F.round("score", 6)).drop("text", "location")
+
+
 @query("search_modes", op.with_(CHUNKS, TOKENS, QTERMS, HYB) + """
 SELECT 'keyword' AS mode, query_id, rnk, chunk_id, round(score, 6) AS score FROM kw WHERE rnk <= 20
 UNION ALL SELECT 'semantic', query_id, rnk, chunk_id, round(score, 6) FROM sem WHERE rnk <= 20

@@ -44,6 +44,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def foldered(df: DataFrame, label: str, folders: str, sort: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders of ``folders`` and sorted by ``sort``, so that filters on them skip files."""
+    path = scratch_path(df.sparkSession, label)
+    df.hint("rebalance", folders).sortWithinPartitions(folders, sort).write.partitionBy(folders).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, label: str, buckets: int, by: str, folders: str, sort: str) -> DataFrame:
     """Write ``df`` once to the shared folder as a table bucketed by ``by``, in folders of ``folders``, sorted by ``sort``.
 
