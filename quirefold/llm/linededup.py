@@ -95,13 +95,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later, h = [], 1
     while h <= longest:
         # intervals of depth m, h <= m < 2h, by the ranks of their first and last h lines
-        keyed = (
+        keyed = materialize(
             runs.filter((F.col("m") >= h) & (F.col("m") < 2 * h)).alias("r")
             .join(state.select(*DOC, "idx", "rank").alias("a"), _same_doc("r", "a") & (F.col("r.idx") == F.col("a.idx")))
             .join(state.select(*DOC, "idx", "rank").alias("b"), _same_doc("r", "b") & (F.col("r.idx") + F.col("m") - h == F.col("b.idx")))
-            .select("r.doc_id", "r.k1", "r.idx", "m", F.col("a.rank").alias("r1"), F.col("b.rank").alias("r2"))
+            .select("r.doc_id", "r.k1", "r.idx", "m", F.col("a.rank").alias("r1"), F.col("b.rank").alias("r2")),
+            "keyed",
+        )
+        first = materialize(
+            keyed.groupBy("m", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "intervals"
         )
-        first = keyed.groupBy("m", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
         later.append(materialize(
             keyed.join(first, ["m", "r1", "r2"]).filter(place != F.col("first")).select(*DOC, "idx", "m"), "copies"
         ))
