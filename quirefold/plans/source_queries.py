@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
+from quirefold.functions.ids import parent_id
 from quirefold.operators import admission, extract, ingest, library, vectors
 from quirefold.operators.chunk import chunk_prose
 from quirefold.plans import corpora
@@ -160,14 +161,14 @@ def mixed_files(spark, sf_dir):
 
 @query("scan_multiformat", f"""
 SELECT doc_id * 4 AS document_id, 'txt' AS file_type, CASE WHEN {op.strip('text')} = '' THEN 0 ELSE 1 END AS n_blocks, 0 AS n_tables, CASE WHEN {op.strip('text')} = '' THEN 'file is empty' END AS error,
-  CASE WHEN {op.strip('text')} <> '' THEN md5({op.strip('text')}) END AS first_text FROM documents
+  CASE WHEN {op.strip('text')} <> '' THEN md5({op.strip('text')}) END AS all_text FROM documents
 UNION ALL SELECT page_id * 4 + 1, 'html', 1, 0, NULL, md5(array_to_string(list_filter(list_transform(regexp_split_to_array({_entities("regexp_replace(" + HTML_CLEAN + ", '<[/!?a-zA-Z][^>]*>', '', 'g')")}, '\\n'), lambda x: {op.strip('x')}), lambda x: x <> ''), chr(10))) FROM pages
 UNION ALL SELECT event_id * 4 + 2, 'json', 1, 0, NULL, md5('k: ' || regexp_extract(props, '[0-9]+')) FROM events
 UNION ALL SELECT c_custkey * 4 + 3, 'csv', 1, 1, NULL, md5('key,name,balance' || chr(10) || c_custkey || ',' || c_name || ',' || CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)) FROM customer""")
 def scan_multiformat(spark, sf_dir):
     parsed = files.parse(mixed_files(spark, sf_dir))
     return parsed.select("document_id", "file_type", F.size("blocks").alias("n_blocks"), F.size("tables").alias("n_tables"), "error",
-                         F.md5(F.get("blocks", F.lit(0))["text"]).alias("first_text"))
+                         F.when(F.size("blocks") > 0, F.md5(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n"))).alias("all_text"))
 
 
 @query("text_rows_source", """
@@ -228,75 +229,140 @@ def catalog_append(spark, sf_dir):
 
 
 @query("structured_sink", op.with_(op.INV, op.INV_FIELDS, op.TAB) + """
-SELECT 'fields' AS name, kind AS part, count(*) AS n, CAST(sum(field_id % 1000) AS BIGINT) AS checksum FROM inv_fields GROUP BY kind
-UNION ALL SELECT 'table_rows', CAST(table_id AS VARCHAR), count(*), CAST(sum(row_index % 1000) AS BIGINT) FROM tab_rows GROUP BY table_id
-UNION ALL SELECT 'tables', CAST(table_id AS VARCHAR), count(*), 0 FROM tab_names GROUP BY table_id""")
+SELECT 'fields' AS name, field_id AS id, 0 AS place, kind || '|' || key || '|' || value AS content FROM inv_fields
+UNION ALL SELECT 'table_rows', table_id, row_index, array_to_string(cells, '|') FROM tab_rows
+UNION ALL SELECT 'tables', table_id, 0, name || '|' || array_to_string(col_names, '|') FROM tab_names""")
 def structured_sink(spark, sf_dir):
     lib = library.Library(spark, scratch_path(spark, "library"), 8)
     _, fields, tables, _ = library_frames(spark, sf_dir)
     rows = corpora.table_rows(spark, sf_dir).withColumn("document_id", F.col("table_id") + corpora.TABLE_DOC_BASE)
     docs = corpora.library_documents(spark, sf_dir)
     lib.write_batch(0, {"fields": fields, "tables": tables, "table_rows": rows, "documents": docs})
-    part = lambda df, name, by, x: df.groupBy(F.col(by).cast("string").alias("part")).agg(F.count("*").alias("n"), F.sum(x).cast("long").alias("checksum")).select(F.lit(name).alias("name"), "part", "n", "checksum")
-    out = part(lib.read("fields"), "fields", "kind", F.col("field_id") % 1000)
-    out = out.unionByName(part(lib.read("table_rows"), "table_rows", "table_id", F.col("row_index") % 1000))
-    return out.unionByName(part(lib.read("tables"), "tables", "table_id", F.lit(0)))
+    return _listed({t: lib.read(t) for t in ("fields", "table_rows", "tables")})
 
 
-def _counted(frames):
+def parent_document(df):
+    return df.withColumn("document_id", parent_id("chunk_id"))
+
+
+CONTENT = {  # SQL of id, place in it and content of a row
+    "documents": ("document_id", "0", "concat_ws('|', title, file_type, status, error)"),
+    "chunks": ("chunk_id", "0", "text"), "vectors": ("chunk_id", "0", "''"), "fields": ("field_id", "0", "concat_ws('|', kind, key, value)"),
+    "tables": ("table_id", "0", "concat_ws('|', name, array_join(col_names, '|'))"), "table_rows": ("table_id", "row_index", "array_join(cells, '|')"),
+}
+
+
+def _listed(frames):
+    """(name, id, place, content) of every row of the library tables."""
     out = None
     for name in sorted(frames):
-        row = frames[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = row if out is None else out.unionByName(row)
+        key, place, content = CONTENT[name]
+        rows = frames[name].select(F.lit(name).alias("name"), F.expr(key).cast("long").alias("id"), F.expr(place).cast("int").alias("place"), F.expr(content).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _listed_sql(kept: str, documents: str) -> str:
+    """The rows that ``_listed`` has for the documents that satisfy ``kept``."""
+    prose = f"array_to_string({op.words('text')}, ' ')"
+    return f"""
+{documents}
+UNION ALL SELECT 'chunks', document_id * 1048576, 0, {prose} FROM inv_text WHERE {kept}
+UNION ALL SELECT 'vectors', document_id * 1048576, 0, '' FROM inv WHERE {kept}
+UNION ALL SELECT 'fields', field_id, 0, kind || '|' || key || '|' || value FROM inv_fields WHERE {kept}
+UNION ALL SELECT 'tables', table_id, 0, name || '|' || array_to_string(col_names, '|') FROM lib_tables JOIN (SELECT table_id, col_names FROM tab_names) USING (table_id) WHERE {kept}
+UNION ALL SELECT 'table_rows', table_id, row_index, array_to_string(cells, '|') FROM tab_rows JOIN (SELECT table_id, document_id FROM lib_tables) USING (table_id) WHERE {kept}"""
+
+
 def _library_frames(spark, sf_dir, gone):
     docs, fields, tables, chunks = library_frames(spark, sf_dir)
     docs = docs.withColumn("status", F.when(gone, "processing").otherwise(F.col("status")))
-    return {"documents": docs, "fields": fields, "tables": tables.drop("col_names"), "chunks": chunks,
+    return {"documents": docs, "fields": fields, "tables": tables, "chunks": chunks,
             "table_rows": corpora.table_rows(spark, sf_dir), "vectors": vectors.embed_passages(chunks)}
 
 
-@query("cascade_delete", L + """
-SELECT 'documents' AS name, count(*) AS n FROM lib_docs WHERE document_id % 3 <> 0 UNION ALL SELECT 'fields', count(*) FROM inv_fields WHERE document_id % 3 <> 0
-UNION ALL SELECT 'chunks', count(*) FROM inv WHERE document_id % 3 <> 0 UNION ALL SELECT 'vectors', count(*) FROM inv WHERE document_id % 3 <> 0
-UNION ALL SELECT 'tables', count(*) FROM lib_tables WHERE document_id % 3 <> 0
-UNION ALL SELECT 'table_rows', count(*) FROM tab_rows JOIN lib_tables USING (table_id) WHERE document_id % 3 <> 0
-UNION ALL SELECT 'deleted', count(*) FROM lib_docs WHERE document_id % 3 = 0""")
+DOC_ROW = "SELECT 'documents' AS name, document_id AS id, 0 AS place, concat_ws('|', title, file_type, status, error) AS content FROM lib_docs"
+
+
+@query("cascade_delete", L + _listed_sql("document_id % 3 <> 0", DOC_ROW + " WHERE document_id % 3 <> 0") + """
+UNION ALL SELECT 'deleted', count(*), 0, '' FROM lib_docs WHERE document_id % 3 = 0""")
 def cascade_delete(spark, sf_dir):
     """Delete every third document; the request also names documents that do not exist."""
     frames = _library_frames(spark, sf_dir, F.lit(False))
     ids = frames["documents"].select("document_id")
     doomed = ids.filter("document_id % 3 = 0").unionByName(ids.select((-F.col("document_id") - 1).alias("document_id")))
     left = admission.cascade_delete(frames, doomed)
-    return _counted(left).unionByName(admission.removed_count(frames["documents"], doomed).select(F.lit("deleted").alias("name"), F.col("deleted").alias("n")))
+    removed = admission.removed_count(frames["documents"], doomed)
+    return _listed(left).unionByName(removed.select(F.lit("deleted").alias("name"), F.col("deleted").alias("id"), F.lit(0).alias("place"), F.lit("").alias("content")))
 
 
-@query("recover_partial", L + """
-SELECT 'documents' AS name, count(*) AS n FROM lib_docs UNION ALL SELECT 'interrupted', count(*) FROM lib_docs WHERE document_id % 4 = 0
-UNION ALL SELECT 'fields', count(*) FROM inv_fields WHERE document_id % 4 <> 0 UNION ALL SELECT 'chunks', count(*) FROM inv WHERE document_id % 4 <> 0
-UNION ALL SELECT 'vectors', count(*) FROM inv WHERE document_id % 4 <> 0 UNION ALL SELECT 'tables', count(*) FROM lib_tables WHERE document_id % 4 <> 0
-UNION ALL SELECT 'table_rows', count(*) FROM tab_rows JOIN lib_tables USING (table_id) WHERE document_id % 4 <> 0""")
+@query("recover_partial", L + _listed_sql("document_id % 4 <> 0", DOC_ROW.replace(
+    "status, error)", "CASE WHEN document_id % 4 = 0 THEN 'failed' ELSE status END, CASE WHEN document_id % 4 = 0 THEN 'interrupted' ELSE error END)")))
 def recover_partial(spark, sf_dir):
-    out = admission.recover_interrupted(_library_frames(spark, sf_dir, F.col("document_id") % 4 == 0))
-    stuck = out["documents"].filter("status = 'failed' AND error = 'interrupted'")
-    return _counted({**out, "interrupted": stuck})
+    return _listed(admission.recover_interrupted(_library_frames(spark, sf_dir, F.col("document_id") % 4 == 0)))
 
 
-@query("snapshot_roundtrip", op.with_(op.INV, op.INV_FIELDS) + """
-SELECT document_id, count(*) AS n_fields, CAST(sum(field_id % 1048576) AS BIGINT) AS checksum FROM inv_fields WHERE document_id % 2 = 1 GROUP BY document_id""")
+@query("snapshot_roundtrip", L + _listed_sql("document_id % 2 = 1", DOC_ROW + " WHERE document_id % 2 = 1"))
 def snapshot_roundtrip(spark, sf_dir):
-    """Store, delete the even documents, snapshot, restore elsewhere, read the fields."""
+    """Store in two batches, delete the even documents, snapshot after each step, restore elsewhere, read every table."""
     lib = library.Library(spark, scratch_path(spark, "library"), 8)
-    docs, fields, _, _ = library_frames(spark, sf_dir)
-    lib.write_batch(0, {"documents": docs, "fields": fields})
-    lib.delete(docs.filter("document_id % 2 = 0").select("document_id"))
+    frames = _library_frames(spark, sf_dir, F.lit(False))
+    frames["table_rows"] = frames["table_rows"].withColumn("document_id", F.col("table_id") + corpora.TABLE_DOC_BASE)
     target = scratch_path(spark, "snapshots")
-    lib.snapshot(target, 1)
+    for batch in (0, 1):
+        of_batch = F.pmod(F.floor(F.col("document_id") / 2), F.lit(2)) == batch
+        lib.write_batch(batch, {n: (parent_document(df) if "document_id" not in df.columns else df).filter(of_batch) for n, df in frames.items()})
+        lib.snapshot(target)
+    lib.delete(frames["documents"].filter("document_id % 2 = 0").select("document_id"))
+    lib.snapshot(target)
     copy = library.Library(spark, scratch_path(spark, "restored"), 8)
     copy.restore(target)
-    return copy.read("fields").groupBy("document_id").agg(F.count("*").alias("n_fields"), F.sum(F.col("field_id") % 1048576).alias("checksum"))
+    return _listed({t: copy.read(t) for t in frames})
+
+
+LIFE_SQL = op.with_(CHUNKS) + """,
+h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
+k1 AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id % 3, doc_id) = 1),
+live AS (SELECT * FROM k1 WHERE doc_id % 2 = 1),
+k2 AS (SELECT min(doc_id) AS doc_id, content_hash FROM h WHERE doc_id % 4 = 0 AND content_hash NOT IN (SELECT content_hash FROM live) GROUP BY content_hash),
+fin AS (SELECT * FROM live UNION ALL SELECT * FROM k2),
+n AS (SELECT document_id, string_agg(text, chr(10) ORDER BY seq) AS body FROM chunks GROUP BY document_id)"""
+
+
+def _lifecycle(spark, sf_dir):
+    """A load, two streams, a delete of the even ids, and a load that uses some of them again. All writers begin with batch 0."""
+    lib = library.Library(spark, scratch_path(spark, "library"), 8)
+    docs = _as_files(corpora.read(spark, sf_dir, "documents"))
+    for writer, part in (("load-1", 0), ("stream-1", 1), ("stream-2", 2)):
+        streaming.ingest_batch(lib, docs.filter(F.col("document_id") % 3 == part), 0, writer=writer)
+    lib.delete(docs.filter("document_id % 2 = 0").select("document_id"))
+    streaming.ingest_batch(lib, docs.filter("document_id % 4 = 0"), 0, writer="load-2")
+    return lib
+
+
+@query("library_lifecycle", LIFE_SQL + "SELECT doc_id AS document_id, content_hash, coalesce(body, '') AS body FROM fin LEFT JOIN n ON document_id = doc_id")
+def library_lifecycle(spark, sf_dir):
+    """What is in the library after loads, streams and a delete: ids, contents and the texts of the chunks."""
+    lib = _lifecycle(spark, sf_dir)
+    texts = lib.read("chunks").groupBy("document_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"]), "\n").alias("body"))
+    return lib.read("documents").select("document_id", "content_hash").join(texts, "document_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+
+
+@query("ingest_rejects", """
+WITH f AS (SELECT doc_id, sha256(text) AS h, CASE WHEN n_chars * 4096 > 25 * 1024 * 1024 THEN 'file exceeds 25MB limit'
+             WHEN doc_id % 5 = 0 THEN 'unsupported file type: exe' WHEN doc_id % 5 = 1 THEN 'unsupported file type: unknown' END AS reason FROM documents),
+k AS (SELECT h, min(doc_id) AS first_id FROM f WHERE reason IS NULL GROUP BY h)
+SELECT doc_id AS document_id, reason, CAST(NULL AS BIGINT) AS canonical_id FROM f WHERE reason IS NOT NULL
+UNION ALL SELECT doc_id, 'duplicate', first_id FROM f JOIN k USING (h) WHERE reason IS NULL AND doc_id <> first_id""")
+def ingest_rejects(spark, sf_dir):
+    """Documents as files of 4 KiB per character under five names: what was not taken in, and why."""
+    names = F.array(F.lit("a.b.EXE"), F.lit("noext"), F.lit("x.TXT"), F.lit("y.md"), F.lit("z.txt"))
+    docs = corpora.read(spark, sf_dir, "documents")
+    rows = _as_files(docs).drop("size").join(docs.select(F.col("doc_id").alias("document_id"), (F.col("n_chars") * 4096).alias("size")), "document_id")
+    lib = library.Library(spark, scratch_path(spark, "library"), 8)
+    streaming.ingest_batch(lib, rows.withColumn("filename", F.element_at(names, (F.col("document_id") % 5 + 1).cast("int"))), 0)
+    return lib.read("rejects").select("document_id", "reason", "canonical_id")
 
 
 @query("bulk_load_ids", "SELECT doc_id AS was, row_number() OVER (ORDER BY source || '_' || doc_id || '.txt') AS document_id FROM documents")
@@ -329,19 +395,24 @@ def _as_files(batch):
 
 
 STREAM_SQL = op.with_(CHUNKS) + """,
-k AS (SELECT min(doc_id) AS document_id FROM documents GROUP BY text),
-n AS (SELECT document_id, count(*) AS n_chunks FROM chunks GROUP BY document_id)
-SELECT document_id, CASE WHEN n_chunks IS NULL THEN 'failed' ELSE 'ready' END AS status, coalesce(n_chunks, 0) AS n_chunks FROM k LEFT JOIN n USING (document_id)"""
+k AS (SELECT arg_min(doc_id, (doc_id % 3, doc_id)) AS document_id FROM documents GROUP BY text),
+n AS (SELECT document_id, string_agg(text, chr(10) ORDER BY seq) AS body FROM chunks GROUP BY document_id)
+SELECT document_id, CASE WHEN body IS NULL THEN 'failed' ELSE 'ready' END AS status, coalesce(body, '') AS body FROM k LEFT JOIN n USING (document_id)"""
 
 
 @query("stream_ingest", STREAM_SQL)
 def stream_ingest(spark, sf_dir):
-    """Documents ingested by a streaming query into a stored library, with a snapshot per batch."""
-    lib = library.Library(spark, scratch_path(spark, "library"), 8)
-    run = streaming.stream_ingest(_document_stream(spark, sf_dir), lib, scratch_path(spark, "checkpoint"), scratch_path(spark, "snapshots"), _as_files)
-    run.awaitTermination()
-    chunks = lib.read("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
-    return lib.read("documents").select("document_id", "status").join(chunks, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    """Documents that arrive as three files, ingested by a streaming query with a snapshot per batch, and read from the restored snapshot."""
+    lib, source, target = library.Library(spark, scratch_path(spark, "library"), 8), scratch_path(spark, "source"), scratch_path(spark, "snapshots")
+    docs = corpora.read(spark, sf_dir, "documents")
+    for part in range(3):
+        docs.filter(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+    streaming.stream_ingest(streaming.file_stream(spark, source, docs.schema), lib, scratch_path(spark, "checkpoint"), target, _as_files).awaitTermination()
+    copy = library.Library(spark, scratch_path(spark, "restored"), 8)
+    copy.restore(target)
+    texts = copy.read("chunks").groupBy("document_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"]), "\n").alias("body"))
+    return copy.read("documents").select("document_id", "status").join(texts, "document_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
 
 
 @query("stream_dedup", "SELECT sha256(text) AS content_hash, count(*) AS n FROM (SELECT DISTINCT text FROM documents) GROUP BY text")
