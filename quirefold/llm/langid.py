@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import crc32_of_id, pieces, spread, utf8
+from quirefold.session import broadcast_if_small
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -163,12 +164,17 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = TRAIN_DOCS) -> DataFrame:
     """``(lang, windows)``: windows spread evenly over the texts of up to ``docs_per_lang`` documents of each language.
 
-    Which documents is decided by a hash of the id; the held-out fold and rows without a language or text teach nothing.
+    Which documents is decided by a hash of the id; the held-out fold and rows without a language or text teach nothing. A
+    language with many documents is first thinned by the hash to about twice the bound, so that what meets in the
+    task that ranks it is of one size at any scale.
     """
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("raw")).filter(
         F.col("lang").isNotNull() & (F.octet_length("raw") > 0) & (crc32_of_id("doc_id") % FOLDS != HELD)
     )
+    counts = rows.groupBy("lang").agg(F.count("*").alias("__n")).withColumnRenamed("lang", "__lang")
+    chance = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))) / float(1 << 32)
+    rows = rows.join(broadcast_if_small(counts), F.col("lang") == F.col("__lang")).filter(chance * F.col("__n") < 2 * docs_per_lang)
     span = F.greatest(F.octet_length("raw") - WINDOW, F.lit(0))
     taken = rows.select("lang", F.xxhash64("doc_id").alias("h"), F.transform(
         F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)),
