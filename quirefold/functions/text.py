@@ -14,9 +14,9 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Letter -> base letter for every single-letter canonical decomposition up to U+1EFF."""
+    """Letter -> base letter for every canonical decomposition into a letter and marks."""
     src, dst = [], []
-    for code in range(0xC0, 0x1F00):
+    for code in range(0xC0, 0x10000):
         ch = chr(code)
         parts = unicodedata.normalize("NFD", ch)
         if len(parts) > 1 and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
@@ -163,6 +163,20 @@ def parse_number(c: Column) -> Column:
     return F.when(hit != "", hit.try_cast("double"))
 
 
+def round_cents(x: Column) -> Column:
+    """An amount to two places, decided on the binary value as it is, a true tie to the even cent.
+
+    The fraction is cut into two halves whose products with 1000 are exact, so no rounding of its own enters.
+    """
+    whole = F.floor(x)
+    frac = x - whole
+    high = F.floor(frac * float(1 << 26)) / float(1 << 26)
+    cents = F.floor(frac * 100)
+    rest, tie = (frac - high) * 1000, cents * 10 + 5 - high * 1000
+    up = (rest > tie) | ((rest == tie) & (cents % 2 == 1))
+    return (whole * 100 + cents + F.when(up, 1).otherwise(0)) / F.lit(100.0)
+
+
 def display_number(x: Column) -> Column:
     """Thousands separators; no decimals for whole values, otherwise two."""
     return F.when(F.abs(x - F.rint(x)) < 1e-9, F.format_number(x, 0)).otherwise(F.format_number(x, 2))

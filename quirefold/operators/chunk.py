@@ -98,11 +98,34 @@ def chunk_prose(docs: DataFrame, heading: Column | None = None, rate: TokenRate
     return _finish(tx.numbered(staged, ["document_id", F.lit(None).cast("string").alias("location"), "_h"], pieces, "seq", "text"))
 
 
+def _piece(block: Column, text: Column) -> Column:
+    return F.struct(block["h"].alias("h"), block["location"].alias("location"), text.alias("text"))
+
+
+def _estimated(staged: DataFrame, rate: TokenRate, overlap: int, max_tokens: int) -> tuple[DataFrame, Column]:
+    """The pieces of each block by estimated sizes."""
+    body = lambda b: F.slice(b["lines"], F.lit(2), F.greatest(F.size(b["lines"]) - 1, F.lit(0)))
+    staged = staged.withColumn(
+        "_runs",
+        row_runs(rate, max_tokens)(
+            F.transform("_b", lambda b: F.transform(body(b), tx.word_count)),
+            F.transform("_b", lambda b: tx.word_count(F.concat(b["h"], F.coalesce(F.get(b["lines"], F.lit(0)), F.lit(""))))),
+        ),
+    )
+    table_pieces = lambda b, runs: F.transform(
+        runs, lambda r: F.concat(F.get(b["lines"], F.lit(0)), F.lit("\n"), F.array_join(F.slice(b["lines"], r["start"], r["n"]), "\n"))
+    )
+    return staged, F.zip_with("_b", "_runs", lambda b, runs: F.transform(
+        F.when(b["is_table"], table_pieces(b, runs)).otherwise(prose_pieces(b["words"], prose_window(b["h"], rate, max_tokens), overlap)),
+        lambda t: _piece(b, t)))
+
+
 def chunk_documents(parsed: DataFrame, rate: TokenRate = DEFAULT_RATE, overlap: int = fv.OVERLAP_WORDS,
-                    max_tokens: int = fv.MAX_TOKENS) -> DataFrame:
+                    max_tokens: int = fv.MAX_TOKENS, count=None) -> DataFrame:
     """Chunks of parsed documents (document_id, title, blocks), numbered across their blocks.
 
-    ``blocks`` is the ordered array of (text, kind, location, heading).
+    ``blocks`` is the ordered array of (text, kind, location, heading). Sizes are estimated from word counts, or
+    counted by ``count``, a tokenizer's function of a text.
     """
     is_table = lambda b: b["kind"] == "table"
     empty = F.array().cast("array<string>")
@@ -115,22 +138,15 @@ def chunk_documents(parsed: DataFrame, rate: TokenRate = DEFAULT_RATE, overlap:
             F.when(is_table(b), empty).otherwise(tx.words(b["text"])).alias("words"),
             F.when(is_table(b), tx.text_lines(b["text"])).otherwise(empty).alias("lines"),
         )),
-    ).drop("blocks")
-    body = lambda b: F.slice(b["lines"], F.lit(2), F.greatest(F.size(b["lines"]) - 1, F.lit(0)))
-    staged = staged.withColumn(
-        "_runs",
-        row_runs(rate, max_tokens)(
-            F.transform("_b", lambda b: F.transform(body(b), tx.word_count)),
-            F.transform("_b", lambda b: tx.word_count(F.concat(b["h"], F.coalesce(F.get(b["lines"], F.lit(0)), F.lit(""))))),
-        ),
-    )
-    table_pieces = lambda b, runs: F.transform(
-        runs, lambda r: F.concat(F.get(b["lines"], F.lit(0)), F.lit("\n"), F.array_join(F.slice(b["lines"], r["start"], r["n"]), "\n"))
     )
-    pieces = F.flatten(F.zip_with("_b", "_runs", lambda b, runs: F.transform(
-        F.when(b["is_table"], table_pieces(b, runs)).otherwise(prose_pieces(b["words"], prose_window(b["h"], rate, max_tokens), overlap)),
-        lambda t: F.struct(b["h"].alias("h"), b["location"].alias("location"), t.alias("text")),
-    )))
+    if count is None:
+        staged, cut = _estimated(staged, rate, overlap, max_tokens)
+    else:
+        whole = F.transform("blocks", lambda b: b["text"])
+        split = F.transform("_b", lambda b: F.when(b["is_table"], b["lines"]))
+        staged = staged.withColumn("_pieces", counted_pieces(count, max_tokens, overlap)(F.transform("_b", lambda b: b["h"]), whole, split))
+        cut = F.zip_with("_b", "_pieces", lambda b, ts: F.transform(ts, lambda t: _piece(b, t)))
+    pieces = F.flatten(cut)
     exploded = tx.numbered(staged, ["document_id"], pieces, "seq", "p")
     return _finish(exploded.select("document_id", "seq", F.col("p.location").alias("location"), F.col("p.h").alias("_h"), F.col("p.text").alias("text")))
 
@@ -149,27 +165,40 @@ def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def counted_windows(count, max_tokens: int = fv.MAX_TOKENS, overlap: int = fv.OVERLAP_WORDS):
-    """UDF for a real tokenizer: word windows under ``count(text) <= budget``.
+def counted_pieces(count, max_tokens: int = fv.MAX_TOKENS, overlap: int = fv.OVERLAP_WORDS):
+    """UDF for a real tokenizer: the pieces of every block of a document under ``count``, any growing counter of a text.
 
-    ``count`` is any growing counter of a text. Each window end is found by bisection.
+    Prose is cut into word windows whose count fits beside the header; each end is found by bisection. Of a table,
+    the first row is repeated above as many rows as fit.
     """
 
-    @F.pandas_udf("array<string>")
-    def pieces(headers: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for header, text in zip(headers, texts):
-            words, budget, found, at = text.split(), max_tokens - count(header), [], 0
-            while at < len(words):
-                low, high = at + 1, len(words)
-                while low < high:
-                    mid = (low + high + 1) // 2
-                    low, high = (mid, high) if count(" ".join(words[at:mid])) <= budget else (low, mid - 1)
-                found.append(" ".join(words[at:low]))
-                if low == len(words):
-                    break
-                at = max(low - overlap, at + 1)
-            out.append(found)
-        return pd.Series(out)
+    def prose(header: str, text: str) -> list[str]:
+        words, budget, found, at = text.split(), max_tokens - count(header), [], 0
+        while at < len(words):
+            low, high = at + 1, len(words)
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if count(" ".join(words[at:mid])) <= budget else (low, mid - 1)
+            found.append(" ".join(words[at:low]))
+            if low == len(words):
+                break
+            at = max(low - overlap, at + 1)
+        return found
+
+    def table(header: str, lines: list[str]) -> list[str]:
+        found, group = [], []
+        for row in lines[1:]:
+            if group and count(header + "\n".join([lines[0], *group, row])) > max_tokens:
+                found.append("\n".join([lines[0], *group]))
+                group = []
+            group.append(row)
+        return [*found, "\n".join([lines[0], *group])] if group else found
+
+    @F.pandas_udf("array<array<string>>")
+    def pieces(headers: pd.Series, texts: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([
+            [prose(h, t) if ls is None else table(h, list(ls)) for h, t, ls in zip(hs, ts, lss)]
+            for hs, ts, lss in zip(headers, texts, lines)
+        ])
 
     return pieces

@@ -12,16 +12,19 @@ from quirefold.plans.registry import query
 from quirefold.session import materialize
 
 
+def library_tables(spark, sf_dir):
+    """documents and tables of the invoice and table library."""
+    counts = corpora.table_rows(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("row_count"))
+    tables = corpora.table_headers(spark).join(counts, "table_id", "left").select(
+        "table_id", "document_id", "name", F.coalesce("row_count", F.lit(0)).alias("row_count"), "col_names")
+    return corpora.library_documents(spark, sf_dir), tables
+
+
 def library(spark, sf_dir):
     """documents, fields, tables and chunks of the invoice and table library."""
     inv = corpora.invoices(spark, sf_dir)
-    docs = corpora.library_documents(spark, sf_dir)
+    docs, tables = library_tables(spark, sf_dir)
     fields = materialize(extract.extract_fields(inv), "fields")  # a stored library table
-    rows = corpora.table_rows(spark, sf_dir)
-    counts = rows.groupBy("table_id").agg(F.count("*").alias("row_count"))
-    tables = corpora.table_headers(spark).join(counts, "table_id", "left").select(
-        "table_id", "document_id", "name", F.coalesce("row_count", F.lit(0)).alias("row_count"), "col_names"
-    )
     return docs, fields, tables, chunk_prose(inv)
 
 
@@ -222,7 +225,7 @@ def table_page(spark, sf_dir):
 @query("list_tables", W + """
 SELECT table_id, t.document_id, title, name, row_count, file_type FROM lib_tables t JOIN lib_docs USING (document_id)""")
 def list_tables(spark, sf_dir):
-    docs, _, tables, _ = library(spark, sf_dir)
+    docs, tables = library_tables(spark, sf_dir)
     return tablequery.list_tables(tables, docs).select("table_id", "document_id", "title", "name", "row_count", "file_type")
 
 
