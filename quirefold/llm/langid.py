@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import crc32_of_id, pieces, spread, utf8
-from quirefold.session import broadcast_if_small
+from quirefold.session import broadcast_if_small, materialize
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -172,7 +172,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("raw")).filter(
         F.col("lang").isNotNull() & (F.octet_length("raw") > 0) & (crc32_of_id("doc_id") % FOLDS != HELD)
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("__n")).withColumnRenamed("lang", "__lang")
+    counts = materialize(rows.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")), "languages")
     chance = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))) / float(1 << 32)
     rows = rows.join(broadcast_if_small(counts), F.col("lang") == F.col("__lang")).filter(chance * F.col("__n") < 2 * docs_per_lang)
     span = F.greatest(F.octet_length("raw") - WINDOW, F.lit(0))
