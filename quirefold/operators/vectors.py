@@ -15,6 +15,7 @@ from quirefold.operators.ranking import SCORE_DIGITS, stable, top_k
 from quirefold.session import measured_bytes
 
 QUERY_BLOCK_BYTES = 64 << 20
+VECTOR_BLOCK_BYTES = 64 << 20
 _CELLS = 1 << 22
 
 
@@ -147,7 +148,7 @@ def _knn_grid(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_bl
 
 
 def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_id",
-              resident_bytes: int = QUERY_BLOCK_BYTES, block_rows: int = 200_000) -> DataFrame:
+              resident_bytes: int = QUERY_BLOCK_BYTES, block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
     """(query_id, rnk, key, score): exact best ``k`` vectors of every query (query_id, embedding).
 
     Each task keeps k candidates per query, so neither path forms all pairs. The size of the
@@ -159,7 +160,8 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_
         found = _knn_resident(queries, vectors, k, key)
     else:
         blocks = -(-size // resident_bytes)
-        found = _knn_grid(queries, vectors, k, key, blocks, max(1, -(-vectors.count() // block_rows)))
+        held = vectors.agg(F.sum(F.size("embedding") * 8).alias("b")).first()["b"] or 0  # as the doubles that a task works on
+        found = _knn_grid(queries, vectors, k, key, blocks, max(1, -(-int(held) // block_bytes)))
     best = top_k(found, "query_id", k, [stable(F.col("score")).desc(), F.asc(key)])
     return best.select("query_id", "rnk", key, "score")
 
@@ -180,5 +182,5 @@ def assert_dimension(vectors: DataFrame, expected: int) -> None:
     row = dimension_report(vectors, expected).first()
     if not row["matches"]:
         raise ValueError(
-            f"embedding dimension changed ({row['min_dim']}..{row['max_dim']} stored, {expected} new): "
-            "the stored vectors are incompatible, embed the library again")
+            f"vectors of {row['min_dim']} to {row['max_dim']} components are stored, not {expected}: "
+            "build all vectors with one model")
