@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,24 @@ def crc32_of_id(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Sends an object of this package to the tasks, its class included: executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(sent: Broadcast) -> object:
+    return pickle.loads(sent.value)
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: workers live on between tasks, and their peaks should not add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that none holds many more than ``max_bytes``, whatever the texts' lengths are."""
     for batch in batches:
         if not batch.num_rows:
@@ -39,6 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 32 << 20) -> Iter
         step = max(1, int(batch.num_rows * max_bytes // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back()
 
 
 def text_key(text_col: str):

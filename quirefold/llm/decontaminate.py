@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import LOWER, pieces, spans_of, spread, text_key, utf8
+from quirefold.llm.common import LOWER, pieces, share, shared, spans_of, spread, text_key, utf8
 from quirefold.llm.fmindex import FMIndex
 from quirefold.session import broadcast_if_small, materialize
 
 WINDOW = 13
 SHARE = 20
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Words are runs of digits, lower-case letters and all bytes from 0x80.
 WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
 WORD_PATTERN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -123,9 +123,9 @@ def scan_documents(
     """
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = rows.select("doc_id", text_key("text").alias("text_key"), "text")
-    context, parts = docs.sparkSession.sparkContext, []
+    parts = []
     for phrases in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        parts.append(_scanned(rows, context.broadcast(phrases)))
+        parts.append(_scanned(rows, share(docs.sparkSession, phrases)))
     return parts[0] if len(parts) == 1 else _merged(parts)
 
 
@@ -133,8 +133,9 @@ def _scanned(rows: DataFrame, phrases) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared(phrases)
         for batch in pieces(batches, SHARD_BYTES):
-            found = scan(utf8(batch.column("text")), phrases.value)
+            found = scan(utf8(batch.column("text")), known)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_key"), pa.array([n for n, _, _ in found], pa.int64()),
                 pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], span),
@@ -196,7 +197,8 @@ def clean_documents(
     """``docs`` without contaminated documents (``drop``) or without their spans (``cut``); other documents stay untouched.
 
     What happens to a document depends on its text alone, so decisions are found per distinct text and joined by its key
-    (broadcast only if measured small). Columns stay as they are; null and empty texts stay.
+    (broadcast only if measured small). Columns stay as they are, whatever their names; null and empty texts stay, repeated
+    rows share their fate, an empty benchmark leaves everything.
     """
     found = scan_documents(docs, benchmark, text_col, text_col, item_col, item_text_col, window, block_bytes)
     bad = materialize(

@@ -217,14 +217,18 @@ def classify(net: Net, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)`` of every row; texts that are null or have no letter are ``und`` with score 0."""
+    """``(doc_id, held_out, lang_pred, score)`` of every row; texts that are null or have no letter are ``und`` with score 0.
+
+    Ties go to the first language by name. Without a net (no labels) all texts are ``und``. Repeated rows and null ids are
+    predicted like any other, an empty table gives no rows, and further columns are not read.
+    """
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select(
         "doc_id", (crc32_of_id("doc_id") % FOLDS == HELD).alias("held_out"),
         F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches):
             texts = utf8(batch.column(2))
             live = [k for k, t in enumerate(texts) if t is not None and net is not None]
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import pieces, spread
+from quirefold.llm.common import pieces, share, shared, spread
 from quirefold.session import measured_bytes
 
 LEAST_DICE = 0.8
@@ -162,19 +162,20 @@ def scan(
 ) -> DataFrame:
     """``(doc_id, matches)`` of every row; matches are structs of licence, dice, first and last line. Null and empty texts have none.
 
-    Templates may be a table ``(licence, text)``; it is measured first and must fit ``TEMPLATE_BYTES``.
+    Equally good licences of a piece are all listed; repeated rows are repeated, further columns are not read. Templates may be a table ``(licence, text)``; it is measured first and must fit ``TEMPLATE_BYTES``.
     """
     if isinstance(templates, DataFrame):
         if measured_bytes(templates) > TEMPLATE_BYTES:
             raise ValueError("licence templates are sent to every task and have to be small")
         templates = [(r["licence"], r["text"]) for r in templates.filter("licence is not null and text is not null").collect()]
-    library = docs.sparkSession.sparkContext.broadcast(Library.of(templates))
+    library = share(docs.sparkSession, Library.of(templates))
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 16 << 20):
-            found = [[dict(zip(("licence", "dice", "first", "last"), m)) for m in scan_text(x.as_py(), library.value, least)] for x in batch.column(1)]
+        known = shared(library)
+        for batch in pieces(batches):
+            found = [[dict(zip(("licence", "dice", "first", "last"), m)) for m in scan_text(x.as_py(), known, least)] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "matches"])
 
     doc_id = rows.schema["doc_id"].dataType.simpleString()

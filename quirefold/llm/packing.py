@@ -14,18 +14,18 @@ queues last to the end.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import pieces, spread
+from quirefold.llm.common import pieces, share, shared, spread
 from quirefold.session import broadcast_if_small, materialize
 
 SIZE = 2048
@@ -48,35 +48,54 @@ def _byte_of() -> dict[str, int]:
     return table
 
 
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Token ids of texts by the ``tokenizers`` file at ``path``, special tokens not added.
+@dataclass
+class Vocabulary:
+    """A ``tokenizers`` file; with ``ranks`` if it is a byte-level BPE file whose ids are the order of its merges."""
+
+    text: str
+    special: list[str]
+    ranks: dict[bytes, int] | None
 
-    A byte-level BPE file whose ids are the order of its merges is the same function as a table of ranks; such a file is
-    read into the faster rank encoder, if that gives the same ids on the probe texts. Texts with special tokens' strings
-    or with very long words always go to the ``tokenizers`` library itself.
-    """
-    from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
-    slow = lambda texts: [np.array(e.ids, np.uint32) for e in plain.encode_batch(texts, add_special_tokens=False)]
+def vocabulary(path: str) -> Vocabulary:
+    """Reads the file. Ranks are kept only if the rank encoder gives the ids of the library itself on the probe texts."""
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    special = [t["content"] for t in spec.get("added_tokens") or []]
+        text = file.read()
+    spec = json.loads(text)
+    found = Vocabulary(text, [t["content"] for t in spec.get("added_tokens") or []], None)
     try:
-        import tiktoken
-
         table = _byte_of()
-        ranks = {bytes(table[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("from-" + base64.b16encode(path.encode()).decode(), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        same = all(fast.encode_ordinary(p) == plain.encode(p, add_special_tokens=False).ids for p in PROBES if not any(s in p for s in special))
-    except (ImportError, KeyError, ValueError):
+        found.ranks = {bytes(table[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in found.special}
+        slow, fast = encoder(Vocabulary(text, found.special, None)), encoder(found)
+        probes = [p for p in PROBES if not any(s in p for s in found.special)]
+        same = all(np.array_equal(a, b) for a, b in zip(slow(probes), fast(probes)))
+    except (ImportError, KeyError, TypeError, ValueError):
         same = False
-    if not same:
+    return found if same else Vocabulary(text, found.special, None)
+
+
+def encoder(known: Vocabulary) -> Callable[[list[str]], list[np.ndarray]]:
+    """Token ids of texts by the ``tokenizers`` file, special tokens not added.
+
+    With ranks, texts go to the faster rank encoder, which is the same function; texts with special tokens' strings
+    or with very long words go to the ``tokenizers`` library itself, which is loaded when the first one comes.
+    """
+    library = []
+
+    def slow(texts: list[str]) -> list[np.ndarray]:
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_str(known.text))
+        return [np.array(e.ids, np.uint32) for e in library[0].encode_batch(texts, add_special_tokens=False)]
+
+    if known.ranks is None:
         return slow
-    odd = re.compile("|".join([*map(re.escape, special), LONG_WORD.pattern]))
-    return lambda texts: [
-        slow([t])[0] if odd.search(t) else np.array(fast.encode_ordinary(t), np.uint32) for t in texts
-    ]
+    import tiktoken
+
+    fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=known.ranks, special_tokens={})
+    odd = re.compile("|".join([*map(re.escape, known.special), LONG_WORD.pattern]))
+    return lambda texts: [slow([t])[0] if odd.search(t) else np.array(fast.encode_ordinary(t), np.uint32) for t in texts]
 
 
 def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int | None = END_ID) -> DataFrame:
@@ -86,15 +105,16 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )).select("doc_id", "source", F.spark_partition_id().alias("part"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    sent = share(docs.sparkSession, vocabulary(path))  # of the size of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = encoder(shared(sent))
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         had: dict[str, int] = {}
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches):
             before, counts, blobs = [], [], []
             for source, ids in zip(batch.column(1).to_pylist(), encode(batch.column(3).to_pylist())):
                 ids = np.concatenate((ids, tail)).astype("<u4")
@@ -188,7 +208,7 @@ def pack(
     kind = coded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 16 << 20):
+        for batch in pieces(batches):
             n = batch.column("n").to_numpy()
             live = pa.array(np.flatnonzero(n))  # without an end id, empty texts have no piece
             batch, n = batch.take(live), n[n > 0]

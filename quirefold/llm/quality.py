@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quirefold.llm.common import crc32_of_id, pieces, spread, utf8
+from quirefold.llm.common import crc32_of_id, give_back, pieces, spread, utf8
 from quirefold.session import materialize
 
 FOLDS = 5
@@ -168,7 +168,11 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every row, empty and null texts too."""
+    """``(doc_id, held_out, score, predicted)`` of every row, empty and null texts too, by their statistics.
+
+    Repeated label rows count as often as they occur, repeated documents and null ids are scored like any other, without labels
+    every score is one half, an empty table gives no rows, and further columns are not read.
+    """
     stats = materialize(features(docs, id_col, text_col), "statistics")
     model = train(stats, labels, id_col)
 
@@ -182,13 +186,18 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows that the classifier accepts, columns as they are. The statistics are counted again rather than joined to the texts."""
+    """The rows that the classifier accepts, columns as they are, whatever their names.
+
+    Null and empty texts, repeated rows and null ids are judged like any other. The statistics are counted again, as a
+    filter, rather than joined to the texts, so the texts are neither shuffled nor sent back from Python.
+    """
     model = train(materialize(features(docs, id_col, text_col), "statistics"), labels, id_col)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            x = np.array([statistics(t) for t in utf8(batch.column(at))])
-            yield batch.filter(pa.array(np.round(model.score(x), 9) >= cut))
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([statistics(t) for t in utf8(texts)]).reshape(-1, len(NAMES))
+            yield pa.array(np.round(model.score(x), 9) >= cut)
+        give_back()
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return spread(docs).filter(good(F.col(f"`{text_col}`")))

@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each class left: that of the smallest id (null ids last), then text key.
 
-    Columns stay as they are, whatever their names.
+    Null, empty and blank texts form one class; of repeated rows one stays; an empty table stays empty. Columns stay as
+    they are, whatever their names.
     """
     found = materialize(
         near_duplicates(docs, id_col, text_col, radius).groupBy("doc_id", "text_key", "fp", "component_id")
@@ -225,7 +226,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.withColumn("__key2", text_key(text_col)).join(
         broadcast_if_small(marks), F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__key") == F.col("__key2")), "left"
     )
-    kept = marked.filter("__later is null").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = marked.filter("__later is null").select(*columns)
     if marks.filter("not __later").isEmpty():
         return kept
-    return kept.union(marked.filter("not __later").dropDuplicates([id_col, "__key2"]).select(*docs.columns))
+    return kept.union(marked.filter("not __later").dropDuplicates([id_col, "__key2"]).select(*columns))

@@ -32,7 +32,10 @@ NO_CUT = -(1 << 100)
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v)``: components as floor(scale * x). Vectors that are null, or hold nulls or values that are not finite, are left out."""
+    """``(vec_id, v)``: components as floor(scale * x). Vectors that are null, or hold nulls or values that are not finite, and rows without an id are left out.
+
+    An empty vector scores 0 with every other. Further columns are not read, whatever their names.
+    """
     x = F.col(vector_col)
     bad = F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y.cast("double")) == float("inf")))
     return vectors.filter(x.isNotNull() & F.col(id_col).isNotNull()).filter(~bad).select(
@@ -77,7 +80,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in pieces(batches, 8 << 20):
+    for batch in pieces(batches):
         matrix, _ = _matrix(batch.column(1), width)
         ids = batch.column(0).to_numpy()
         step = max(64, MATRIX // max(1, queries))

@@ -204,7 +204,7 @@ def write_packages(
                 out.write(writer.package(force_zip64))
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{at}"]), pa.array([len(writer.lines)], pa.int64())], names=["package", "records"])
 
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches):
             columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()]
             for page, url, payload, keeper in zip(*columns):
                 target = name(keeper) if keeper is not None and keeper != page else None
@@ -294,7 +294,11 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes the pages' packages, reads them back, and gives revisits the size and digest of the payload that they refer to."""
+    """Writes the pages' packages, reads them back, and gives revisits the size and digest of the payload that they refer to.
+
+    Null html is an empty payload. Rows without an id revisit the largest id of their payload, and are responses if there is
+    none; repeated rows of the largest id are all responses. An empty table gives no rows; further columns are not read.
+    """
     packages = write_packages(pages, folder, id_col, url_col, html_col)
     page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(.*)$", 1), F.lit("")).cast("long")
     found = materialize(

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from quirefold.llm import quality
 from quirefold.session import scratch_path
-from tests.llm.helpers import odd_documents
+from tests.llm.helpers import clashing, frame, odd_documents
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_linededup import brute as brute_lines
 from tests.llm.test_simhash import brute_classes, brute_print
@@ -96,6 +96,23 @@ def test_stages(spark):
     assert (size.iloc[:-1] == 2048).all()
 
 
+def test_stages_with_clashing_columns_and_without_rows(spark):
+    folder = scratch_path(spark, "tables")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = frame(spark, odd_documents())
+    for docs in (clashing(rows), clashing(rows).limit(0)):
+        count = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            path = scratch_path(spark, name)
+            stage(spark, docs, folder).write.parquet(path)
+            found = spark.read.parquet(path)
+            if name != "mixture_packing":
+                assert found.columns == docs.columns and found.count() <= count
+                docs, count = found, found.count()
+        assert (found.count() > 0) == (count > 0)
+
+
 def test_run_is_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
