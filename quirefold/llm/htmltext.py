@@ -35,13 +35,17 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HOLDERS = frozenset("html body main article section div center table tbody tr td".split())
 #: Words in class or id that mark what surrounds an article.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments consent "
-    "cookie cookies disqus disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation "
+    "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments consent "
+    "cookie cookies copyright disqus disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation "
     "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
     "replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription "
     "teaser toc toolbar topbar widget widgets".split()
 )
 IN_ARTICLE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
+#: A class with one of these words is a part of the article when it says header, and a state when it begins with one of those.
+OF_ARTICLE = frozenset("article content entry post story text".split())
+STATES = frozenset("has is js no with without".split())
+SHORT = 100
 TOKEN = re.compile(r"[A-Za-z]+")
 OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
@@ -56,8 +60,9 @@ class Line:
 class LineReader(HTMLParser):
     """Folds parser events into lines. Elements are numbered; a line keeps the numbers of the elements that may hold an article."""
 
-    def __init__(self):
+    def __init__(self, hints: bool = True):
         super().__init__(convert_charrefs=True)
+        self.hints = hints
         self.lines: list[Line] = []
         self.kinds: list[str] = []
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, aside
@@ -84,8 +89,11 @@ class LineReader(HTMLParser):
             value = value or ""
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
                 return True
-            if name in ("class", "id"):
-                words.update(x.lower() for x in TOKEN.findall(value))
+            if name in ("class", "id") and self.hints:
+                for token in value.split():
+                    said = [x.lower() for x in TOKEN.findall(token)]
+                    if said and said[0] not in STATES:
+                        words.update(x for x in said if x != "header" or not (inside or OF_ARTICLE.intersection(said)))
         return bool(words & (IN_ARTICLE if tag == "article" or (inside and tag == "header") else HINTS))
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -157,17 +165,32 @@ def threshold(values: np.ndarray) -> float:
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the article, joined by an empty line; empty if the page has none."""
+    """Blocks of the article, joined by an empty line; empty if the page has none.
+
+    A page that has hardly any text beside elements with telling classes is read again without regard to classes and ids:
+    a wrapper of the whole page may carry one.
+    """
     if not html:
         return ""
-    reader = LineReader()
     html = OPEN_TAG.sub("", html) if html.rfind("<") > html.rfind(">") else html  # a page may end within a tag
+    text, total = _article(html, True)
+    if len(text) < SHORT and total > 3 * SHORT:
+        other, _ = _article(html, False)
+        if len(other) > 3 * SHORT:
+            return other
+    return text
+
+
+def _article(html: str, hints: bool) -> tuple[str, int]:
+    """The article's text, and how many characters the whole page shows."""
+    reader = LineReader(hints)
     for at in range(0, len(html), CHUNK):
         reader.feed(html[at:at + CHUNK])
     reader.close()
     lines = reader.lines
+    shown = sum(len(x.text) for x in lines)
     if not any(not x.aside for x in lines):
-        return ""
+        return "", shown
     ratios = np.array([0.0 if x.aside else len(x.text) / max(1, x.tags) for x in lines])
     smooth = smoothed(ratios)
     open_ratios = smooth[[not x.aside for x in lines]]
@@ -189,7 +212,7 @@ def main_text(html: str | None) -> str:
     if kept and not any(lines[k].heading for k in kept):
         before = [k for k in range(kept[0]) if lines[k].heading and not lines[k].aside]
         kept = before[-1:] + kept
-    return "\n\n".join(lines[k].text for k in kept)
+    return "\n\n".join(lines[k].text for k in kept), shown
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

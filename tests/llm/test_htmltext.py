@@ -27,6 +27,9 @@ PAGES = {
     "attributes": f'<article><h1 title="a > b">Headline</h1><div data-x="<p>no</p>">{story()}</div></article>',
     "title apart": f"<body><div><h1>Headline</h1></div><div><div>{story()}</div></div></body>",
     "not closed": f"<body><nav>{MENU}</nav><article><h1>Headline</h1>{story()}<p",
+    "entry header": f'<body class="no-sidebar"><div class="site-header">{MENU}</div><div class="post"><div class="post-header"><h1>Headline</h1></div>'
+                    f'<div class="entry-content has-comments">{story()}</div></div><div id="comments"><p>{LONG[1]} Indeed, {LONG[0]}</p></div></body>',
+    "named wrapper": f'<body><div class="nav-container page">{""}<div class="story"><h1>Headline</h1>{story()}</div></div></body>',
     "white space": "<article>\n <h1> Head<b>line</b>\n</h1>" + story().replace(" ", " \n\t") + "</article>",
 }
 
