@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,28 +51,33 @@ def _byte_of() -> dict[str, int]:
 
 @dataclass
 class Vocabulary:
-    """A ``tokenizers`` file; with ``ranks`` if it is a byte-level BPE file whose ids are the order of its merges."""
+    """A ``tokenizers`` file and its highest id; with ``ranks`` if it is a byte-level BPE file whose ids are the order of its merges."""
 
     text: str
     special: list[str]
+    highest: int
     ranks: dict[bytes, int] | None
 
 
+@lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """Reads the file. Ranks are kept only if the rank encoder gives the ids of the library itself on the probe texts."""
     with open(path, encoding="utf-8") as file:
         text = file.read()
     spec = json.loads(text)
-    found = Vocabulary(text, [t["content"] for t in spec.get("added_tokens") or []], None)
+    added = spec.get("added_tokens") or []
+    vocab = spec["model"].get("vocab")
+    highest = max([*(t["id"] for t in added), *(vocab.values() if isinstance(vocab, dict) else range(len(vocab or [])))], default=0)
+    found = Vocabulary(text, [t["content"] for t in added], highest, None)
     try:
         table = _byte_of()
-        found.ranks = {bytes(table[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in found.special}
-        slow, fast = encoder(Vocabulary(text, found.special, None)), encoder(found)
+        found.ranks = {bytes(table[c] for c in token): k for token, k in vocab.items() if token not in found.special}
+        slow, fast = encoder(Vocabulary(text, found.special, highest, None)), encoder(found)
         probes = [p for p in PROBES if not any(s in p for s in found.special)]
         same = all(np.array_equal(a, b) for a, b in zip(slow(probes), fast(probes)))
-    except (ImportError, KeyError, TypeError, ValueError):
+    except (AttributeError, ImportError, KeyError, TypeError, ValueError):
         same = False
-    return found if same else Vocabulary(text, found.special, None)
+    return found if same else Vocabulary(text, found.special, highest, None)
 
 
 def encoder(known: Vocabulary) -> Callable[[list[str]], list[np.ndarray]]:
@@ -99,13 +105,18 @@ def encoder(known: Vocabulary) -> Callable[[list[str]], list[np.ndarray]]:
 
 
 def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int | None = END_ID) -> DataFrame:
-    """``(doc_id, source, part, before, n, ids)``: the ids (little-endian unsigned 32-bit), and the tokens of the same source before them in the partition."""
+    """``(doc_id, source, part, before, n, ids)``: the ids, and the tokens of the same source before them in the partition.
+
+    Ids are little-endian unsigned numbers, of 16 bits if the vocabulary and the end id allow, else of 32.
+    """
     rows = spread(docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )).select("doc_id", "source", F.spark_partition_id().alias("part"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = share(docs.sparkSession, vocabulary(path))  # of the size of the vocabulary
+    known = vocabulary(path)
+    sent = share(docs.sparkSession, known)  # of the size of the vocabulary
+    width = "<u2" if max(known.highest, end_id or 0) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -117,7 +128,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in pieces(batches):
             before, counts, blobs = [], [], []
             for source, ids in zip(batch.column(1).to_pylist(), encode(batch.column(3).to_pylist())):
-                ids = np.concatenate((ids, tail)).astype("<u4")
+                ids = np.concatenate((ids, tail)).astype(width)
                 before.append(had.get(source, 0))
                 had[source] = before[-1] + len(ids)
                 counts.append(len(ids))
@@ -217,7 +228,11 @@ def pack(
             first = batch.column("base").to_numpy() + batch.column("before").to_numpy()
             row, start, length, window, offset = schedule.pieces(batch.column("queue").to_numpy(), first, n, size)
             ids = batch.column("ids").to_pylist()
-            blobs = [ids[r][4 * s:4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist())]
+            widths = (np.fromiter(map(len, ids), np.int64, len(ids)) // n).tolist()
+            blobs = [
+                np.frombuffer(ids[r], f"<u{widths[r]}", k, s * widths[r]).astype("<u4").tobytes()
+                for r, s, k in zip(row.tolist(), start.tolist(), length.tolist())
+            ]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(take), batch.column("source").take(take), pa.array(start), pa.array(length),
