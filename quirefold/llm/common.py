@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,18 @@ def shared(sent: Broadcast) -> object:
     return pickle.loads(sent.value)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs that run inside send texts to Python in batches of at most ``rows``; the session's setting is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Hands freed memory back to the system: workers live on between tasks, and their peaks should not add up."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import LOWER, pieces, share, shared, spans_of, spread, text_key, utf8
+from quirefold.llm.common import LOWER, pieces, share, shared, small_batches, spans_of, spread, text_key, utf8
 from quirefold.llm.fmindex import FMIndex
 from quirefold.session import broadcast_if_small, materialize
 
@@ -201,10 +201,11 @@ def clean_documents(
     rows share their fate, an empty benchmark leaves everything.
     """
     found = scan_documents(docs, benchmark, text_col, text_col, item_col, item_text_col, window, block_bytes)
-    bad = materialize(
-        found.filter(contaminated(share)).select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"]),
-        "contaminated",
-    )
+    with small_batches(docs.sparkSession):
+        bad = materialize(
+            found.filter(contaminated(share)).select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"]),
+            "contaminated",
+        )
     if action == "drop":
         return docs.join(broadcast_if_small(bad.select("__key")), F.col("__key") == text_key(text_col), "left_anti")
     cut = F.udf(lambda text, spans: cut_spans(text, [tuple(x) for x in spans]), "string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import pieces, share, shared, spread
+from quirefold.llm.common import pieces, share, shared, small_batches, spread
 from quirefold.session import broadcast_if_small, materialize
 
 SIZE = 2048
@@ -203,7 +203,8 @@ def pack(
     shares. Null texts are empty (one piece with the end id), null sources are one source, an empty table has no pieces.
     """
     spark = docs.sparkSession
-    coded = materialize(tokens(docs, path, id_col, text_col, source_col, end_id), "tokens")
+    with small_batches(spark):
+        coded = materialize(tokens(docs, path, id_col, text_col, source_col, end_id), "tokens")
     sums = materialize(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
     top = [(r["source"], int(r["n"])) for r in by_source.orderBy(F.desc("n"), "source").limit(queues - 1).collect()]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quirefold.llm.common import crc32_of_id, give_back, pieces, spread, utf8
+from quirefold.llm.common import crc32_of_id, give_back, pieces, small_batches, spread, utf8
 from quirefold.session import materialize
 
 FOLDS = 5
@@ -173,7 +173,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Repeated label rows count as often as they occur, repeated documents and null ids are scored like any other, without labels
     every score is one half, an empty table gives no rows, and further columns are not read.
     """
-    stats = materialize(features(docs, id_col, text_col), "statistics")
+    with small_batches(docs.sparkSession):
+        stats = materialize(features(docs, id_col, text_col), "statistics")
     model = train(stats, labels, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Null and empty texts, repeated rows and null ids are judged like any other. The statistics are counted again, as a
     filter, rather than joined to the texts, so the texts are neither shuffled nor sent back from Python.
     """
-    model = train(materialize(features(docs, id_col, text_col), "statistics"), labels, id_col)
+    with small_batches(docs.sparkSession):
+        stats = materialize(features(docs, id_col, text_col), "statistics")
+    model = train(stats, labels, id_col)
 
     @F.arrow_udf("boolean")
     def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import LOWER, pieces, spread, text_key, utf8
+from quirefold.llm.common import LOWER, pieces, small_batches, spread, text_key, utf8
 from quirefold.llm.components import components
 from quirefold.session import broadcast_if_small, materialize
 
@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links of at most ``radius`` differing bits, null only if every id of
     the class is null. Repeated rows are repeated in the result; an empty table gives an empty one.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    with small_batches(docs.sparkSession):
+        prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     roots = components(links(classes, radius)).select(F.col("node").alias("fp"), "root")
     rooted = materialize(classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
