@@ -51,15 +51,16 @@ def foldered(df: DataFrame, label: str, folders: str, sort: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, buckets: int, by: str, folders: str, sort: str) -> DataFrame:
-    """Write ``df`` once to the shared folder as a table bucketed by ``by``, in folders of ``folders``, sorted by ``sort``.
+def bucketed(df: DataFrame, label: str, buckets: int, by: str, folders: str | None, sort: str) -> DataFrame:
+    """Write ``df`` once to the shared folder as a table bucketed by ``by``, in folders of ``folders`` if any, sorted by ``sort``.
 
     Groups that hold ``by`` are aggregated where the buckets lie, and filters on the folders and the sort column skip files
     and row groups.
     """
     spark = df.sparkSession
     name = f"quirefold_{label}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, by).write.partitionBy(folders).bucketBy(buckets, by).sortBy(sort)
+    writer = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(sort)
+    writer = writer if folders is None else writer.partitionBy(folders)
     writer.option("path", scratch_path(spark, label)).saveAsTable(name)
     return spark.table(name)
 
