@@ -47,6 +47,7 @@ OF_ARTICLE = frozenset("article content entry post story text".split())
 STATES = frozenset("has is js no with without".split())
 SHORT = 100
 TOKEN = re.compile(r"[A-Za-z]+")
+MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)\s*\[", re.IGNORECASE)
 OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
@@ -138,6 +139,13 @@ class LineReader(HTMLParser):
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections of unknown names, and conditional ones, end at the next ``>``, as bogus comments do; the parser would raise or go on reading."""
+        if MARKED.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 or -1
+
     def close(self) -> None:
         super().close()
         self._end_line()

@@ -49,6 +49,13 @@ def test_pages_without_an_article(page):
     assert main_text(page) == ""
 
 
+@pytest.mark.parametrize("section", ["<![ endif]-->", "<![RELEASE[1.2]]>", "<![endif]-->", "<![if !IE]>", "<![>", "<![ >", "<![CDATA[no]]>", "<![cdata>"])
+def test_marked_sections(section):
+    assert main_text(f"<p>a</p>{section}<p>b</p>") == "a\n\nb"
+    assert main_text(f"<p>a</p>{section}<p>b</p><![endif]>") == "a\n\nb"
+    assert main_text("<p>a</p>" + " " * (65536 - 10) + f"{section}<p>b</p>") == "a\n\nb"  # across two chunks
+
+
 def test_plain_text_and_long_pages():
     assert main_text("just text") == "just text"
     many = "<article>" + "".join(f"<p>{LONG[k % 4]} {k}</p>" for k in range(4000)) + "</article>"
