@@ -4,7 +4,9 @@ The standard library's parser reads a page in chunks; its events are folded into
 its characters, the tags met since the line before, and the elements around it. The ratio of characters to tags is smoothed
 over the lines with a Gaussian, and two clusters of the smoothed ratios give the threshold above which a line is content.
 The element that holds the content lines is the article: its blocks are the text, short ones too, without elements that say by
-their tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments.
+their tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Inside the
+article a class or id says so only if it ends in the telling word, never of headings and paragraphs, and, but for the plainest
+words, only of elements whose own ratio is not that of content: a section may be called related-work.
 """
 
 from __future__ import annotations
@@ -41,6 +43,14 @@ HINTS = frozenset(
     "replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription "
     "teaser toc toolbar topbar widget widgets".split()
 )
+#: Words that a telling word may be followed by: comment-list, share-bar, nav-container.
+LAYOUT = frozenset(
+    "area articles bar block bottom box button buttons column container content group holder icons inner item items left link links list "
+    "main outer panel posts right row section stories tags text title top wrap wrapper".split()
+)
+#: Names by themselves that mark what is no part of an article, however much prose it holds.
+PLAIN = frozenset("ad ads advert adverts advertisement comment comments disqus replies reply respond sponsored".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 IN_ARTICLE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 #: A class with one of these words is a part of the article when it says header, and a state when it begins with one of those.
 OF_ARTICLE = frozenset("article content entry post story text".split())
@@ -52,10 +62,27 @@ OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "aside", "heading")
+    __slots__ = ("text", "tags", "path", "aside", "heading", "told")
+
+    def __init__(self, text: str, tags: int, path: tuple[int, ...], aside: bool, heading: bool, told: tuple[int, ...]):
+        self.text, self.tags, self.path, self.aside, self.heading, self.told = text, tags, path, aside, heading, told
+
+
+class Told:
+    """An element whose class or id holds a telling word: whether a name ends in it, or is a plain one, and where it stands."""
+
+    __slots__ = ("prose", "ends", "plain", "inside", "path")
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], aside: bool, heading: bool):
-        self.text, self.tags, self.path, self.aside, self.heading = text, tags, path, aside, heading
+    def __init__(self, prose: bool, ends: bool, plain: bool, inside: bool, path: tuple[int, ...]):
+        self.prose, self.ends, self.plain, self.inside, self.path = prose, ends, plain, inside, path
+
+
+def ending(said: list[str], hints: frozenset[str]) -> tuple[bool, bool]:
+    """Whether a name ends in one of the words, not counting words of layout, and whether it is a plain one."""
+    end = len(said)
+    while end > 1 and said[end - 1] in LAYOUT and said[end - 1] not in hints:
+        end -= 1
+    return said[end - 1] in hints, end == 1 and said[0] in PLAIN & hints
 
 
 class LineReader(HTMLParser):
@@ -66,7 +93,8 @@ class LineReader(HTMLParser):
         self.hints = hints
         self.lines: list[Line] = []
         self.kinds: list[str] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, aside
+        self.told: list[Told] = []
+        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, number, silent, aside, told
         self.parts: list[str] = []
         self.tags = 0
 
@@ -74,18 +102,22 @@ class LineReader(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            path = tuple(n for tag, n, _, _ in self.open if n >= 0)
             heading = any(tag == "h1" for tag, *_ in self.open)
-            self.lines.append(Line(text, self.tags, path, bool(self.open and self.open[-1][3]), heading))
+            aside, told = self.open[-1][3:] if self.open else (False, ())
+            self.lines.append(Line(text, self.tags, self._path(), aside, heading, told))
             self.tags = 0
 
-    def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _path(self) -> tuple[int, ...]:
+        return tuple(n for _, n, *_ in self.open if n >= 0)
+
+    def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | Told:
         if tag in ("html", "body", "main"):
             return False
         inside = any(t in ("article", "main") for t, *_ in self.open)
         if tag in FRAME and not (tag == "header" and inside):
             return True
-        words = set()
+        hints = IN_ARTICLE if tag == "article" or (inside and tag == "header") else HINTS
+        holds = ends = plain = False
         for name, value in attrs:
             value = value or ""
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
@@ -94,8 +126,16 @@ class LineReader(HTMLParser):
                 for token in value.split():
                     said = [x.lower() for x in TOKEN.findall(token)]
                     if said and said[0] not in STATES:
-                        words.update(x for x in said if x != "header" or not (inside or OF_ARTICLE.intersection(said)))
-        return bool(words & (IN_ARTICLE if tag == "article" or (inside and tag == "header") else HINTS))
+                        if inside or OF_ARTICLE.intersection(said):
+                            said = [x for x in said if x != "header"]
+                        if hints.intersection(said):
+                            last, alone = ending(said, hints)
+                            holds, ends, plain = True, ends or last, plain or alone
+        if not holds or (inside and (tag in PROSE or not ends)):
+            return False
+        if inside and (plain or tag == "article"):
+            return True
+        return Told(tag in PROSE, ends, plain, inside, self._path())
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
@@ -109,12 +149,17 @@ class LineReader(HTMLParser):
             self.parts.append(" ")
         if tag in VOID or (tag in INLINE and tag not in ("td", "th")):
             return
-        above = self.open[-1] if self.open else ("", -1, False, False)
+        above = self.open[-1] if self.open else ("", -1, False, False, ())
+        aside = above[3] or self._is_aside(tag, attrs)
+        told = above[4]
+        if isinstance(aside, Told):
+            self.told.append(aside)
+            aside, told = False, (*told, len(self.told) - 1)
         number = -1
         if tag in HOLDERS:
             number = len(self.kinds)
             self.kinds.append(tag)
-        self.open.append((tag, number, above[2] or tag in SILENT, above[3] or self._is_aside(tag, attrs)))
+        self.open.append((tag, number, above[2] or tag in SILENT, aside, told))
 
     def _close_sibling(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -197,30 +242,58 @@ def _article(html: str, hints: bool) -> tuple[str, int]:
     reader.close()
     lines = reader.lines
     shown = sum(len(x.text) for x in lines)
-    if not any(not x.aside for x in lines):
+    apart = [x.aside or bool(x.told) for x in lines]
+    if all(apart):
         return "", shown
-    ratios = np.array([0.0 if x.aside else len(x.text) / max(1, x.tags) for x in lines])
-    smooth = smoothed(ratios)
-    open_ratios = smooth[[not x.aside for x in lines]]
-    cut = threshold(open_ratios)
+    cut, content = _content(lines, apart)
+    if reader.told:
+        texts, tags = np.zeros(len(reader.told)), np.zeros(len(reader.told))
+        for line in lines:
+            for k in () if line.aside else line.told:
+                texts[k] += len(line.text)
+                tags[k] += line.tags
+        level = cut or np.median([len(x.text) / max(1, x.tags) for x, out in zip(lines, apart) if not out]) / 2
+        rich = texts / np.maximum(1, tags) >= level
+        free = {k for k, x in enumerate(reader.told) if x.inside and rich[k]}
+        if free:
+            apart = [x.aside or not free.issuperset(x.told) for x in lines]
+            _, content = _content(lines, apart)
+    article = _holder(reader, content)
+    if reader.told:
+        whole = article < 0 or reader.kinds[article] in ("html", "body")
+        for k, x in enumerate(reader.told):
+            if not x.inside and (whole or article in x.path) and (
+                not x.ends and (x.prose or rich[k] or not whole) or x.ends and not whole and not x.plain and (x.prose or rich[k])
+            ):
+                free.add(k)
+        apart = [x.aside or not free.issuperset(x.told) for x in lines]
+    kept = [k for k, x in enumerate(lines) if not apart[k] and (article < 0 or article in x.path)]
+    if kept and not any(lines[k].heading for k in kept):
+        before = [k for k in range(kept[0]) if lines[k].heading and not apart[k]]
+        kept = before[-1:] + kept
+    return "\n\n".join(lines[k].text for k in kept), shown
+
+
+def _content(lines: list[Line], apart: list[bool]) -> tuple[float, list[Line]]:
+    """The threshold of the smoothed ratios, and the lines above it; lines that are apart count as empty."""
+    smooth = smoothed(np.array([0.0 if out else len(x.text) / max(1, x.tags) for x, out in zip(lines, apart)]))
+    cut = threshold(smooth[[not out for out in apart]])
+    return cut, [x for x, out, value in zip(lines, apart, smooth) if not out and value >= cut]
+
+
+def _holder(reader: LineReader, content: list[Line]) -> int:
+    """The number of the element that holds the article, -1 for the whole page."""
     held = np.zeros(len(reader.kinds))
     total = 0
-    for line, value in zip(lines, smooth):
-        if not line.aside and value >= cut:
-            total += len(line.text)
-            for number in line.path:
-                held[number] += len(line.text)
+    for line in content:
+        total += len(line.text)
+        for number in line.path:
+            held[number] += len(line.text)
     named = [n for n, kind in enumerate(reader.kinds) if kind in ("article", "main") and held[n] >= SHARE * total]
     if named:
-        article = max(named, key=lambda n: (reader.kinds[n] == "article", n))
-    else:  # the innermost element that still holds most of the content
-        inner = [n for n in range(len(held)) if held[n] >= SHARE * total]
-        article = max(inner) if inner else -1
-    kept = [k for k, x in enumerate(lines) if not x.aside and (article < 0 or article in x.path)]
-    if kept and not any(lines[k].heading for k in kept):
-        before = [k for k in range(kept[0]) if lines[k].heading and not lines[k].aside]
-        kept = before[-1:] + kept
-    return "\n\n".join(lines[k].text for k in kept), shown
+        return max(named, key=lambda n: (reader.kinds[n] == "article", n))
+    inner = [n for n in range(len(held)) if held[n] >= SHARE * total]  # the innermost element that still holds most of the content
+    return max(inner) if inner else -1
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

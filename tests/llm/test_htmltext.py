@@ -49,6 +49,27 @@ def test_pages_without_an_article(page):
     assert main_text(page) == ""
 
 
+SLUGS = ["related-work", "search-algorithms", "comments-on-the-law", "social-history", "notice", "binary-search"]
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+@pytest.mark.parametrize("around", ["article", "main", 'div class="story"'])
+def test_sections_with_telling_slugs_stay(slug, around):
+    body = f'<h1>Headline</h1><p>{LONG[0]}</p><p>{LONG[1]}</p><h2 id="{slug}">Part</h2><p class="{slug}">{LONG[3]}</p>'
+    body += f'<section id="{slug}"><h3 id="{slug}">In it</h3><p>{LONG[1]}</p><p>{LONG[0]}</p></section><div class="x {slug}">{story()}</div>'
+    page = f"<body><nav>{MENU}</nav><div>{MENU}</div><{around}>{body}</{around.split()[0]}><div>{MENU}</div></body>"
+    want = ["Headline", LONG[0], LONG[1], "Part", LONG[3], "In it", LONG[1], LONG[0], *LONG]
+    assert main_text(page) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("part", [f'<div class="related-posts">{MENU}</div>', f'<div class="post-share">{MENU}</div>', '<div id="comment-list"><p>I agree!</p></div>',
+                                  f'<section class="ads">{LONG[0]}</section>', f'<div class="post comments"><p>{LONG[1]}</p></div>'])
+@pytest.mark.parametrize("around", ["article", "main", 'div class="story"'])
+def test_marked_surroundings_go(part, around):
+    page = f"<body><div>{MENU}</div><{around}><h1>Headline</h1>{story()}{part}</{around.split()[0]}><div>{MENU}</div></body>"
+    assert main_text(page) == WANT
+
+
 @pytest.mark.parametrize("section", ["<![ endif]-->", "<![RELEASE[1.2]]>", "<![endif]-->", "<![if !IE]>", "<![>", "<![ >", "<![CDATA[no]]>", "<![cdata>"])
 def test_marked_sections(section):
     assert main_text(f"<p>a</p>{section}<p>b</p>") == "a\n\nb"
