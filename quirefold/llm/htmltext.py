@@ -3,7 +3,8 @@
 The standard library's parser reads a page in chunks; its events are folded into lines, one per block of text, each with
 its characters, the tags met since the line before, and the elements around it. The ratio of characters to tags is smoothed
 over the lines with a Gaussian, and two clusters of the smoothed ratios give the threshold above which a line is content.
-The element that holds the content lines is the article: its blocks are the text, short ones too, without elements that say by
+The article is the element that holds most of the content lines, the article elements of the others, and what lies between the
+first and the last of them below the element that holds them all: its blocks are the text, short ones too, without elements that say by
 their tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Inside the
 article a class or id says so only if it ends in the telling word, never of headings and paragraphs, and, but for the plainest
 words, only of elements whose own ratio is not that of content: a section may be called related-work.
@@ -29,9 +30,11 @@ SHARE = 0.6
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr td th".split()
+    "span strike strong sub sup time tt u var wbr td th "
+    "math semantics maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
 )
-SILENT = frozenset("script style noscript template head title svg math iframe object audio video canvas select textarea button datalist".split())
+SILENT = frozenset("script style noscript template head title svg annotation annotation-xml iframe object audio video canvas select textarea button datalist".split())
 FRAME = frozenset("nav header footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 HOLDERS = frozenset("html body main article section div center table tbody tr td".split())
@@ -145,7 +148,7 @@ class LineReader(HTMLParser):
                 self.open.pop()
             elif tag == "li" or tag in ("dt", "dd"):
                 self._close_sibling(tag)
-        elif tag in ("br", "td", "th", "img"):
+        elif tag in ("br", "td", "th", "img", "math", "mtd", "mtr"):
             self.parts.append(" ")
         if tag in VOID or (tag in INLINE and tag not in ("td", "th")):
             return
@@ -172,6 +175,8 @@ class LineReader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in INLINE and tag not in ("td", "th"):
+            if tag == "math":
+                self.parts.append(" ")
             return
         if tag not in INLINE and tag not in SILENT:
             self._end_line()
@@ -258,16 +263,22 @@ def _article(html: str, hints: bool) -> tuple[str, int]:
         if free:
             apart = [x.aside or not free.issuperset(x.told) for x in lines]
             _, content = _content(lines, apart)
-    article = _holder(reader, content)
+    holder, around, kept = _region(reader, lines, content, cut)
     if reader.told:
-        whole = article < 0 or reader.kinds[article] in ("html", "body")
+        before = len(free)
         for k, x in enumerate(reader.told):
-            if not x.inside and (whole or article in x.path) and (
-                not x.ends and (x.prose or rich[k] or not whole) or x.ends and not whole and not x.plain and (x.prose or rich[k])
-            ):
+            if x.inside or x.plain:
+                continue
+            if holder in x.path and reader.kinds[holder] not in ("html", "body"):
+                if x.prose or rich[k] or not x.ends:
+                    free.add(k)
+            elif not x.ends and (x.prose or rich[k]) and (around < 0 or around in x.path):
                 free.add(k)
         apart = [x.aside or not free.issuperset(x.told) for x in lines]
-    kept = [k for k, x in enumerate(lines) if not apart[k] and (article < 0 or article in x.path)]
+        if len(free) > before:
+            cut, content = _content(lines, apart)
+            _, _, kept = _region(reader, lines, content, cut)
+    kept = [k for k in kept if not apart[k]]
     if kept and not any(lines[k].heading for k in kept):
         before = [k for k in range(kept[0]) if lines[k].heading and not apart[k]]
         kept = before[-1:] + kept
@@ -281,8 +292,8 @@ def _content(lines: list[Line], apart: list[bool]) -> tuple[float, list[Line]]:
     return cut, [x for x, out, value in zip(lines, apart, smooth) if not out and value >= cut]
 
 
-def _holder(reader: LineReader, content: list[Line]) -> int:
-    """The number of the element that holds the article, -1 for the whole page."""
+def _region(reader: LineReader, lines: list[Line], content: list[Line], cut: float) -> tuple[int, int, list[int]]:
+    """The elements that hold most of the content and all of it (-1: the page), and the places of the article's lines."""
     held = np.zeros(len(reader.kinds))
     total = 0
     for line in content:
@@ -291,9 +302,28 @@ def _holder(reader: LineReader, content: list[Line]) -> int:
             held[number] += len(line.text)
     named = [n for n, kind in enumerate(reader.kinds) if kind in ("article", "main") and held[n] >= SHARE * total]
     if named:
-        return max(named, key=lambda n: (reader.kinds[n] == "article", n))
-    inner = [n for n in range(len(held)) if held[n] >= SHARE * total]  # the innermost element that still holds most of the content
-    return max(inner) if inner else -1
+        holder = max(named, key=lambda n: (reader.kinds[n] == "article", n))
+    else:  # the innermost element that still holds most of the content
+        holder = max((n for n in range(len(held)) if held[n] >= SHARE * total), default=-1)
+    # lines of content by themselves too, not by their neighbours alone
+    ends = [x for x in content if len(x.text) >= cut * max(1, x.tags)] or content
+    mains = {n for n in named if reader.kinds[n] == "main"}
+    articles = {n for n, kind in enumerate(reader.kinds) if kind == "article"}
+    scope = mains or articles
+    inside = [x for x in ends if scope.intersection(x.path)]
+    if mains or sum(len(x.text) for x in inside) >= SHARE * sum(len(x.text) for x in ends):
+        ends = inside or ends
+    stories = {max(found) for x in ends if (found := articles.intersection(x.path))} | {holder}
+    low, high = min(x.path for x in ends), max(x.path for x in ends)
+    depth = next((k for k, (m, n) in enumerate(zip(low, high)) if m != n), min(len(low), len(high)))
+    shared = low[:depth]
+    first, last = ends[0].path[:depth + 1], ends[-1].path[:depth + 1]
+    places = [k for k, x in enumerate(lines) if x.path[:depth] == shared]
+    begin = next(k for k in places if lines[k] is ends[0] or (len(first) > depth and lines[k].path[:depth + 1] == first))
+    end = next(k for k in reversed(places) if lines[k] is ends[-1] or (len(last) > depth and lines[k].path[:depth + 1] == last))
+    between = {k for k in places if begin <= k <= end}
+    kept = [k for k, x in enumerate(lines) if holder < 0 or k in between or stories.intersection(x.path)]
+    return holder, shared[-1] if shared else -1, kept
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -70,6 +70,34 @@ def test_marked_surroundings_go(part, around):
     assert main_text(page) == WANT
 
 
+MORE = [f"{x} And so on, as was told." for x in LONG]
+TABLE = "".join(f"<tr><td>{x}</td></tr>" for x in [*LONG, *MORE, *LONG, *MORE])
+
+
+@pytest.mark.parametrize("body", [
+    f"<div><h1>Headline</h1>{story()}{story()}</div><div>{story()}</div>",
+    f"<div><h1>Headline</h1>{story()}</div><p>Few.</p><div>{story()}{story()}</div>",
+    f"<section><h1>Headline</h1>{story()}{story()}</section><section>{story()}</section>",
+    f"<article><h1>Headline</h1>{story()}{story()}</article><article>{story()}</article>",
+    f"<article><h1>Headline</h1>{story()}</article><article>{story()}{story()}<p>{LONG[2]}</p></article>",
+    f"<main><h1>Headline</h1>{story()}<article>{story()}{story()}</article></main>",
+    f"<h1>Headline</h1>{story()}<table>{TABLE}</table>{story()}",
+    f'<h1>Headline</h1>{story()}{story()}<section id="social-history">{story()}</section>',
+    f'<div><h1>Headline</h1>{story()}</div><div>{story()}</div><section id="social-history">{story()}</section>',
+])
+@pytest.mark.parametrize("page", ["<body>{}</body>", '<body><div>MENU</div><div class="page">{}</div><div>MENU</div></body>', "<body><nav>MENU</nav>{}<footer>Imprint</footer></body>"])
+def test_stories_of_several_elements(body, page):
+    import re
+
+    want = [" ".join(x.split()) for x in re.split(r"<[^>]*>", body)]
+    assert main_text(page.replace("MENU", MENU).format(body)) == "\n\n".join(x for x in want if x)
+
+
+def test_formulas_stay():
+    formula = '<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="TeX">E=mc^2</annotation></semantics></math>'
+    assert main_text(f"<article><p>{LONG[0]}</p><p>Then{formula}holds.</p><p>{LONG[1]}</p></article>") == f"{LONG[0]}\n\nThen E=mc2 holds.\n\n{LONG[1]}"
+
+
 @pytest.mark.parametrize("section", ["<![ endif]-->", "<![RELEASE[1.2]]>", "<![endif]-->", "<![if !IE]>", "<![>", "<![ >", "<![CDATA[no]]>", "<![cdata>"])
 def test_marked_sections(section):
     assert main_text(f"<p>a</p>{section}<p>b</p>") == "a\n\nb"
