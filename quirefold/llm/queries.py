@@ -62,7 +62,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_licence_scan", OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan(table(spark, sf_dir, "documents"))
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.all_templates(), runs=True)
     return found.select(
         "doc_id", F.size("matches").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct("matches.licence")), ",").alias("licences"),
