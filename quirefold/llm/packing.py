@@ -8,7 +8,8 @@ partitions too: the place of a turn in the order of all turns is a function of i
 documents and knows their places in the queues places their tokens without any state from other tasks. Tokens are never
 shuffled, and only the very last window of the corpus is not full.
 
-A queue that runs dry leaves its share to the others. Without weights the shares are those of the corpus, and all
+Sources beyond the queues of the schedule share one, whose turns are dealt to them by a schedule of the same kind, in as many
+levels as they need. A queue that runs dry leaves its share to the others. Without weights the shares are those of the corpus, and all
 queues last to the end.
 """
 
@@ -153,6 +154,9 @@ class Schedule:
     def place(self, queue: np.ndarray, turn: np.ndarray) -> np.ndarray:
         """How many tokens come before each turn: those of the turns that are due earlier, or at the same time in a queue of a lower number."""
         time = self.due(queue, turn)
+        if len(turn) < len(self.weights):  # few turns of many queues: all queues at once
+            step = max(1, (1 << 20) // len(self.weights))
+            return np.concatenate([self._place(queue[k:k + step, None], turn[k:k + step, None], time[k:k + step, None]) for k in range(0, len(turn), step)])
         before = np.zeros(len(turn), np.int64)
         for other in range(len(self.weights)):
             n = np.maximum(np.floor(time * self.weights[other] / self.grain + 0.5), 0).astype(np.int64)
@@ -169,8 +173,21 @@ class Schedule:
             before += np.minimum(n * self.grain, self.totals[other])
         return before
 
-    def pieces(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-        """Cuts documents (tokens ``first`` to ``first + n`` of their queues): row, start in the document, length, window, offset."""
+    def _place(self, queue: np.ndarray, turn: np.ndarray, time: np.ndarray) -> np.ndarray:
+        others = np.arange(len(self.weights))[None, :]
+        n = np.maximum(np.floor(time * self.weights[None, :] / self.grain + 0.5), 0).astype(np.int64)
+        first = queue > others
+        while True:
+            late, soon = self.due(others, n - 1), self.due(others, n)
+            back = (n > 0) & ((late > time) | (late == time) & ~first)
+            on = ~back & ((soon < time) | (soon == time) & first)
+            if not (back | on)[queue != others].any():
+                break
+            n += on.astype(np.int64) - back
+        return np.minimum(np.where(queue == others, turn, n) * self.grain, self.totals[None, :]).sum(1)
+
+    def turns(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cuts tokens ``first`` to ``first + n`` of queues into turns: row, first token in the queue, length, place among all turns' tokens."""
         begin, end = first // self.grain, (first + n - 1) // self.grain
         row = np.repeat(np.arange(len(n)), end - begin + 1)
         turn = np.arange(len(row)) - np.repeat(np.cumsum(end - begin + 1) - (end - begin + 1), end - begin + 1) + begin[row]
@@ -179,17 +196,79 @@ class Schedule:
         at = np.concatenate([
             self.place(queue[row[k:k + STEP]], turn[k:k + STEP]) for k in range(0, len(row), STEP)
         ]) + low - turn * self.grain
+        return row, low, length, at
+
+    def pieces(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Cuts documents (tokens ``first`` to ``first + n`` of their queues): row, start in the document, length, window, offset."""
+        row, low, length, at = self.turns(queue, first, n)
         fits = np.minimum(length, (at // size + 1) * size - at)
         over = np.flatnonzero(length > fits)  # a turn is at most a window long, so it meets one boundary at most
         row, low, length, at = (
             np.concatenate((x, y)) for x, y in (
                 (row, row[over]), (low, (low + fits)[over]), (fits, (length - fits)[over]), (at, (at + fits)[over]))
         )
-        order = np.lexsort((low, row))
-        row, low, length, at = row[order], low[order], length[order], at[order]
-        joined = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + length[:-1]) & (at[1:] // size == at[:-1] // size)
-        head = np.flatnonzero(np.concatenate(([True], ~joined)))
-        return row[head], (low - first[row])[head], np.add.reduceat(length, head), at[head] // size, at[head] % size
+        return joined(row, low - first[row], length, at, size)
+
+
+def joined(row: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Pieces of a document that follow each other in a window as one: row, start, length, window, offset."""
+    order = np.lexsort((start, row))
+    row, start, length, at = row[order], start[order], length[order], at[order]
+    on = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + length[:-1]) & (at[1:] // size == at[:-1] // size)
+    head = np.flatnonzero(np.concatenate(([True], ~on)))
+    return row[head], start[head], np.add.reduceat(length, head), at[head] // size, at[head] % size
+
+
+class Tree:
+    """Schedules of schedules: those of node 0 hold the windows; a further node's tokens are one queue of the node above it."""
+
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, grain: int, queues: int):
+        """``totals`` and ``shares`` are by source; the first ``queues`` of them have a queue in node 0, the others share one more."""
+        self.nodes: list[Schedule] = []
+        self.above: list[tuple[int, int, int]] = []  # node, queue, depth
+        self.node, self.queue = np.zeros(len(totals), np.int64), np.arange(len(totals))
+        rest = np.arange(queues, len(totals))
+        total = max(1, int(totals.sum()))
+        tail = int(totals[rest].sum())
+        shares = np.append(shares[:queues], [tail / total] * bool(len(rest)))
+        self.nodes.append(Schedule(np.append(totals[:queues], [tail] * bool(len(rest))), np.where(shares > 0, shares, 1e-9) * total, grain))
+        self.above.append((-1, -1, 0))
+        todo = [(rest, 0, queues)] if len(rest) else []
+        fan = max(2, queues + 1)
+        while todo:
+            own, above, slot = todo.pop()
+            node = len(self.nodes)
+            self.above.append((above, slot, self.above[above][2] + 1))
+            if len(own) <= fan:
+                self.node[own], self.queue[own] = node, np.arange(len(own))
+                sums = totals[own]
+            else:
+                groups = [own[k::fan] for k in range(fan)]
+                sums = np.array([totals[g].sum() for g in groups])
+                todo += [(g, node, k) for k, g in enumerate(groups)]
+            self.nodes.append(Schedule(sums, np.maximum(sums, 1e-9), grain))
+
+    def pieces(self, source: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """As those of a schedule, of documents whose tokens are ``first`` to ``first + n`` of their sources."""
+        node, queue = self.node[source], self.queue[source]
+        if not node.any():
+            return self.nodes[0].pieces(queue, first, n, size)
+        row, start = np.arange(len(n)), np.zeros(len(n), np.int64)
+        depths = np.array([depth for *_, depth in self.above])
+        for depth in range(int(depths[node].max()), 0, -1):
+            parts = []
+            for k in np.unique(node):
+                at = np.flatnonzero(node == k)
+                if depths[k] < depth:
+                    parts.append((row[at], start[at], node[at], queue[at], first[at], n[at]))
+                    continue
+                own, low, length, place = self.nodes[k].turns(queue[at], first[at], n[at])
+                own = at[own]
+                above, slot, _ = self.above[k]
+                parts.append((row[own], start[own] + low - first[own], np.full(len(own), above), np.full(len(own), slot), place, length))
+            row, start, node, queue, first, n = (np.concatenate(x) for x in zip(*parts))
+        own, within, length, window, offset = self.nodes[0].pieces(queue, first, n, size)
+        return joined(row[own], start[own] + within, length, window * size + offset, size)
 
 
 def pack(
@@ -198,28 +277,34 @@ def pack(
 ) -> DataFrame:
     """Pieces ``(doc_id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids)``; each id lies in one piece.
 
-    The ``queues`` - 1 sources with the most tokens have a queue each and all others share one, so the schedule is of bounded
-    size. ``weights`` are target shares by source (those not named: their corpus share); None takes the corpus's
+    The sources named in ``weights`` and those with the most tokens, ``queues`` - 1 if no more are named, have a queue each; all
+    others share one, whose turns they take by schedules of at most ``queues`` queues. The sources' sums pass the driver. ``weights`` are target shares by source (those not named: their corpus share); None takes the corpus's
     shares. Null texts are empty (one piece with the end id), null sources are one source, an empty table has no pieces.
     """
     spark = docs.sparkSession
     with small_batches(spark):
         coded = materialize(tokens(docs, path, id_col, text_col, source_col, end_id), "tokens")
     sums = materialize(coded.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-sums")
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    top = [(r["source"], int(r["n"])) for r in by_source.orderBy(F.desc("n"), "source").limit(queues - 1).collect()]
-    total = int(sums.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    totals = np.array([n for _, n in top] + [total - sum(n for _, n in top)], np.int64)
-    share = np.array([(weights or {}).get(s, n / total) for s, n in top] + [totals[-1] / max(1, total)])
-    schedule = Schedule(totals, np.where(share > 0, share, 1e-9) * max(1, total), min(grain, size))
-    named = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(top)], "source string, queue int")  # fewer than ``queues`` rows
-    queued = sums.join(F.broadcast(named), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(top))))
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    weights = weights or {}
+    sources = sorted(
+        ((r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()),
+        key=lambda x: (x[0] not in weights, -x[1], x[0]),
+    )
+    own = max(sum(s in weights for s, _ in sources), min(queues - 1, len(sources)))
+    sources[:own] = sorted(sources[:own], key=lambda x: (-x[1], x[0]))
+    totals = np.array([n for _, n in sources], np.int64)
+    total = max(1, int(totals.sum()))
+    tree = Tree(totals, np.array([weights.get(s, n / total) for s, n in sources], np.float64), min(grain, size), own)
+    named = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(sources)], "source string, queue int")
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    queued = sums.join(broadcast_if_small(named), "source")
     bases = materialize(queued.select("source", "part", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "bases")
     placed = coded.join(broadcast_if_small(bases), ["source", "part"])
+    sent = share(spark, tree)
     kind = coded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared(sent)
         for batch in pieces(batches):
             n = batch.column("n").to_numpy()
             live = pa.array(np.flatnonzero(n))  # without an end id, empty texts have no piece
@@ -227,7 +312,7 @@ def pack(
             if not len(n):
                 continue
             first = batch.column("base").to_numpy() + batch.column("before").to_numpy()
-            row, start, length, window, offset = schedule.pieces(batch.column("queue").to_numpy(), first, n, size)
+            row, start, length, window, offset = tree.pieces(batch.column("queue").to_numpy(), first, n, size)
             ids = batch.column("ids").to_pylist()
             widths = (np.fromiter(map(len, ids), np.int64, len(ids)) // n).tolist()
             blobs = [

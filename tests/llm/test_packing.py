@@ -79,6 +79,34 @@ def test_many_sources_share_a_queue(spark):
     check(spark, rows, size=128, grain=16, queues=6)
 
 
+def test_sources_beyond_the_queues_keep_their_shares(spark):
+    rows = [(k, "one two three four five six seven eight nine ten " * 8, "en", f"s{k % 3 if k % 2 else 3 + k % 61}", 0) for k in range(600)]
+    found, _ = check(spark, rows, size=512, grain=16, queues=5)
+    total = found.length.sum()
+    for source, part in found.groupby("source"):
+        had = part.groupby("sequence_id").length.sum().reindex(range(found.sequence_id.max() + 1), fill_value=0).cumsum()
+        owed = had - part.length.sum() / total * 512 * (found.sequence_id.drop_duplicates().sort_values().to_numpy() + 1)
+        assert owed[:-1].abs().max() <= 16 * 4  # a turn or so at each level
+
+
+def test_weights_of_a_rare_source(spark):
+    rows = [(k, "one two three four five " * 40, "en", "z" if k % 20 == 0 else f"s{k % 20 // 2}", 0) for k in range(200)]
+    found, _ = check(spark, rows, size=256, grain=16, queues=4, weights={"z": 0.5})
+    early = found[found.sequence_id < 5].groupby("source").length.sum()
+    assert early.get("z", 0) / early.sum() > 0.3
+
+
+@pytest.mark.parametrize("totals", [[500, 20, 300, 7, 1, 64, 8], [9, 9, 9, 9, 9, 9], [40] * 30])
+@pytest.mark.parametrize("queues", [1, 2, 3])
+def test_every_token_of_a_tree_has_its_place(totals, queues):
+    tree = packing.Tree(np.array(totals), np.array(totals) / sum(totals), 8, queues)
+    n = np.array(totals)
+    row, start, length, window, offset = tree.pieces(np.arange(len(n)), np.zeros(len(n), np.int64), n, 32)
+    at = np.concatenate([np.arange(k) + w * 32 + o for k, w, o in zip(length, window, offset)])
+    assert sorted(at.tolist()) == list(range(sum(totals)))
+    assert np.array_equal(np.bincount(row, length), n)
+
+
 @pytest.mark.parametrize("totals,weights", [([100, 37, 1, 64], [100, 37, 1, 64]), ([64, 64, 64], [1, 1, 1]), ([500, 20, 300], [1, 7, 2]), ([9, 0, 9], [3, 1, 3])])
 def test_places_are_those_of_the_merged_turns(totals, weights):
     schedule = packing.Schedule(np.array(totals), np.array(weights, float), 8)
