@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quirefold.llm import linerules
 from quirefold.llm.licences import LEAST_DICE, TEMPLATES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,3 +102,81 @@ s AS (SELECT rid, count(*) AS n, max(dice) AS best, string_agg(DISTINCT name, ',
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licences, round(coalesce(best, 0), 6) AS best_dice
 FROM d LEFT JOIN s USING (rid)
 """
+
+
+def _list(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + t.replace(_QUOTE, 2 * _QUOTE) + "'" for t in texts) + "]"
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w FROM d),
+win AS (SELECT rid, s, w[s:s + 2] AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS s FROM w)),
+twice AS (SELECT rid, s FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n_rep FROM (SELECT rid, unnest([s, s + 1, s + 2]) AS p FROM twice) GROUP BY rid),
+l AS (SELECT rid, l, {_low('l')} AS low, regexp_extract_all(l, '{_WORDS}') AS w FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)),
+ruled AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: list_contains({_list(linerules.SEPARATORS)}, x))) AS seps,
+                 len(list_filter(regexp_extract_all(low, '{linerules.MENU_WORD}'), lambda x: list_contains({_list(linerules.MENU_WORDS)}, x))) AS menu,
+                 len(list_filter({_list(linerules.PHRASES)}, lambda x: contains(low, x))) AS said,
+                 len(regexp_extract_all(l || ' ', '{linerules.NOISY}{linerules.BLANK}')) AS noisy,
+                 len(regexp_extract_all(regexp_extract(l || ' ', '^((?s:.*)(?:{linerules.CLOSING.replace(_QUOTE, 2 * _QUOTE)})){linerules.BLANK}', 1), '{_WORDS}')) AS closed
+          FROM l WHERE len(w) > 0),
+fails AS (SELECT *, (seps > 1 AND seps * 8 >= n) OR (menu > 1 AND menu * 2 >= n) OR (said > 0 AND said * {linerules.PHRASE_WORDS} >= n)
+                    OR noisy * 4 > n OR (n - closed) * 2 > n AS bad FROM ruled),
+ln AS (SELECT rid, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost, count(*) - count(DISTINCT l) AS dups FROM fails GROUP BY rid),
+r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+      FROM w LEFT JOIN rep USING (rid) LEFT JOIN ln USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * lost <= {linerules.MAX_LOST} * n_words AS kept
+FROM b
+"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '{_TERMS}') AS w FROM documents),
+c AS (SELECT rid, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS l FROM c),
+tf AS (SELECT rid, x, count(*) AS tf FROM (SELECT rid, {_low('unnest(w)')} AS x FROM d) GROUP BY rid, x),
+df AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+       FROM (SELECT x, count(*) AS df FROM tf GROUP BY x), s),
+q AS (SELECT qid, item_id, {_low('unnest(w)')} AS x
+      FROM (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all(text, '{_TERMS}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+qt AS (SELECT qid, item_id, x, count(*) AS r FROM q GROUP BY ALL),
+p AS (SELECT tf.x, rid, doc_id, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // l))) AS part
+      FROM tf JOIN df USING (x) JOIN c USING (rid), s),
+sc AS (SELECT qid, item_id, rid, doc_id, CAST(sum(r * part) AS BIGINT) AS score FROM qt JOIN p USING (x) GROUP BY ALL),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM rk WHERE rank <= 20
+"""
+
+_CRC = "list_reduce([4294967295::BIGINT] || [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(h) // 2)], lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))"
+
+
+def _bucketed(name: str) -> str:
+    return f"SELECT rid, n, xor({_CRC}, 4294967295) % 10000 AS k FROM (SELECT rid, x, count(*) AS n FROM {name} GROUP BY rid, x), LATERAL (SELECT hex(encode(x)) AS h), tab"
+
+
+OP13 = rf"""
+WITH tab AS (SELECT list(c ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce([b] || [0 FOR i IN range(8)], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM (SELECT unnest(range(256)) AS b))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_low('text')}, '{_BENCH_WORDS}') AS w FROM documents),
+dw AS (SELECT rid, unnest(w) AS x FROM d), bw AS (SELECT 1 AS rid, unnest(regexp_extract_all({_low('text')}, '{_BENCH_WORDS}')) AS x FROM benchmark),
+df AS ({_bucketed('dw')}), bf AS ({_bucketed('bw')}),
+sk AS (SELECT k, sum(n) AS s FROM df GROUP BY k), tk AS (SELECT k, sum(n) AS t FROM bf GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM df) + 10000)::DOUBLE
+                                     / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM bf) + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM sk FULL JOIN tk USING (k)),
+wt AS (SELECT rid, CAST(sum(n * gain) AS BIGINT) AS weight FROM df JOIN g USING (k) GROUP BY rid),
+sc AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+              coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+       FROM d LEFT JOIN wt USING (rid)),
+rk AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM sc WHERE n_features >= 20
+       QUALIFY r <= (SELECT 10 * count(*) // 100 FROM sc WHERE n_features >= 20))
+SELECT doc_id, n_features, weight, score, CAST(r AS BIGINT) AS rank FROM sc LEFT JOIN rk USING (rid)
+"""

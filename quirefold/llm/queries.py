@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, htmltext, langid, licences, linededup, packing, quality, simhash, topk, warc
-from quirefold.llm.oracles import OP2, OP5, OP6, OP8, OP10
+from quirefold.llm import (
+    decontaminate, htmltext, langid, lexical, licences, linededup, linerules, packing, quality, resample, simhash, topk, warc,
+)
+from quirefold.llm.oracles import OP2, OP5, OP6, OP8, OP10, OP11, OP12, OP13
 from quirefold.session import scratch_path
 from quirefold.llm.common import table
 
@@ -97,3 +99,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")
+
+
+@query("op11_line_rules", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linerules.measure(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *linerules.COUNTS, "base_failed", "kept")
+
+
+@query("op12_lexical_search", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_importance_resampling", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
