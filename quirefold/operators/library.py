@@ -3,7 +3,8 @@
 Every table lies under ``<root>/<table>/writer=W/batch_id=N/bucket=M``. A writer is one bulk load, one restore or one
 streaming checkpoint, so batches of different writers never meet. A batch overwrites its own folder, so writing it twice
 changes nothing, and its documents are written last: a batch without documents is one that was interrupted, and
-readers do not see it. A delete names the stored rows (document, writer, batch), so a later document may use the id again.
+readers do not see it; only its rejects count whether or not a document came with them. A delete names the stored rows
+(document, writer, batch), so a later document may use the id again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirefold import schemas
 from quirefold.functions.ids import parent_id
 from quirefold.session import broadcast_if_small, materialize
 
@@ -23,12 +25,19 @@ BUCKETS = 64
 MAIN = "main"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+#: What Spark says of a folder that is not there, and of one without a file: nothing is stored in either.
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows under ``path``, or None where nothing is stored. Any other fault (a denied folder, say) is an error."""
     try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+        df = spark.read.parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() in NOTHING_STORED:
+            return None
+        raise
+    return df.withColumn("writer", F.col("writer").cast("string")) if "writer" in df.columns else df
 
 
 def new_writer(kind: str) -> str:
@@ -58,18 +67,20 @@ class Library:
                 out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/writer={writer}/batch_id={batch_id}")
 
     def exists(self) -> bool:
-        return path_exists(self.spark, self._path("documents"))
+        """Whether anything was ever stored, be it rejects only."""
+        return any(stored(self.spark, self._path(table)) is not None for table in ("documents", "rejects"))
 
     def deleted(self) -> DataFrame | None:
         """(document_id, writer, batch_id) of deleted documents."""
-        path = self._path("deleted")
-        return self.spark.read.parquet(path).select("document_id", *BATCH).distinct() if path_exists(self.spark, path) else None
+        df = stored(self.spark, self._path("deleted"))
+        return None if df is None else df.select("document_id", *BATCH).distinct()
 
     def _live(self, table: str, replay: tuple[str, int] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self._path(table)).withColumn("writer", F.col("writer").cast("string"))
-        if table not in ("documents", "rejects"):  # rejects count whether or not a document came with them
-            complete = self.spark.read.parquet(self._path("documents")).select(F.col("writer").cast("string").alias("writer"), "batch_id").distinct()
-            df = df.join(broadcast_if_small(complete), BATCH, "left_semi")
+        df, documents = stored(self.spark, self._path(table)), stored(self.spark, self._path("documents"))
+        if df is None or (documents is None and table != "rejects"):
+            return self.spark.createDataFrame([], f"{schemas.LIBRARY[table]}, writer string, batch_id int, bucket int")
+        if table not in ("documents", "rejects"):
+            df = df.join(broadcast_if_small(documents.select(*BATCH).distinct()), BATCH, "left_semi")
         if replay is not None:
             df = df.filter((F.col("writer") != replay[0]) | (F.col("batch_id") < replay[1]))
         gone = self.deleted()
@@ -89,8 +100,9 @@ class Library:
         """One more than the highest document id ever used, deleted ones included."""
         highest = [0]
         for table in ("documents", "floor"):
-            if path_exists(self.spark, self._path(table)):
-                highest.append(self.spark.read.parquet(self._path(table)).agg(F.max("document_id")).first()[0] or 0)
+            df = stored(self.spark, self._path(table))
+            if df is not None:
+                highest.append(df.agg(F.max("document_id")).first()[0] or 0)
         return max(highest) + 1
 
     def delete(self, doomed: DataFrame) -> int:
@@ -108,44 +120,65 @@ class Library:
 
     # --- snapshots ---------------------------------------------------------------------------
 
+    def _batches(self) -> DataFrame:
+        """(writer, batch_id, complete): batches with rejects, documents or both; without documents only the rejects count."""
+        found = None
+        for table in ("documents", "rejects"):
+            df = stored(self.spark, self._path(table))
+            if df is not None:
+                rows = df.select("writer", F.col("batch_id").cast("long").alias("batch_id"), F.lit(table == "documents").alias("complete")).distinct()
+                found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            found = self.spark.createDataFrame([], "writer string, batch_id long, complete boolean")
+        return found.groupBy(*BATCH).agg(F.max("complete").alias("complete"))
+
+    @staticmethod
+    def _of_batches(rows: DataFrame, table: str, batches: DataFrame) -> DataFrame:
+        """The rows of a table that belong to ``batches(writer, batch_id, complete)``."""
+        batches = batches if table == "rejects" else batches.filter("complete")
+        return rows.join(broadcast_if_small(batches.select(*BATCH).distinct()), BATCH, "left_semi")
+
     def snapshot(self, target: str, version: int | None = None) -> int:
         """Bring ``target`` up to date: only batches that no earlier snapshot holds are copied.
 
         Stored batches never change, so a version is a list of batches, the deletes at that time and the highest
-        id; its manifest rows come last and complete it. Returns the version, by default one more than the newest.
+        id; its manifest rows come last and complete it. A batch that had only rejects is copied again if documents came later.
+        Returns the version, by default one more than the newest; a library without any batch has version 0 and no manifest.
         """
-        manifest = self.spark.read.parquet(f"{target}/manifest") if path_exists(self.spark, f"{target}/manifest") else None
+        manifest = stored(self.spark, f"{target}/manifest")
         if version is None:
             version = 1 if manifest is None else manifest.agg(F.max("version")).first()[0] + 1
-        batches = materialize(self.spark.read.parquet(self._path("documents")).select(F.col("writer").cast("string").alias("writer"), F.col("batch_id").cast("long").alias("batch_id")).distinct(), "batches")
-        fresh = batches if manifest is None else batches.join(manifest.select(*BATCH), BATCH, "left_anti")
+        batches = materialize(self._batches(), "batches")
+        if batches.isEmpty():
+            return 0
+        fresh = batches if manifest is None else batches.join(manifest.select(*BATCH, "complete"), [*BATCH, "complete"], "left_anti")
         if not fresh.isEmpty():
             for table in TABLES:
-                if path_exists(self.spark, self._path(table)):
-                    rows = self.spark.read.parquet(self._path(table)).withColumn("writer", F.col("writer").cast("string"))
-                    rows.join(broadcast_if_small(fresh), BATCH, "left_semi").write.mode("overwrite").option(
+                rows = stored(self.spark, self._path(table))
+                if rows is not None:
+                    self._of_batches(rows, table, fresh).write.mode("overwrite").option(
                         "partitionOverwriteMode", "dynamic").partitionBy(*BATCH, "bucket").parquet(f"{target}/{table}")
         gone = self.deleted()
         if gone is not None:
             gone.write.mode("overwrite").parquet(f"{target}/deleted/version={version}")
-        batches.select(F.lit(version).cast("long").alias("version"), *BATCH, F.lit(self.next_id() - 1).cast("long").alias("highest")).coalesce(1).write.mode(
-            "append").parquet(f"{target}/manifest")
+        batches.select(
+            F.lit(version).cast("long").alias("version"), *BATCH, "complete", F.lit(self.next_id() - 1).cast("long").alias("highest")
+        ).coalesce(1).write.mode("append").parquet(f"{target}/manifest")
         return version
 
     def restore(self, source: str) -> bool:
-        """Install the newest complete snapshot, only where no library exists yet."""
-        if self.exists() or not path_exists(self.spark, f"{source}/manifest"):
+        """Install the newest complete snapshot, rejects included, only where no library exists yet."""
+        manifest = stored(self.spark, f"{source}/manifest")
+        if manifest is None or self.exists():
             return False
-        manifest = self.spark.read.parquet(f"{source}/manifest")
         newest = manifest.agg(F.max("version")).first()[0]
         batches = manifest.filter(F.col("version") == newest)
-        gone = f"{source}/deleted/version={newest}"
-        gone = self.spark.read.parquet(gone) if path_exists(self.spark, gone) else None
+        gone = stored(self.spark, f"{source}/deleted/version={newest}")
         frames = {}
         for table in TABLES:
-            if path_exists(self.spark, f"{source}/{table}"):
-                rows = self.spark.read.parquet(f"{source}/{table}").withColumn("writer", F.col("writer").cast("string"))
-                rows = rows.join(broadcast_if_small(batches.select(*BATCH).distinct()), BATCH, "left_semi")
+            rows = stored(self.spark, f"{source}/{table}")
+            if rows is not None:
+                rows = self._of_batches(rows, table, batches)
                 if gone is not None:
                     rows = rows.join(broadcast_if_small(gone), ["document_id", *BATCH], "left_anti")
                 frames[table] = rows.drop(*BATCH, "bucket")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
-from quirefold.operators import admission, chunk, extract, hybrid, keyword, ranking, vectors
+from quirefold.operators import admission, blockmax, chunk, extract, hybrid, keyword, ranking, segments, vectors
 from quirefold.plans import corpora
 from quirefold.plans import oracle_parts as op
 from quirefold.plans.registry import query
@@ -299,6 +299,66 @@ def bm25_search_stemmed(spark, sf_dir):
     return _hits(keyword.bm25_search(corpora.passages(spark, sf_dir), keyword.build_index(doc_chunks(spark, sf_dir))))
 
 
+def _kept_in_step(spark, sf_dir, stem=False):
+    """Documents uploaded in five parts, of which one is deleted in two steps, one is uploaded again, and small segments are merged."""
+    chunks = doc_chunks(spark, sf_dir)
+    part = F.col("document_id") % 5
+    index = segments.create(chunks.filter(part == 0), stem)
+    for k in (1, 2, 3):
+        index = segments.append(index, chunks.filter(part == k))
+    ids = chunks.select("document_id").distinct()
+    index = segments.delete(index, ids.filter("document_id % 7 = 0"))
+    index = segments.merge(index)
+    index = segments.append(index, chunks.filter(part == 4))
+    index = segments.delete(index, ids.filter("document_id % 7 in (0, 1)"))
+    return segments.append(index, chunks.filter("document_id % 7 = 1"))
+
+
+STEP_CHUNKS = CHUNKS.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)")
+STEP = op.with_(STEP_CHUNKS, TOKENS, QTERMS)
+
+
+@query("segments_bm25", STEP + "SELECT query_id, rnk, chunk_id, round(score, 6) AS score FROM kw WHERE rnk <= 100")
+def segments_bm25(spark, sf_dir):
+    """Search of an index that was kept in step by segments, tombstones and a merge, against the documents that are left."""
+    return _hits(keyword.bm25_search(corpora.passages(spark, sf_dir), segments.searchable(_kept_in_step(spark, sf_dir))))
+
+
+@query("segments_stats", op.with_(STEP_CHUNKS, TOKENS) + "SELECT term, df, n AS n_chunks, round(avg_len, 6) AS mean_length FROM dfs, tot")
+def segments_stats(spark, sf_dir):
+    """Statistics that were added and subtracted by segment, against a recount."""
+    index = segments.searchable(_kept_in_step(spark, sf_dir))
+    return index.terms.withColumn("n_chunks", F.lit(index.n_chunks)).withColumn("mean_length", F.round(F.lit(index.mean_length), 6))
+
+
+@query("block_max_bm25", S + """,
+al AS (SELECT query_id, count(*) AS postings FROM phr JOIN post ON post.term = phr.phrase GROUP BY query_id)
+SELECT query_id, rnk, chunk_id, round(score, 6) AS score, postings FROM kw JOIN al USING (query_id) WHERE rnk <= 20""")
+def block_max_bm25(spark, sf_dir):
+    """The 20 best chunks per passage by blocks that can reach them, with the number of postings that scoring all would take."""
+    index = keyword.build_index(doc_chunks(spark, sf_dir), stem=False)
+    found = blockmax.search(corpora.passages(spark, sf_dir), blockmax.build(index), 20)
+    return _hits(found.hits).join(found.work.select("query_id", "postings"), "query_id")
+
+
+NEAR = 12
+
+
+@query("near_match", K + f""",
+q AS (SELECT item_id AS query_id, list_distinct({op.tokens('text')}[1:9:4]) AS w FROM benchmark),
+g AS (SELECT query_id, len(w) AS n, unnest(w) AS term FROM q),
+m AS (SELECT query_id, n, chunk_id, document_id, term, pos FROM g JOIN tok USING (term)),
+f AS (SELECT a.query_id, a.chunk_id, a.document_id, a.pos AS start, a.n, b.term, min(b.pos) AS place FROM m a JOIN m b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos >= a.pos GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, document_id, start, max(place) - start AS span FROM f GROUP BY query_id, chunk_id, document_id, start, n HAVING count(*) = n)
+SELECT query_id, chunk_id, document_id, min(span) AS span FROM s GROUP BY ALL HAVING min(span) <= {NEAR + 1}""")
+def near_match(spark, sf_dir):
+    """The first, fifth and ninth word of every passage within twelve words of each other."""
+    words = tx.tokens(F.col("q"))
+    groups = corpora.passages(spark, sf_dir).select(
+        "query_id", F.filter(F.array(*[F.get(words, F.lit(i)) for i in (0, 4, 8)]), lambda t: t.isNotNull()).alias("terms"), F.lit(NEAR).alias("distance"))
+    return keyword.near_matches(groups, keyword.build_index(doc_chunks(spark, sf_dir), stem=False))
+
+
 @query("query_terms", op.with_(QTERMS.split("qphr AS")[0].rstrip().rstrip(",")) + "SELECT query_id, term, count(*) AS times FROM qterm GROUP BY ALL")
 def query_terms(spark, sf_dir):
     terms = keyword.query_terms(corpora.passages(spark, sf_dir))

@@ -320,6 +320,40 @@ def snapshot_roundtrip(spark, sf_dir):
     return _listed({t: copy.read(t) for t in frames})
 
 
+PARTS = 5
+
+
+@query("snapshot_rejects", f"""
+WITH f AS (SELECT doc_id, doc_id % {PARTS} AS part, sha256(text) AS h FROM documents),
+k AS (SELECT h, arg_min(doc_id, (part, doc_id)) AS first_id FROM f WHERE part % 2 = 1 GROUP BY h)
+SELECT CASE WHEN part % 2 = 0 OR doc_id <> first_id THEN 'reject' ELSE 'document' END AS kind, doc_id AS document_id,
+       CASE WHEN part % 2 = 0 THEN 'unsupported file type: exe' WHEN doc_id <> first_id THEN 'duplicate' END AS reason,
+       CASE WHEN part % 2 = 1 AND doc_id <> first_id THEN first_id END AS canonical_id,
+       'f' || doc_id || CASE WHEN part % 2 = 0 THEN '.exe' ELSE '.txt' END AS filename, CASE WHEN part % 2 = 1 THEN h END AS content_hash
+FROM f LEFT JOIN k USING (h)""")
+def snapshot_rejects(spark, sf_dir):
+    """Five micro-batches with a snapshot after each; the first, the middle and the last hold refused files only. Read from the restored snapshot."""
+    docs = corpora.read(spark, sf_dir, "documents")
+    source, target = scratch_path(spark, "source"), scratch_path(spark, "snapshots")
+    for part in range(PARTS):
+        docs.filter(F.col("doc_id") % PARTS == part).coalesce(1).write.mode("append").parquet(source)
+
+    def named(batch):
+        ending = F.when(F.col("document_id") % PARTS % 2 == 0, ".exe").otherwise(".txt")
+        return _as_files(batch).withColumn("filename", F.concat(F.lit("f"), F.col("document_id").cast("string"), ending))
+
+    lib = library.Library(spark, scratch_path(spark, "library"), 8)
+    streaming.stream_ingest(streaming.file_stream(spark, source, docs.schema), lib, scratch_path(spark, "checkpoint"), target, named).awaitTermination()
+    copy = library.Library(spark, scratch_path(spark, "restored"), 8)
+    copy.restore(target)
+    rejects = copy.read("rejects").select(
+        F.lit("reject").alias("kind"), "document_id", "reason", "canonical_id", "filename",
+        F.when(F.col("reason") != fv.DUPLICATE, F.lit(None)).otherwise(F.col("content_hash")).alias("content_hash"))
+    null = F.lit(None)
+    return rejects.unionByName(copy.read("documents").select(
+        F.lit("document").alias("kind"), "document_id", null.cast("string").alias("reason"), null.cast("long").alias("canonical_id"), "filename", "content_hash"))
+
+
 LIFE_SQL = op.with_(CHUNKS) + """,
 h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
 k1 AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id % 3, doc_id) = 1),

@@ -15,3 +15,10 @@ LIBRARY_TABLES = (
 TABLE_ROWS = "table_id long, document_id long, row_index int, cells array<string>"
 FIELDS = "field_id long, document_id long, key string, value string, kind string"
 VECTORS = "chunk_id long, embedding array<float>"
+REJECTS = (
+    "document_id long, filename string, title string, file_type string, size long, content_hash string, canonical_id long, reason string"
+)
+LIBRARY = {
+    "documents": DOCUMENTS, "chunks": CHUNKS, "fields": FIELDS, "tables": LIBRARY_TABLES, "table_rows": TABLE_ROWS,
+    "vectors": f"{VECTORS}, document_id long", "rejects": REJECTS,
+}

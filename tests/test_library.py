@@ -137,3 +137,53 @@ def test_large_and_foreign_files_are_not_read(spark, tmp_path):
     lib = library.Library(spark, scratch_path(spark, "bulk"), 4)
     assert library.bulk_load(lib, str(tmp_path)) == 3
     assert {(r["filename"], r["reason"]) for r in lib.read("rejects").collect()} == {("c.exe", "unsupported file type: exe"), ("same.txt", "duplicate")}
+
+
+def refused(spark, *ids):
+    df = rows(spark, *["x"] * len(ids)).withColumn("document_id", F.col("document_id") - 1 + ids[0])
+    return df.withColumn("filename", F.concat(F.lit("f"), F.col("document_id").cast("string"), F.lit(".exe")))
+
+
+@pytest.mark.parametrize("order", [["r", "d", "r"], ["r"]])
+def test_batches_of_rejects_only_survive_restore(spark, order):
+    lib, target = library.Library(spark, scratch_path(spark, "lib"), 2), scratch_path(spark, "snap")
+    for k, kind in enumerate(order):
+        batch = refused(spark, 10 * k + 1, 10 * k + 2) if kind == "r" else rows(spark, f"text {k}", "same", start=10 * k + 1)
+        for _ in range(1 + (k == 0)):  # a replay changes nothing
+            streaming.ingest_batch(lib, batch, k, target, writer="w")
+    copy = library.Library(spark, scratch_path(spark, "copy"), 2)
+    assert copy.restore(target) and not copy.restore(target)
+    for table in ("documents", "rejects", "chunks"):
+        assert ids(copy.read(table)) == ids(lib.read(table))
+    listed = lambda x: sorted(map(str, x.read("rejects").select("document_id", "filename", "reason", "canonical_id").collect()))
+    assert listed(copy) == listed(lib) and len(listed(lib)) >= 2 * order.count("r")
+    streaming.ingest_batch(copy, rows(spark, "text 1", "later", start=90), 0, target, writer="x")  # a restored library goes on
+    assert 91 in ids(copy.read("documents"))
+
+
+def test_interrupted_batch_with_rejects_is_copied_again_when_it_completes(spark):
+    lib, target = library.Library(spark, scratch_path(spark, "lib"), 2), scratch_path(spark, "snap")
+    streaming.ingest_batch(lib, refused(spark, 5), 0, writer="w")
+    lib.write_batch(0, {"chunks": spark.createDataFrame([(1 << 20, 1, 0, "orphan", "", "")], "chunk_id long, document_id long, seq int, text string, embed_text string, location string")}, "w")
+    lib.snapshot(target)
+    early = library.Library(spark, scratch_path(spark, "early"), 2)
+    assert early.restore(target) and ids(early.read("rejects")) == [5] and early.read("chunks").count() == 0
+    streaming.ingest_batch(lib, rows(spark, "whole").unionByName(refused(spark, 5), allowMissingColumns=True), 0, target, writer="w")
+    late = library.Library(spark, scratch_path(spark, "late"), 2)
+    assert late.restore(target) and ids(late.read("documents")) == [1] and ids(late.read("chunks")) == [1] and ids(late.read("rejects")) == [5]
+
+
+def test_nothing_stored(spark):
+    lib = library.Library(spark, scratch_path(spark, "lib"), 2)
+    assert not lib.exists() and lib.next_id() == 1 and lib.snapshot(scratch_path(spark, "snap")) == 0
+    for table, columns in library.schemas.LIBRARY.items():
+        assert lib.read(table).count() == 0 and lib.read(table).schema.names == spark.createDataFrame([], columns).schema.names
+
+
+def test_other_faults_are_not_taken_for_nothing_stored(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.parquet").write_text("no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        frame = library.stored(spark, str(tmp_path / "a"))
+        assert frame is not None
+        frame.count()
