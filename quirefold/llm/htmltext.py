@@ -7,7 +7,11 @@ The article is the element that holds most of the content lines, the article ele
 first and the last of them below the element that holds them all: its blocks are the text, short ones too, without elements that say by
 their tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Inside the
 article a class or id says so only if it ends in the telling word, never of headings and paragraphs, and, but for the plainest
-words, only of elements whose own ratio is not that of content: a section may be called related-work.
+words, only of elements whose own ratio is not that of content: a section may be called related-work. A name says nothing if
+all content of the page lies in the element that has it.
+
+Elements are numbered as they open, and each knows the last number given while it was open, so that "lies in" is a comparison
+of numbers: time and memory grow with the page's length, however deep its elements lie and whether or not they are closed.
 """
 
 from __future__ import annotations
@@ -41,43 +45,99 @@ HOLDERS = frozenset("html body main article section div center table tbody tr td
 #: Words in class or id that mark what surrounds an article.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments consent "
-    "cookie cookies copyright disqus disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation "
+    "cookie cookies cc copyright discussion discussions disqus disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation "
     "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
-    "replies reply respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription "
+    "replies reply respond response responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription "
     "teaser toc toolbar topbar widget widgets".split()
 )
 #: Words that a telling word may be followed by: comment-list, share-bar, nav-container.
 LAYOUT = frozenset(
     "area articles bar block bottom box button buttons column container content group holder icons inner item items left link links list "
-    "main outer panel posts right row section stories tags text title top wrap wrapper".split()
+    "main outer panel posts right row section stories tags text title top window wrap wrapper".split()
 )
 #: Names by themselves that mark what is no part of an article, however much prose it holds.
-PLAIN = frozenset("ad ads advert adverts advertisement comment comments disqus replies reply respond sponsored".split())
+PLAIN = frozenset("ad ads advert adverts advertisement comment comments disqus replies reply respond responses sponsored".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 IN_ARTICLE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 #: A class with one of these words is a part of the article when it says header, and a state when it begins with one of those.
 OF_ARTICLE = frozenset("article content entry post story text".split())
 STATES = frozenset("has is js no with without".split())
-SHORT = 100
+#: An element that a start tag ends although its end tag is missing, and the elements beyond which it is not looked for.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "dl", "menu")), "dt": (("dt", "dd"), ("ul", "ol", "dl", "menu")), "dd": (("dt", "dd"), ("ul", "ol", "dl", "menu")),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "thead": (("thead", "tbody", "tfoot"), ("table",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
+}
 TOKEN = re.compile(r"[A-Za-z]+")
 MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)\s*\[", re.IGNORECASE)
 OPEN_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "aside", "heading", "told")
+    """``place`` is the number of the innermost element that may hold an article, ``told`` that of the innermost telling one; -1 for none."""
+
+    __slots__ = ("text", "tags", "place", "aside", "heading", "told")
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], aside: bool, heading: bool, told: tuple[int, ...]):
-        self.text, self.tags, self.path, self.aside, self.heading, self.told = text, tags, path, aside, heading, told
+    def __init__(self, text: str, tags: int, place: int, aside: bool, heading: bool, told: int):
+        self.text, self.tags, self.place, self.aside, self.heading, self.told = text, tags, place, aside, heading, told
 
 
 class Told:
     """An element whose class or id holds a telling word: whether a name ends in it, or is a plain one, and where it stands."""
 
-    __slots__ = ("prose", "ends", "plain", "inside", "path")
+    __slots__ = ("prose", "ends", "plain", "inside", "place")
+
+    def __init__(self, prose: bool, ends: bool, plain: bool, inside: bool, place: int):
+        self.prose, self.ends, self.plain, self.inside, self.place = prose, ends, plain, inside, place
+
+
+class Tree:
+    """Numbered elements: the one above each, and the last number given while it was open."""
+
+    def __init__(self):
+        self.above: list[int] = []
+        self.last: list[int] = []
+
+    def open(self, above: int) -> int:
+        self.above.append(above)
+        self.last.append(-1)
+        return len(self.above) - 1
 
-    def __init__(self, prose: bool, ends: bool, plain: bool, inside: bool, path: tuple[int, ...]):
-        self.prose, self.ends, self.plain, self.inside, self.path = prose, ends, plain, inside, path
+    def close(self, number: int) -> None:
+        self.last[number] = len(self.above) - 1
+
+    def holds(self, number: int, place: int) -> bool:
+        """Whether a place lies in an element or is it; -1 is the page."""
+        return number < 0 or number <= place <= self.last[number]
+
+    def sums(self, places: list[int], values: list[int]) -> np.ndarray:
+        """For each element the sum of the values whose places lie in it."""
+        size = len(self.above)
+        own = np.bincount(np.array(places, np.int64) + 1, np.array(values, np.float64), size + 1)[1:]
+        total = np.concatenate(([0.0], np.cumsum(own)))
+        return total[np.array(self.last, np.int64) + 1] - total[:size]
+
+    def inherited(self, own: list[bool]) -> list[bool]:
+        """Whether an element or one around it is marked."""
+        found = list(own)
+        for number, above in enumerate(self.above):
+            if above >= 0 and found[above]:
+                found[number] = True
+        return found
+
+    def common(self, low: int, high: int) -> int:
+        """The innermost element that holds both places, ``low`` not after ``high``."""
+        while high >= 0 and not high <= low:
+            high = self.above[high]
+        while high >= 0 and not self.holds(high, low):
+            high = self.above[high]
+        return high
+
+    def below(self, number: int, place: int) -> int:
+        """The element directly in ``number`` that holds a place, or ``number`` if the place is there."""
+        while place != number and self.above[place] != number:
+            place = self.above[place]
+        return place
 
 
 def ending(said: list[str], hints: frozenset[str]) -> tuple[bool, bool]:
@@ -89,34 +149,44 @@ def ending(said: list[str], hints: frozenset[str]) -> tuple[bool, bool]:
 
 
 class LineReader(HTMLParser):
-    """Folds parser events into lines. Elements are numbered; a line keeps the numbers of the elements that may hold an article."""
+    """Folds parser events into lines. Elements that may hold an article are numbered, and so are those with telling names."""
 
-    def __init__(self, hints: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hints = hints
         self.lines: list[Line] = []
+        self.tree, self.told_tree = Tree(), Tree()
         self.kinds: list[str] = []
         self.told: list[Told] = []
-        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, number, silent, aside, told
+        self.open: list[tuple[str, int, bool, bool, int, int]] = []  # tag, own number, silent, aside, innermost told and place
+        self.at: dict[str, list[int]] = {}  # where the open elements of a tag stand in ``open``
         self.parts: list[str] = []
         self.tags = 0
 
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def _cut(self, size: int) -> None:
+        """Close all open elements from place ``size`` on."""
+        while len(self.open) > size:
+            tag, number, _, _, told, _ = self.open.pop()
+            self.at[tag].pop()
+            if number >= 0:
+                self.tree.close(number)
+            if told >= 0 and (self.open[-1][4] if self.open else -1) != told:
+                self.told_tree.close(told)
+
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            heading = any(tag == "h1" for tag, *_ in self.open)
-            aside, told = self.open[-1][3:] if self.open else (False, ())
-            self.lines.append(Line(text, self.tags, self._path(), aside, heading, told))
+            aside, told, place = self.open[-1][3:] if self.open else (False, -1, -1)
+            self.lines.append(Line(text, self.tags, place, aside, bool(self.at.get("h1")), told))
             self.tags = 0
 
-    def _path(self) -> tuple[int, ...]:
-        return tuple(n for _, n, *_ in self.open if n >= 0)
-
     def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | Told:
         if tag in ("html", "body", "main"):
             return False
-        inside = any(t in ("article", "main") for t, *_ in self.open)
+        inside = bool(self.at.get("article") or self.at.get("main"))
         if tag in FRAME and not (tag == "header" and inside):
             return True
         hints = IN_ARTICLE if tag == "article" or (inside and tag == "header") else HINTS
@@ -125,7 +195,7 @@ class LineReader(HTMLParser):
             value = value or ""
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
                 return True
-            if name in ("class", "id") and self.hints:
+            if name in ("class", "id"):
                 for token in value.split():
                     said = [x.lower() for x in TOKEN.findall(token)]
                     if said and said[0] not in STATES:
@@ -138,39 +208,34 @@ class LineReader(HTMLParser):
             return False
         if inside and (plain or tag == "article"):
             return True
-        return Told(tag in PROSE, ends, plain, inside, self._path())
+        return Told(tag in PROSE, ends, plain, inside, self.open[-1][5] if self.open else -1)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.tags += 1
         if tag not in INLINE and tag not in SILENT:
             self._end_line()
             if self.open and self.open[-1][0] == "p":  # a block ends an open paragraph
-                self.open.pop()
-            elif tag == "li" or tag in ("dt", "dd"):
-                self._close_sibling(tag)
+                self._cut(len(self.open) - 1)
         elif tag in ("br", "td", "th", "img", "math", "mtd", "mtr"):
             self.parts.append(" ")
+        if tag in IMPLIED:
+            ended, within = IMPLIED[tag]
+            place = self._last(ended)
+            if place > self._last(within):
+                self._cut(place)
         if tag in VOID or (tag in INLINE and tag not in ("td", "th")):
             return
-        above = self.open[-1] if self.open else ("", -1, False, False, ())
-        aside = above[3] or self._is_aside(tag, attrs)
-        told = above[4]
+        above = self.open[-1] if self.open else ("", -1, False, False, -1, -1)
+        aside, told, place = above[3] or self._is_aside(tag, attrs), above[4], above[5]
         if isinstance(aside, Told):
             self.told.append(aside)
-            aside, told = False, (*told, len(self.told) - 1)
+            aside, told = False, self.told_tree.open(told)
         number = -1
         if tag in HOLDERS:
-            number = len(self.kinds)
+            number = place = self.tree.open(place)
             self.kinds.append(tag)
-        self.open.append((tag, number, above[2] or tag in SILENT, aside, told))
-
-    def _close_sibling(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in ("ul", "ol", "dl", "menu"):
-                return
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, number, above[2] or tag in SILENT, aside, told, place))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -180,10 +245,8 @@ class LineReader(HTMLParser):
             return
         if tag not in INLINE and tag not in SILENT:
             self._end_line()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.at.get(tag):
+            self._cut(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
@@ -199,6 +262,7 @@ class LineReader(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
+        self._cut(0)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -223,66 +287,83 @@ def threshold(values: np.ndarray) -> float:
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the article, joined by an empty line; empty if the page has none.
-
-    A page that has hardly any text beside elements with telling classes is read again without regard to classes and ids:
-    a wrapper of the whole page may carry one.
-    """
+    """Blocks of the article, joined by an empty line; empty if the page has none."""
     if not html:
         return ""
     html = OPEN_TAG.sub("", html) if html.rfind("<") > html.rfind(">") else html  # a page may end within a tag
-    text, total = _article(html, True)
-    if len(text) < SHORT and total > 3 * SHORT:
-        other, _ = _article(html, False)
-        if len(other) > 3 * SHORT:
-            return other
-    return text
-
-
-def _article(html: str, hints: bool) -> tuple[str, int]:
-    """The article's text, and how many characters the whole page shows."""
-    reader = LineReader(hints)
+    reader = LineReader()
     for at in range(0, len(html), CHUNK):
         reader.feed(html[at:at + CHUNK])
     reader.close()
+    return _article(reader)
+
+
+def _wrappers(reader: LineReader) -> set[int]:
+    """Telling elements that say nothing, as they hold all content of the page and no article or main element stands beside them."""
+    lines, tree = reader.lines, reader.told_tree
+    aside = [x.aside for x in lines]
+    if not reader.told or all(aside):
+        return set()
+    _, content = _content(lines, aside)
+    number = tree.common(min(x.told for x in content), max(x.told for x in content))
+    around = set()
+    while number >= 0:
+        around.add(number)
+        number = tree.above[number]
+    if any(reader.told[k].plain for k in around):
+        return set()
+    outer = min(around, default=-1)
+    story = reader.tree.inherited([kind in ("article", "main") for kind in reader.kinds])
+    beside = any(not x.aside and x.place >= 0 and story[x.place] and not tree.holds(outer, x.told) for x in lines)
+    return set() if beside else around
+
+
+def _article(reader: LineReader) -> str:
     lines = reader.lines
-    shown = sum(len(x.text) for x in lines)
-    apart = [x.aside or bool(x.told) for x in lines]
+    wrappers = _wrappers(reader)
+
+    def apart_but(free: set[int]) -> list[bool]:
+        """Lines that are aside, or in a telling element that is not ``free``."""
+        if not reader.told:
+            return [x.aside for x in lines]
+        marked = reader.told_tree.inherited([k not in free for k in range(len(reader.told))])
+        return [x.aside or (x.told >= 0 and marked[x.told]) for x in lines]
+
+    apart = apart_but(wrappers)
     if all(apart):
-        return "", shown
+        return ""
     cut, content = _content(lines, apart)
+    free = set(wrappers)
     if reader.told:
-        texts, tags = np.zeros(len(reader.told)), np.zeros(len(reader.told))
-        for line in lines:
-            for k in () if line.aside else line.told:
-                texts[k] += len(line.text)
-                tags[k] += line.tags
+        own = [x for x in lines if not x.aside]
+        texts = reader.told_tree.sums([x.told for x in own], [len(x.text) for x in own])
+        tags = reader.told_tree.sums([x.told for x in own], [x.tags for x in own])
         level = cut or np.median([len(x.text) / max(1, x.tags) for x, out in zip(lines, apart) if not out]) / 2
         rich = texts / np.maximum(1, tags) >= level
-        free = {k for k, x in enumerate(reader.told) if x.inside and rich[k]}
-        if free:
-            apart = [x.aside or not free.issuperset(x.told) for x in lines]
+        free |= {k for k, x in enumerate(reader.told) if x.inside and rich[k]}
+        if len(free) > len(wrappers):
+            apart = apart_but(free)
             _, content = _content(lines, apart)
-    holder, around, kept = _region(reader, lines, content, cut)
+    holder, around, kept = _region(reader, content, cut)
     if reader.told:
         before = len(free)
         for k, x in enumerate(reader.told):
             if x.inside or x.plain:
                 continue
-            if holder in x.path and reader.kinds[holder] not in ("html", "body"):
+            if holder >= 0 and reader.tree.holds(holder, x.place) and reader.kinds[holder] not in ("html", "body"):
                 if x.prose or rich[k] or not x.ends:
                     free.add(k)
-            elif not x.ends and (x.prose or rich[k]) and (around < 0 or around in x.path):
+            elif not x.ends and (x.prose or rich[k]) and reader.tree.holds(around, x.place):
                 free.add(k)
-        apart = [x.aside or not free.issuperset(x.told) for x in lines]
+        apart = apart_but(free)
         if len(free) > before:
             cut, content = _content(lines, apart)
-            _, _, kept = _region(reader, lines, content, cut)
+            _, _, kept = _region(reader, content, cut)
     kept = [k for k in kept if not apart[k]]
     if kept and not any(lines[k].heading for k in kept):
         before = [k for k in range(kept[0]) if lines[k].heading and not apart[k]]
         kept = before[-1:] + kept
-    return "\n\n".join(lines[k].text for k in kept), shown
+    return "\n\n".join(lines[k].text for k in kept)
 
 
 def _content(lines: list[Line], apart: list[bool]) -> tuple[float, list[Line]]:
@@ -292,42 +373,49 @@ def _content(lines: list[Line], apart: list[bool]) -> tuple[float, list[Line]]:
     return cut, [x for x, out, value in zip(lines, apart, smooth) if not out and value >= cut]
 
 
-def _region(reader: LineReader, lines: list[Line], content: list[Line], cut: float) -> tuple[int, int, list[int]]:
+def _region(reader: LineReader, content: list[Line], cut: float) -> tuple[int, int, list[int]]:
     """The elements that hold most of the content and all of it (-1: the page), and the places of the article's lines."""
-    held = np.zeros(len(reader.kinds))
-    total = 0
-    for line in content:
-        total += len(line.text)
-        for number in line.path:
-            held[number] += len(line.text)
-    named = [n for n, kind in enumerate(reader.kinds) if kind in ("article", "main") and held[n] >= SHARE * total]
+    lines, tree, kinds = reader.lines, reader.tree, reader.kinds
+    held = tree.sums([x.place for x in content], [len(x.text) for x in content])
+    most = SHARE * sum(len(x.text) for x in content)
+    named = [n for n, kind in enumerate(kinds) if kind in ("article", "main") and held[n] >= most]
     if named:
-        holder = max(named, key=lambda n: (reader.kinds[n] == "article", n))
+        holder = max(named, key=lambda n: (kinds[n] == "article", n))
     else:  # the innermost element that still holds most of the content
-        holder = max((n for n in range(len(held)) if held[n] >= SHARE * total), default=-1)
+        holder = max((n for n in range(len(held)) if held[n] >= most), default=-1)
     # lines of content by themselves too, not by their neighbours alone
     ends = [x for x in content if len(x.text) >= cut * max(1, x.tags)] or content
-    mains = {n for n in named if reader.kinds[n] == "main"}
-    articles = {n for n, kind in enumerate(reader.kinds) if kind == "article"}
-    scope = mains or articles
-    inside = [x for x in ends if scope.intersection(x.path)]
+    mains = {n for n in named if kinds[n] == "main"}
+    articles = [kind == "article" for kind in kinds]
+    scope = tree.inherited([n in mains for n in range(len(kinds))] if mains else articles)
+    inside = [x for x in ends if x.place >= 0 and scope[x.place]]
     if mains or sum(len(x.text) for x in inside) >= SHARE * sum(len(x.text) for x in ends):
         ends = inside or ends
-    stories = {max(found) for x in ends if (found := articles.intersection(x.path))} | {holder}
-    low, high = min(x.path for x in ends), max(x.path for x in ends)
-    depth = next((k for k, (m, n) in enumerate(zip(low, high)) if m != n), min(len(low), len(high)))
-    shared = low[:depth]
-    first, last = ends[0].path[:depth + 1], ends[-1].path[:depth + 1]
-    places = [k for k, x in enumerate(lines) if x.path[:depth] == shared]
-    begin = next(k for k in places if lines[k] is ends[0] or (len(first) > depth and lines[k].path[:depth + 1] == first))
-    end = next(k for k in reversed(places) if lines[k] is ends[-1] or (len(last) > depth and lines[k].path[:depth + 1] == last))
+    stories = [n == holder for n in range(len(kinds))]
+    innermost = [n if kind == "article" else -1 for n, kind in enumerate(kinds)]
+    for n, above in enumerate(tree.above):
+        if innermost[n] < 0 <= above:
+            innermost[n] = innermost[above]
+    for x in ends:
+        if x.place >= 0 and innermost[x.place] >= 0:
+            stories[innermost[x.place]] = True
+    story = tree.inherited(stories)
+    shared = tree.common(min(x.place for x in ends), max(x.place for x in ends))
+    first, last = (tree.below(shared, x.place) for x in (ends[0], ends[-1]))
+    places = [k for k, x in enumerate(lines) if tree.holds(shared, x.place)]
+    begin = next(k for k in places if lines[k] is ends[0] or (first != shared and tree.holds(first, lines[k].place)))
+    end = next(k for k in reversed(places) if lines[k] is ends[-1] or (last != shared and tree.holds(last, lines[k].place)))
     between = {k for k in places if begin <= k <= end}
-    kept = [k for k, x in enumerate(lines) if holder < 0 or k in between or stories.intersection(x.path)]
-    return holder, shared[-1] if shared else -1, kept
+    kept = [k for k, x in enumerate(lines) if holder < 0 or k in between or (x.place >= 0 and story[x.place])]
+    return holder, shared, kept
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars)`` of every row; null and empty pages, and pages without an article, have an empty text."""
+    """``(page_id, url, text, n_chars)`` of every row; null and empty pages, and pages without an article, have an empty text.
+
+    Repeated rows and null ids are read like any other, an empty table gives no rows, further columns are not read, whatever their
+    names, and a very long page takes time and memory in proportion to its length.
+    """
     rows = spread(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,8 @@
+import math
+import random
+import re
+import time
+
 import pytest
 
 from quirefold.llm.htmltext import extract, main_text, smoothed, threshold
@@ -87,8 +92,6 @@ TABLE = "".join(f"<tr><td>{x}</td></tr>" for x in [*LONG, *MORE, *LONG, *MORE])
 ])
 @pytest.mark.parametrize("page", ["<body>{}</body>", '<body><div>MENU</div><div class="page">{}</div><div>MENU</div></body>', "<body><nav>MENU</nav>{}<footer>Imprint</footer></body>"])
 def test_stories_of_several_elements(body, page):
-    import re
-
     want = [" ".join(x.split()) for x in re.split(r"<[^>]*>", body)]
     assert main_text(page.replace("MENU", MENU).format(body)) == "\n\n".join(x for x in want if x)
 
@@ -134,10 +137,123 @@ def test_every_row_has_a_result(spark):
 def test_articles_of_the_generated_pages(spark):
     """On pages with an article element the text is that element's, by a plain regular expression."""
     import html
-    import re
 
     for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         page = row["html"]
         body = re.sub(r"<[^>]*$", "", page[page.index("<article>") + 9:].split("</article>")[0])
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert main_text(page) == "\n\n".join(x for x in blocks if x)
+
+
+@pytest.mark.parametrize("page, size", [
+    ("<div>some text " * 70_000, 70_000 * 9), ("<table>" + "<tr><td>some cell " * 60_000, 60_000 * 9), ("<div class=related>x" * 20_000, 19_999),
+    ("<div>" * 20_000 + "x</foo>" * 20_000, 20_000), ("<li><ul>" + "<div>" * 20_000 + "<li>x</li>" * 20_000, 19_999), ("<p>" * 200_000 + "end", 3),
+])
+def test_unclosed_and_deep_pages_are_read_in_seconds(page, size):
+    began = time.process_time()
+    assert len(main_text(page)) >= size
+    assert time.process_time() - began < 15
+
+
+def test_missing_end_tags_of_tables_change_nothing():
+    rows = "".join(f"<tr><td>{x}</td><td><b>{k}</b></td></tr>" for k, x in enumerate(LONG * 3))
+    whole = f"<body><div>{MENU}</div><table><thead><tr><th>What</th><th>No.</th></tr></thead><tbody>{rows}</tbody></table></body>"
+    bare = whole
+    for tag in ("tr", "td", "th", "thead", "tbody"):
+        bare = bare.replace(f"</{tag}>", "")
+    assert main_text(bare) == main_text(whole) and f"{LONG[0]} 0" in main_text(whole)
+
+
+@pytest.mark.parametrize("size", [20, 99, 101, 400])
+def test_wrappers_with_telling_names_at_any_length(size):
+    """Whether a wrapper's name counts follows from where the content lies, not from how long it is."""
+    text = ("It was told again and again that the harbour had been closed. " * 9)[:size].strip()
+    page = f'<body><nav>{MENU}</nav><div class="widgets"><div><p>{text}</p></div></div></body>'
+    assert main_text(page) == text
+    beside = f'<body><nav>{MENU}</nav><article><p>{text}</p></article><div class="widgets"><p>{LONG[0]}</p><p>{LONG[1]}</p></div></body>'
+    assert main_text(beside) == text
+
+
+@pytest.mark.parametrize("part", [f'<div class="cc-window"><p>{LONG[1]}</p></div>', f'<section class="responses"><p>{LONG[0]} I agree!</p></section>',
+                                  f'<div id="discussion"><p>{LONG[0]} So do I!</p></div>'])
+def test_notices_and_comments_by_more_names(part):
+    assert main_text(f"<body><div>{MENU}</div><article><h1>Headline</h1>{story()}</article>{part}</body>") == WANT
+
+
+def random_page(rng):
+    """A well-formed page of nested blocks without telling names."""
+    words = "harbour boat rain night told again closed work ashore paper number word".split()
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "div", "section", "article", "li"] if depth < 4 else ["p"])
+        if kind in ("p", "li"):
+            n = rng.choice([1, 2, 8, 30, 60])
+            inner = " ".join(rng.choice(words) if rng.random() > 0.1 else f"<b>{rng.choice(words)}</b>" for _ in range(n))
+            return f"<ul><li>{inner}</li></ul>" if kind == "li" else f"<p>{inner}</p>"
+        return f"<{kind}>" + "".join(block(depth + 1) for _ in range(rng.randrange(1, 5))) + f"</{kind}>"
+
+    return "<html><body>" + "".join(block(0) for _ in range(rng.randrange(1, 6))) + "</body></html>"
+
+
+def plain_main_text(page):
+    """The method by explicit paths and loops: lines, ratios, Gaussian, two clusters, region."""
+    lines, path, kinds, text, tags = [], (), {}, "", 0
+    for piece in re.findall(r"<[^>]+>|[^<]+", page):
+        if not piece.startswith("<"):
+            text += piece
+            continue
+        tags += 1
+        name = piece.strip("</>")
+        if name == "b":
+            continue
+        if text.strip():
+            lines.append((" ".join(text.split()), tags, path))
+            tags = 0
+        text = ""
+        if name in ("html", "body", "div", "section", "article"):
+            if piece.startswith("</"):
+                path = path[:-1]
+            else:
+                path = (*path, len(kinds))
+                kinds[len(kinds)] = name
+    ratios = [len(t) / n for t, n, _ in lines]
+    weight = lambda d: math.exp(-0.5 * (d / 1.5) ** 2)
+    near = lambda i: [j for j in range(len(lines)) if abs(i - j) <= 4]
+    smooth = [sum(ratios[j] * weight(i - j) for j in near(i)) / sum(weight(i - j) for j in near(i)) for i in range(len(lines))]
+    logs = [math.log1p(x) for x in smooth]
+    low, high, cut = min(logs), max(logs), 0.0
+    if high - low >= 0.7:
+        for _ in range(20):
+            upper = [x for x in logs if x >= (low + high) / 2]
+            lower = [x for x in logs if x < (low + high) / 2]
+            low, high = sum(lower) / len(lower), sum(upper) / len(upper)
+        cut = math.expm1((low + high) / 2)
+    content = [k for k in range(len(lines)) if smooth[k] >= cut]
+    held = lambda n, ks: sum(len(lines[k][0]) for k in ks if n in lines[k][2])
+    most = 0.6 * sum(len(lines[k][0]) for k in content)
+    named = [n for n, kind in kinds.items() if kind == "article" and held(n, content) >= most]
+    holder = max(named or [n for n in kinds if held(n, content) >= most])
+    ends = [k for k in content if ratios[k] >= cut] or content
+    articles = {n for n, kind in kinds.items() if kind == "article"}
+    inside = [k for k in ends if articles & set(lines[k][2])]
+    if sum(len(lines[k][0]) for k in inside) >= 0.6 * sum(len(lines[k][0]) for k in ends):
+        ends = inside or ends
+    stories = {max(articles & set(lines[k][2])) for k in ends if articles & set(lines[k][2])} | {holder}
+    depth = 0
+    while all(len(lines[k][2]) > depth and lines[k][2][depth] == lines[ends[0]][2][depth] for k in ends):
+        depth += 1
+    part = lambda k: lines[k][2][:depth + 1]
+    within = [k for k in range(len(lines)) if lines[k][2][:depth] == lines[ends[0]][2][:depth]]
+    begin = min(k for k in within if k == ends[0] or (len(part(k)) > depth and part(k) == part(ends[0])))
+    end = max(k for k in within if k == ends[-1] or (len(part(k)) > depth and part(k) == part(ends[-1])))
+    return "\n\n".join(t for k, (t, _, p) in enumerate(lines) if (k in within and begin <= k <= end) or stories & set(p))
+
+
+def test_random_pages_against_plain_paths():
+    sizes = set()
+    for seed in range(400):
+        page = random_page(random.Random(seed))
+        want = plain_main_text(page)
+        assert main_text(page) == want, page
+        sizes.add(len(want) * 10 // len(re.sub(r"<[^>]*>", "", page)))
+    assert len(sizes) > 4
