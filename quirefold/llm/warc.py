@@ -1,9 +1,10 @@
 """WARC records in ZIP packages: a writer, and a reader that finds records by the packages' directories and indexes.
 
-A package holds two stored members: ``archive/data.warc.gz``, one gzip member per record, and ``indexes/index.cdxj``, a line with the
-place of every record. The reader parses the end record, the ZIP64 records and the central directory, finds the members'
-bytes, reads the index in ranges and then reads records as ranges of the package; nothing is extracted. Packages are read and
-written through pyarrow's file systems, so any shared store that these know will do.
+A package holds two stored members: ``archive/data.warc.gz``, one gzip member per record, and ``indexes/index.cdxj``, a line of key,
+timestamp and JSON with the place of every record. The reader parses the end record, the ZIP64 records and the central directory,
+finds the members' bytes, reads the indexes in ranges and then reads records as ranges of the package; nothing is extracted.
+Packages of other makers are read as well, if their archives and CDXJ indexes are stored members; one that cannot be read gives
+a row with the reason. Packages are read and written through pyarrow's file systems, so any shared store that these know will do.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2000-01-01T00:00:00Z"
 PACKAGE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
+#: Hadoop's names of stores that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+MIME_REVISIT = "warc/revisit"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,21 +73,35 @@ def _gzip(raw: bytes) -> bytes:
     return maker.compress(raw) + maker.flush()
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file as Spark names it, and the path in it."""
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}".replace(" ", "%20"))
+
+
+def search_key(uri: str | None) -> str:
+    """The address as indexes sort it: host parts from the last to the first, then path and query, in lower case."""
+    host, _, rest = re.sub(r"[\x00-\x20\x7f]", "", uri or "").lower().partition("://")[2].partition("/")
+    return ",".join(reversed(host.split(":")[0].split("."))) + ")/" + rest if host else "-"
+
+
 class PackageWriter:
     """Collects records up to the size of one package."""
 
     def __init__(self):
         self.data, self.lines = io.BytesIO(), []
 
-    def add(self, record_id: str, kind: str, raw: bytes) -> None:
+    def add(self, uri: str | None, digest: str, revisit: bool, raw: bytes) -> None:
         packed = _gzip(raw)
-        self.lines.append(json.dumps({"id": record_id, "type": kind, "offset": self.data.tell(), "length": len(packed)}))
+        place = {"length": str(len(packed)), "offset": str(self.data.tell()), "filename": DATA.rpartition("/")[2]}
+        told = {"url": uri or "", "mime": MIME_REVISIT if revisit else "text/html", "status": "200", "digest": f"sha1:{digest}", **place}
+        self.lines.append(f"{search_key(uri)} {re.sub('[^0-9]', '', DATE)} {json.dumps(told)}")
         self.data.write(packed)
 
     def package(self, force_zip64: bool = False) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as package:
-            for name, content in ((DATA, self.data.getvalue()), (INDEX, ("\n".join(self.lines) + "\n").encode())):
+            for name, content in ((DATA, self.data.getvalue()), (INDEX, ("\n".join(sorted(self.lines)) + "\n").encode())):
                 info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
                 with package.open(info, "w", force_zip64=force_zip64) as member:
                     member.write(content)
@@ -120,9 +138,12 @@ class Package:
         at = tail_at + end
         if end >= 20 and tail[end - 20:end - 16] == b"PK\x06\x07":
             at = struct.unpack_from("<Q", tail, end - 12)[0]
-            record = self.read(at, 56)
-            if record[:4] != b"PK\x06\x06":
-                raise ValueError("broken ZIP64 end record")
+            record = self.read(at, 56) if at + 56 <= size else b""
+            if record[:4] != b"PK\x06\x06":  # bytes in front of the package: the record lies before its locator all the same
+                place = tail.rfind(b"PK\x06\x06", 0, end - 20)
+                if place < 0:
+                    raise ValueError("broken ZIP64 end record")
+                at, record = tail_at + place, tail[place:place + 56]
             count, length, start = struct.unpack_from("<QQQ", record, 32)
         self.shift = at - length - start  # bytes before the package proper
         directory, k = self.read(start + self.shift, length), 0
@@ -132,7 +153,7 @@ class Package:
             method, = struct.unpack_from("<H", directory, k + 10)
             packed, full, n_name, n_extra, n_comment = struct.unpack_from("<IIHHH", directory, k + 20)
             header, = struct.unpack_from("<I", directory, k + 42)
-            name = directory[k + 46:k + 46 + n_name].decode("utf-8")
+            name = directory[k + 46:k + 46 + n_name].decode("utf-8", "replace")
             extra = directory[k + 46 + n_name:k + 46 + n_name + n_extra]
             while len(extra) >= 4:
                 kind, n = struct.unpack_from("<HH", extra)
@@ -155,7 +176,7 @@ class Package:
 
 
 def _opened(uri: str):
-    store, path = pafs.FileSystem.from_uri(uri)
+    store, path = file_system(uri)
     file = store.open_input_file(path)
 
     def read(at: int, n: int) -> bytes:
@@ -194,7 +215,7 @@ def write_packages(
         return f"urn:page:{'' if page is None else page}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         writer = PackageWriter()
 
@@ -208,8 +229,8 @@ def write_packages(
             columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()]
             for page, url, payload, keeper in zip(*columns):
                 target = name(keeper) if keeper is not None and keeper != page else None
-                raw = record_of(name(page), url, payload, digest_of(payload), target)
-                writer.add(name(page), "response" if target is None else "revisit", raw)
+                digest = digest_of(payload)
+                writer.add(url, digest, target is not None, record_of(name(page), url, payload, digest, target))
                 if writer.data.tell() >= package_bytes:
                     yield close()
                     writer = PackageWriter()
@@ -219,37 +240,69 @@ def write_packages(
     return materialize(rows.mapInArrow(run, "package string, records long"), "packages")
 
 
+def index_lines(package: Package, read) -> Iterator[list[tuple[int, int, str | None, str]]]:
+    """(place in the package, length, address, type) of the records that the package's CDXJ indexes name, a range of lines at a time."""
+    indexes = [n for n in package.members if n.startswith("indexes/") and n.endswith(".cdxj")]
+    if not indexes:
+        raise ValueError("no CDXJ index")
+    archives: dict[str, tuple[int, int]] = {}
+    for name in indexes:
+        at, size = package.locate(name)
+        left = b""
+        for k in range(0, size, RANGE_BYTES):
+            *lines, left = (left + read(at + k, min(RANGE_BYTES, size - k))).split(b"\n")
+            yield [_place(package, archives, x) for x in lines if x.strip()]
+        if left.strip():
+            yield [_place(package, archives, left)]
+
+
+def _place(package: Package, archives: dict[str, tuple[int, int]], line: bytes) -> tuple[int, int, str | None, str]:
+    told = json.loads(line[line.index(b"{"):])
+    name = f"archive/{told['filename']}"
+    if name not in archives:
+        archives[name] = package.locate(name)
+    begin, size = archives[name]
+    at, length = int(told["offset"]), int(told["length"])
+    if at < 0 or length <= 0 or at + length > size:
+        raise ValueError("an index line names bytes outside its archive")
+    return begin + at, length, told.get("url") or None, "revisit" if told.get("mime") == MIME_REVISIT else "response"
+
+
 def read_index(packages: DataFrame) -> DataFrame:
-    """``(package, at, length, record_id, record_type)`` of every record; ``at`` is its place in the package."""
+    """``(package, at, length, uri, record_type, error)`` of every record; ``at`` is its place in the package.
+
+    A package that cannot be read (no ZIP, compressed or missing members, a broken index) has no records but one row with the reason
+    in ``error``, and the others are not affected. A folder without packages gives no rows.
+    """
+    names = ["package", "at", "length", "uri", "record_type", "error"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 file, read = _opened(uri)
                 with file:
-                    package = Package(read, file.size())
-                    data, _ = package.locate(DATA)
-                    at, size = package.locate(INDEX)
-                    left = b""
-                    for k in range(0, size, RANGE_BYTES):
-                        *lines, left = (left + read(at + k, min(RANGE_BYTES, size - k))).split(b"\n")
-                        found = [json.loads(x) for x in lines if x]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([uri] * len(found), pa.string()), pa.array([data + x["offset"] for x in found], pa.int64()),
-                            pa.array([x["length"] for x in found], pa.int64()), pa.array([x["id"] for x in found], pa.string()),
-                            pa.array([x["type"] for x in found], pa.string()),
-                        ], names=["package", "at", "length", "record_id", "record_type"])
+                    try:  # the whole index first: a package is read whole or not at all
+                        parts = [made([(uri, *x, None) for x in lines]) for lines in index_lines(Package(read, file.size()), read)]
+                    except (ValueError, KeyError, StopIteration, RuntimeError, struct.error) as fault:
+                        parts = [made([(uri, None, None, None, None, f"{type(fault).__name__}: {fault}"[:200])])]
+                yield from parts
 
     cores = packages.sparkSession.sparkContext.defaultParallelism
     dealt = packages.select("package").repartition(max(cores, 1))
-    return dealt.mapInArrow(run, "package string, at long, length long, record_id string, record_type string")
+    return dealt.mapInArrow(run, "package string, at long, length long, uri string, record_type string, error string")
 
 
 def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
     """``(record_id, record_type, refers_to, uri, payload_bytes, payload_digest, valid, payload)`` of the index's records.
 
     Neighbouring records are read in one range. A revisit has no payload: its digest is the one it states, its size null.
-    ``valid`` says whether a response's payload has the digest that it states.
+    ``valid`` says whether a response's payload has the digest that it states. Bytes that are no record give a row of the type
+    ``broken`` that is not valid; the rows of packages that could not be read give none.
     """
     columns = ["record_id", "record_type", "refers_to", "uri", "payload_bytes", "payload_digest", "valid", "payload"]
 
@@ -259,13 +312,17 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
             begin = rows[0][1]
             raw = read(begin, rows[-1][1] + rows[-1][2] - begin)
         for _, at, length in rows:
-            fields, block = parse_record(zlib.decompress(raw[at - begin:at - begin + length], 31))
+            try:
+                fields, block = parse_record(zlib.decompress(raw[at - begin:at - begin + length], 31))
+            except (ValueError, KeyError, zlib.error):
+                yield None, "broken", None, None, None, None, False, None
+                continue
             payload = block.partition(b"\r\n\r\n")[2]
             stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-            revisit = fields["warc-type"] == "revisit"
+            revisit = fields.get("warc-type") == "revisit"
             digest = stated if revisit else digest_of(payload)
             yield (
-                fields["warc-record-id"].strip("<>"), fields["warc-type"], fields.get("warc-refers-to", "").strip("<>") or None,
+                fields.get("warc-record-id", "").strip("<>"), fields.get("warc-type"), fields.get("warc-refers-to", "").strip("<>") or None,
                 fields.get("warc-target-uri"), None if revisit else len(payload), digest, digest == stated, payload if keep_payload and not revisit else None,
             )
 
@@ -287,7 +344,7 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
             yield made(held)
 
     cores = index.sparkSession.sparkContext.defaultParallelism
-    dealt = index.select("package", "at", "length").repartition(max(8, 2 * cores), "package", F.floor(F.col("at") / RANGE_BYTES))
+    dealt = index.filter("at is not null").select("package", "at", "length").repartition(max(8, 2 * cores), "package", F.floor(F.col("at") / RANGE_BYTES))
     return dealt.sortWithinPartitions("package", "at").mapInArrow(
         run, "record_id string, record_type string, refers_to string, uri string, payload_bytes long, payload_digest string, valid boolean, payload binary"
     )

@@ -125,3 +125,18 @@ def test_encoder_equals_the_tokenizers_library(tmp_path):
     other = Tokenizer.from_file(word)
     assert [x.tolist() for x in packing.encoder(packing.vocabulary(word))(texts[:5])] == [other.encode(t, add_special_tokens=False).ids for t in texts[:5]]
     assert packing.vocabulary(PATH).ranks and packing.vocabulary(word).ranks is None
+
+
+def test_long_words_are_encoded_in_time():
+    """Words of any length, just below and above the length from which the library takes them."""
+    import random
+    import time
+
+    known = packing.vocabulary(PATH)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij0123456789") for _ in range(n)) for n in (4999, 5000, 19_999, 20_001, 200_000)]
+    encode, plain = packing.encoder(known), Tokenizer.from_file(PATH)
+    began = time.process_time()
+    found = encode([*words, " ".join(words)])
+    assert time.process_time() - began < 5
+    assert [x.tolist() for x in found[:2]] == [plain.encode(w, add_special_tokens=False).ids for w in words[:2]]

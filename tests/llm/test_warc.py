@@ -95,10 +95,11 @@ def test_zip64_end_record_and_wide_entries():
     end = struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, 1, 1, len(entry), at)
     locator = struct.pack("<IIQI", 0x07064B50, 0, at + len(entry), 1)
     last = struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
-    raw = pad + local + entry + end + locator + last
-    package = warc.Package(lambda a, n: raw[a:a + n], len(raw))
-    a, n = package.locate("archive/data.warc.gz")
-    assert raw[a:a + n] == content
+    for prefix in (b"", b"#!/bin/sh\n" * 50):
+        raw = prefix + pad + local + entry + end + locator + last
+        package = warc.Package(lambda a, n: raw[a:a + n], len(raw))
+        a, n = package.locate("archive/data.warc.gz")
+        assert raw[a:a + n] == content
 
 
 def test_not_a_package():
@@ -110,3 +111,50 @@ def test_not_a_package():
     raw = out.getvalue()
     with pytest.raises(ValueError):
         warc.Package(lambda at, n: raw[at:at + n], len(raw)).locate("a")
+
+
+def test_broken_packages_among_good_ones(spark, tmp_path):
+    """Packages of other makers, one compressed, one without an index, one cut off, one with a broken index line and one with broken records."""
+    record = warc.record_of("urn:x:1", "http://a.example/x", b"hello", warc.digest_of(b"hello"))
+    packed = warc._gzip(record)
+    line = lambda at, n, name="part-1.warc.gz": f'com,example)/ 20240102030405 {{"url": "http://a.example/x", "mime": "text/html", "filename": "{name}", "offset": {at}, "length": "{n}"}}'
+
+    def package(members, method=zipfile.ZIP_STORED, cut=None):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            for name, content in members.items():
+                z.writestr(name, content)
+        return out.getvalue()[:cut]
+
+    good = {"datapackage.json": "{}", "archive/part-1.warc.gz": b"\0" * 7 + packed, "indexes/index.cdxj": line(7, len(packed))}  # no line end
+    files = {
+        "good": package(good), "prefixed": b"MZ" * 40 + package(good), "compressed": package(good, zipfile.ZIP_DEFLATED), "cut": package(good, cut=-30),
+        "no index": package({"archive/part-1.warc.gz": packed}), "no archive": package({"indexes/index.cdxj": line(0, 9)}),
+        "outside": package(good | {"indexes/index.cdxj": line(9, len(packed))}), "no json": package(good | {"indexes/index.cdxj": "com,example)/ 2024\n"}),
+        "no record": package(good | {"indexes/index.cdxj": line(0, 7)}), "empty": b"", "text": b"just text " * 20,
+    }
+    for name, raw in files.items():
+        (tmp_path / f"{name}.wacz").write_bytes(raw)
+    uris = spark.createDataFrame([(f"file://{tmp_path}/{name}.wacz",) for name in files], "package string")
+    index = warc.read_index(uris)
+    name = lambda r: r["package"].rpartition("/")[2][:-5]
+    found = {name(r): r["error"] for r in index.collect()}
+    assert len(found) == len(files) and {k for k, v in found.items() if v is None} == {"good", "prefixed", "no record"}
+    records = warc.read_records(index).collect()
+    assert sorted((r["record_type"], r["valid"], r["record_id"]) for r in records if r["record_id"]) == [("response", True, "urn:x:1")] * 2
+    assert [r["record_type"] for r in records if not r["valid"]] == ["broken"]
+    assert warc.read_index(uris.limit(0)).count() == 0
+
+
+def test_index_lines_and_stores():
+    assert warc.search_key("http://www.A.example:80/Path?q=B") == "example,a,www)/path?q=b" and warc.search_key(None) == "-"
+    writer = warc.PackageWriter()
+    for uri in ("http://b.example/", None, "http://a.example/"):
+        writer.add(uri, "ABC", uri is None, b"raw")
+    raw = writer.package()
+    package = warc.Package(lambda at, n: raw[at:at + n], len(raw))
+    at, n = package.locate(warc.INDEX)
+    lines = raw[at:at + n].decode().splitlines()
+    assert [x.split(" ")[0] for x in lines] == ["-", "example,a)/", "example,b)/"] and all(x.split(" ")[1] == "20000101000000" for x in lines)
+    assert [x[3] for part in warc.index_lines(package, lambda a, k: raw[a:a + k]) for x in part] == ["revisit", "response", "response"]
+    assert warc.SCHEMES["s3a"] == "s3"
