@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.operators import catalog, extract, tablequery
+from quirefold.operators import catalog, extract, substring, tablequery
 from quirefold.operators.chunk import chunk_prose
 from quirefold.plans import corpora
 from quirefold.plans import oracle_parts as op
@@ -164,6 +164,37 @@ def search_fields(spark, sf_dir):
     return catalog.search_fields(fields, docs, kind="pair", q="nation_1")
 
 
+NEEDLES = """
+nd AS (SELECT n_nationkey AS query_id, substr(n_name, 3, 6) AS q FROM nation UNION ALL SELECT 100 + p_partkey, substr(p_name, 2, 7) FROM part WHERE p_size = 7
+       UNION ALL SELECT 1000000 + min(c_custkey), upper(substr(c_mktsegment, 2, 3)) FROM customer GROUP BY c_mktsegment
+       UNION ALL SELECT 2000000 + r_regionkey, CAST(r_regionkey AS VARCHAR) || CAST(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT 3000000, '7.' UNION ALL SELECT 3000001, 'not there')"""
+
+
+@query("substring_search", op.with_(*op.LIBRARY, NEEDLES) + """,
+pl AS (SELECT 'key' AS place, field_id AS id, key AS text FROM inv_fields UNION ALL SELECT 'value', field_id, value FROM inv_fields
+       UNION ALL SELECT 'cell', CAST(table_id AS BIGINT) * 1000000000 + row_index * 100 + col_index, value FROM tab_cells)
+SELECT query_id, place, count(*) AS n, min(id) AS first_id, max(id) AS last_id, CAST(sum(id % 1000003) AS BIGINT) AS id_sum
+FROM nd JOIN pl ON contains(lower(text), lower(q)) GROUP BY query_id, place""")
+def substring_search(spark, sf_dir):
+    """Parts of names, segments and numbers, looked for in all keys, values and cells at once."""
+    fields = library(spark, sf_dir)[1]
+    cells = extract.cells_of(corpora.table_rows(spark, sf_dir), corpora.table_headers(spark))
+    cell_id = F.col("table_id") * 1000000000 + F.col("row_index") * 100 + F.col("col_index")
+    places = fields.select(F.lit("key").alias("place"), F.col("field_id").alias("id"), F.col("key").alias("text")).unionByName(
+        fields.select(F.lit("value").alias("place"), F.col("field_id").alias("id"), F.col("value").alias("text"))).unionByName(
+        cells.select(F.lit("cell").alias("place"), cell_id.alias("id"), F.col("value").alias("text")))
+    read = lambda name: corpora.read(spark, sf_dir, name)
+    region = F.col("r_regionkey").cast("string")
+    asked = read("nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.substring("n_name", 3, 6).alias("q")).unionByName(
+        read("part").filter("p_size = 7").select((F.col("p_partkey") + 100).cast("long").alias("query_id"), F.substring("p_name", 2, 7).alias("q"))).unionByName(
+        read("customer").groupBy("c_mktsegment").agg((F.min("c_custkey") + 1000000).cast("long").alias("query_id")).select(
+            "query_id", F.upper(F.substring("c_mktsegment", 2, 3)).alias("q"))).unionByName(
+        read("region").select((F.col("r_regionkey") + 2000000).cast("long").alias("query_id"), F.concat(region, region).alias("q"))).unionByName(
+        spark.createDataFrame([(3000000, "7."), (3000001, "not there")], "query_id long, q string"))
+    return substring.search(asked, substring.build(places)).groupBy("query_id", "place").agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.col("id") % 1000003).alias("id_sum"))
+
+
 # --- typed tables ---------------------------------------------------------------------------
 
 T = op.with_(op.TAB)

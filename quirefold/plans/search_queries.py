@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
-from quirefold.operators import admission, blockmax, chunk, extract, hybrid, keyword, ranking, segments, vectors
+from quirefold.operators import admission, blockmax, chunk, extract, hybrid, keyword, pivots, ranking, segments, vectors
 from quirefold.plans import corpora
 from quirefold.plans import oracle_parts as op
 from quirefold.plans.registry import query
@@ -191,6 +191,14 @@ def knn_batch(spark, sf_dir):
     return vectors.knn_batch(probes, vecs, 10).withColumn("score", F.round("score", 6))
 
 
+@query("pivot_knn", op.with_(VEC, KNN_SQL) + "SELECT query_id, CAST(rnk AS INT) AS rnk, chunk_id, round(score, 6) AS score FROM rk WHERE rnk <= 10")
+def pivot_knn(spark, sf_dir):
+    """The ten nearest vectors of every vector, without the blocks that their pivots rule out."""
+    vecs = _vectors(spark, sf_dir)
+    found = pivots.search(vecs.select(F.col("chunk_id").alias("query_id"), "embedding"), pivots.build(vecs), 10)
+    return found.hits.withColumn("score", F.round("score", 6))
+
+
 @query("knn_postfilter", op.with_(VEC, KNN_SQL) + """
 SELECT query_id, chunk_id, label, round(score, 6) AS score FROM rk JOIN embeddings e ON e.vec_id = chunk_id WHERE rnk <= 100 AND label = 1""")
 def knn_postfilter(spark, sf_dir):
