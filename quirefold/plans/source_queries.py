@@ -15,8 +15,9 @@ from quirefold.plans.library_queries import library as library_frames
 from quirefold.plans.registry import query
 from quirefold.plans.search_queries import CHUNKS, doc_chunks
 from quirefold.session import scratch_path, spread
-from quirefold.sources import delimited, files, html, jsondocs, plain
+from quirefold.sources import datasource, delimited, files, html, jsondocs, plain
 from quirefold.streaming import ingest as streaming
+from quirefold.streaming import status as tracking
 
 L = op.with_(*op.LIBRARY)
 
@@ -171,6 +172,23 @@ def scan_multiformat(spark, sf_dir):
                          F.when(F.size("blocks") > 0, F.md5(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n"))).alias("all_text"))
 
 
+NAMED_DOCUMENTS = "SELECT doc_id, text, 'd' || doc_id || ['.txt', '.md', '.exe', '.TXT'][doc_id % 4 + 1] AS filename FROM documents"
+
+
+@query("datasource_scan", f"""
+SELECT filename, 'd' || doc_id AS title, CASE doc_id % 4 WHEN 1 THEN 'md' ELSE 'txt' END AS file_type, octet_length(encode(text)) AS size, sha256(text) AS content_hash,
+  CASE WHEN {op.strip('text')} = '' THEN 0 ELSE 1 END AS n_blocks FROM ({NAMED_DOCUMENTS}) WHERE doc_id % 4 <> 2 AND octet_length(encode(text)) <= 100000""")
+def datasource_scan(spark, sf_dir):
+    """Documents written as files by the data source and read back: of two types, up to a size, parsed."""
+    ending = F.element_at(F.array(*map(F.lit, [".txt", ".md", ".exe", ".TXT"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = spread(corpora.read(spark, sf_dir, "documents")).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    folder = scratch_path(spark, "files")
+    datasource.write_folder(docs, folder)
+    found = datasource.read_folder(spark, folder, partitionBytes=4 << 20, types="txt,md", maxBytes=100000)
+    return files.parse(found).select("filename", "title", "file_type", "size", "content_hash", F.size("blocks").alias("n_blocks"))
+
+
 @query("text_rows_source", """
 SELECT conv_id * 1048576 + turn AS document_id, role || '.txt' AS filename, role AS title, 'txt' AS file_type, octet_length(encode(text)) AS size, sha256(text) AS content_hash FROM conversations""")
 def text_rows_source(spark, sf_dir):
@@ -476,3 +494,33 @@ def ingest_status(spark, sf_dir):
     chunked = lib["chunks"].filter("seq = 0").select("document_id", F.lit(1).alias("c"))
     return lib["documents"].join(chunked, "document_id", "left").select(
         "document_id", "status", F.substring_index("error", ":", 1).alias("reason"), F.coalesce("c", F.lit(0)).alias("has_chunks"))
+
+
+T0 = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+@query("status_tracking", f"""
+SELECT doc_id AS document_id, CASE WHEN doc_id % 4 IN (0, 3) THEN 'ready' ELSE 'failed' END AS status,
+  CASE doc_id % 4 WHEN 1 THEN 'no text in ' || source WHEN 2 THEN 'interrupted' END AS error,
+  CASE doc_id % 4 WHEN 0 THEN {T0} + INTERVAL 10 MINUTE WHEN 1 THEN {T0} + INTERVAL 10 MINUTE WHEN 2 THEN {T0} + INTERVAL 61 MINUTE ELSE {T0} + INTERVAL 182 MINUTE END AS at
+FROM documents UNION ALL SELECT -1, 'pending', NULL, {T0} + INTERVAL 300 MINUTE""")
+def status_tracking(spark, sf_dir):
+    """Events that arrive as four files: all documents begin; some end; some fail and are taken in again; every fourth is never heard of again."""
+    docs = corpora.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source")
+    kind, minute = F.col("document_id") % 4, lambda m: F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(mins=F.lit(m))
+    event = lambda rows, name, at, error=None: rows.select(
+        "document_id", F.lit(name).alias("event"), (F.lit(None) if error is None else error).cast("string").alias("error"), minute(at).alias("at"))
+    again = docs.filter(kind == 3)
+    last = spark.createDataFrame([(-1,)], "document_id long")  # moves the watermark on
+    steps = [
+        event(docs, "received", 0).unionByName(event(docs, "started", 1)),
+        event(docs.filter(kind == 0), "finished", 10).unionByName(event(docs.filter(kind.isin(1, 3)), "failed", 10, F.concat(F.lit("no text in "), "source"))),
+        event(again, "received", 180).unionByName(event(again, "started", 181)).unionByName(event(again, "finished", 182)),
+        event(last, "received", 300),
+    ]
+    source, found = scratch_path(spark, "events"), scratch_path(spark, "changes")
+    for step in steps:
+        step.coalesce(1).write.mode("append").parquet(source)
+    stream = streaming.file_stream(spark, source, steps[0].schema)
+    tracking.track(stream, found, scratch_path(spark, "checkpoint")).awaitTermination()
+    return tracking.current(spark.read.parquet(found))
