@@ -95,6 +95,8 @@ UNKNOWN_KIND_RANK = 9
 DIRECT_ANSWER_LIMIT = 12
 SUMMARY_MAX_CHARS = 11000
 SUMMARY_FIELDS_PER_DOC = 15
+SUMMARY_HEAD = "LIBRARY — {} documents (your complete library). Format: title [type] :: field=value; …"
+SUMMARY_TAIL = " more document(s) omitted to fit the size limit)"
 OVERVIEW_FIELDS = 10
 PREVIEW_CHARS = 12000
 PREVIEW_TAIL = "\n\n… (truncated — full text is indexed)"
@@ -116,6 +118,12 @@ MEASURE_WORDS = [
 NUMERIC_SHARE = 0.6
 MAX_FACTS = 3
 
+FACTS_HEAD = (
+    "TABLE FACTS (computed in code over the COMPLETE table — authoritative, use these "
+    "exact numbers verbatim; never recompute from the excerpts):\n"
+)
+ROWS_IN = 'number of rows in "'
+
 # --- FIXED VALUES: answers ----------------------------------------------------------------
 MONEY_PATTERN = r"(?:rs\.?|inr|₹|\$)\s*(\d[\d,]*(?:\.\d+)?)|(\d[\d,]*\.\d{2})(?!\d)"
 EXCERPT_CHARS = 1200
@@ -125,6 +133,9 @@ MAX_UPLOAD_MB = 25
 TOO_LARGE = "file exceeds {}MB limit"
 UNSUPPORTED = "unsupported file type: "
 DUPLICATE = "duplicate"
+EMPTY_FILE = "file is empty"
+NO_TEXT = "no extractable text"
+NO_JSON_DATA = "no data found in JSON"
 NO_HEADER = "no header row detected — columns auto-named Column 1..N"
 INVALID_JSON = "invalid JSON: "
 SUPPORTED_TYPES = ["txt", "md", "csv", "json", "html", "htm"]

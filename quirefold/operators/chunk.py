@@ -161,44 +161,64 @@ def _finish(pieces: DataFrame) -> DataFrame:
 def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents that produced no chunk, with the reason they fail."""
     return docs.join(chunks.filter(F.col("seq") == 0), "document_id", "left_anti").select(
-        "document_id", F.lit("failed").alias("status"), F.lit("no extractable text").alias("error")
+        "document_id", F.lit("failed").alias("status"), F.lit(fv.NO_TEXT).alias("error")
     )
 
 
+def furthest(fits, at: int, end: int, guess: int) -> int:
+    """The highest place from ``at`` + 1 to ``end`` up to which a piece ``fits``, at least ``at`` + 1, tried first at ``guess`` more.
+
+    Steps double from the guess until they straddle the answer and are then bisected: no try is much longer than twice the piece.
+    """
+    low, step = at + 1, max(2, guess)
+    high = min(end, at + step)
+    while high > low and fits(high):
+        low, step = high, 2 * step
+        high = min(end, at + step)
+    if high == low:
+        return low
+    high -= 1  # does not fit
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if fits(mid) else (low, mid - 1)
+    return low
+
+
+def counted_prose(words: list[str], budget: int, overlap: int, count) -> list[str]:
+    """Overlapping windows of words whose count is within the budget."""
+    found, at, length = [], 0, 64
+    while at < len(words):
+        end = furthest(lambda e: count(" ".join(words[at:e])) <= budget, at, len(words), length)
+        found.append(" ".join(words[at:end]))
+        if end == len(words):
+            break
+        length = end - at
+        at = max(end - overlap, at + 1)
+    return found
+
+
+def counted_rows(lines: list[str], header: str, max_tokens: int, count) -> list[str]:
+    """Runs of rows under the first one whose count, header included, fits."""
+    found, at, length = [], 1, 16
+    while at < len(lines):
+        end = furthest(lambda e: count(header + "\n".join([lines[0], *lines[at:e]])) <= max_tokens, at, len(lines), length)
+        found.append("\n".join([lines[0], *lines[at:end]]))
+        at, length = end, end - at
+    return found
+
+
 def counted_pieces(count, max_tokens: int = fv.MAX_TOKENS, overlap: int = fv.OVERLAP_WORDS):
     """UDF for a real tokenizer: the pieces of every block of a document under ``count``, any growing counter of a text.
 
-    Prose is cut into word windows whose count fits beside the header; each end is found by bisection. Of a table,
-    the first row is repeated above as many rows as fit.
+    Prose is cut into word windows whose count fits beside the header, rows are grouped under the first one. Each end is looked
+    for from the length of the piece before, so a text is counted a few times over, whatever its length.
     """
 
-    def prose(header: str, text: str) -> list[str]:
-        words, budget, found, at = text.split(), max_tokens - count(header), [], 0
-        while at < len(words):
-            low, high = at + 1, len(words)
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if count(" ".join(words[at:mid])) <= budget else (low, mid - 1)
-            found.append(" ".join(words[at:low]))
-            if low == len(words):
-                break
-            at = max(low - overlap, at + 1)
-        return found
-
-    def table(header: str, lines: list[str]) -> list[str]:
-        found, group = [], []
-        for row in lines[1:]:
-            if group and count(header + "\n".join([lines[0], *group, row])) > max_tokens:
-                found.append("\n".join([lines[0], *group]))
-                group = []
-            group.append(row)
-        return [*found, "\n".join([lines[0], *group])] if group else found
+    def of_block(header: str, text: str, lines) -> list[str]:
+        return counted_prose(text.split(), max_tokens - count(header), overlap, count) if lines is None else counted_rows(list(lines), header, max_tokens, count)
 
     @F.pandas_udf("array<array<string>>")
     def pieces(headers: pd.Series, texts: pd.Series, lines: pd.Series) -> pd.Series:
-        return pd.Series([
-            [prose(h, t) if ls is None else table(h, list(ls)) for h, t, ls in zip(hs, ts, lss)]
-            for hs, ts, lss in zip(headers, texts, lines)
-        ])
+        return pd.Series([[of_block(h, t, ls) for h, t, ls in zip(hs, ts, lss)] for hs, ts, lss in zip(headers, texts, lines)])
 
     return pieces

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.functions.ids import child_id
 from quirefold.operators import chunk, extract
@@ -48,7 +49,7 @@ def ingest(docs: DataFrame, uploaded_at: Column | None = None) -> dict[str, Data
     texts = F.exists("blocks", lambda b: F.when(
         b["kind"] == "table", F.size(tx.text_lines(b["text"])) > 1).otherwise(tx.strip(b["text"]) != ""))
     parsed = files.parse(docs)
-    parsed = parsed.withColumn("error", F.coalesce("error", F.when(~F.coalesce(texts, F.lit(False)), "no extractable text")))
+    parsed = parsed.withColumn("error", F.coalesce("error", F.when(~F.coalesce(texts, F.lit(False)), F.lit(fv.NO_TEXT))))
     parsed = materialize(parsed, "parsed")  # five outputs read it; every file is parsed once
     ready = F.col("error").isNull()
     out = library_tables(parsed.filter(ready))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as tx
+from quirefold.operators.ranking import place_in_group, top_k
 from quirefold.session import broadcast_if_small
 
 
@@ -81,16 +82,15 @@ def load_table(table_rows: DataFrame, table_id: int) -> DataFrame:
     return table_rows.filter(F.col("table_id") == table_id).orderBy("row_index")
 
 
-def any_cell_filter(table_rows: DataFrame, q: str, shown: int | None = None) -> DataFrame:
-    """Rows of every table with a cell containing the text (all rows for no text), numbered per table.
+def any_cell_filter(table_rows: DataFrame, q: str, shown: int | None = None, numbered: bool = False) -> DataFrame:
+    """Rows of every table with a cell containing the text (all rows for no text).
 
-    All of them by default; with ``shown`` the first so many of each table, and ``left_out`` with the number of the others.
+    All of them by default, where they lie; ``numbered`` adds ``shown_as``, their place in their table. With ``shown`` the
+    first so many of each table, found before the shuffle, and ``left_out`` with the number of the others.
     """
     low = q.strip().lower()
     out = table_rows.filter(F.exists("cells", lambda c: F.lower(c).contains(low))) if low else table_rows
-    w = Window.partitionBy("table_id").orderBy("row_index")
-    ranked = out.withColumn("shown_as", F.row_number().over(w))
     if shown is None:
-        return ranked
+        return place_in_group(out, "table_id", "row_index", "shown_as") if numbered else out
     left_out = out.groupBy("table_id").agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("left_out"))
-    return ranked.filter(F.col("shown_as") <= shown).join(broadcast_if_small(left_out), "table_id")
+    return top_k(out, "table_id", shown, [F.asc("row_index")], "shown_as").join(broadcast_if_small(left_out), "table_id")

@@ -158,7 +158,7 @@ def record_search(spark, sf_dir):
 
 @query("search_fields", W + """
 SELECT field_id, f.document_id, title, key, value, kind FROM inv_fields f JOIN lib_docs USING (document_id)
-WHERE kind = 'pair' AND (value ILIKE '%nation_1%' OR key ILIKE '%nation_1%') ORDER BY field_id DESC LIMIT 200""")
+WHERE kind = 'pair' AND (value ILIKE '%nation_1%' OR key ILIKE '%nation_1%')""")
 def search_fields(spark, sf_dir):
     docs, fields, _, _ = library(spark, sf_dir)
     return catalog.search_fields(fields, docs, kind="pair", q="nation_1")
@@ -270,7 +270,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_index) AS
       WHERE len(list_filter(cells, lambda c: contains(lower(c), 'ma'))) > 0)
 SELECT table_id, row_index, array_to_string(cells, '|') AS cells, shown_as FROM f""")
 def any_cell_filter(spark, sf_dir):
-    out = tablequery.any_cell_filter(corpora.table_rows(spark, sf_dir), "MA")
+    out = tablequery.any_cell_filter(corpora.table_rows(spark, sf_dir), "MA", numbered=True)
     return out.select("table_id", "row_index", F.array_join("cells", "|").alias("cells"), "shown_as")
 
 

@@ -138,6 +138,21 @@ def chunk_table_rows(spark, sf_dir):
     return chunk.chunk_documents(docs).select("chunk_id", "document_id", "seq", "text")
 
 
+COUNTED = 100
+
+
+@query("chunk_counted", op.with_(f"""
+w AS (SELECT doc_id AS document_id, {_TITLE} AS title, {op.words('text')} AS ws, greatest({COUNTED} - len({op.words(f"'[' || {_TITLE} || ']'")}), 1) AS win FROM documents),
+p AS (SELECT *, unnest(range(0, CASE WHEN len(ws) = 0 THEN 0 ELSE 1 + greatest(CAST(ceil((len(ws) - win) / CAST(greatest(win - 40, 1) AS DOUBLE)) AS INT), 0) END)) AS i FROM w)""") + """
+SELECT document_id * 1048576 + i AS chunk_id, document_id, i AS seq, array_to_string(ws[i * greatest(win - 40, 1) + 1 : i * greatest(win - 40, 1) + win], ' ') AS text FROM p""")
+def chunk_counted(spark, sf_dir):
+    """Whole documents cut under a counter that is called with every piece, here one that counts words."""
+    null = F.lit(None).cast("string")
+    docs = corpora.doc_texts(spark, sf_dir).select("document_id", "title", F.array(F.struct(
+        F.col("text"), F.lit("prose").alias("kind"), null.alias("location"), null.alias("heading"))).alias("blocks"))
+    return chunk.chunk_documents(docs, max_tokens=COUNTED, count=lambda t: len(t.split())).select("chunk_id", "document_id", "seq", "text")
+
+
 @query("empty_doc_reject", f"""SELECT doc_id AS document_id, 'failed' AS status, 'no extractable text' AS error FROM documents
 WHERE {op.strip('text')} = '' OR doc_id % 3 = 0""")
 def empty_doc_reject(spark, sf_dir):

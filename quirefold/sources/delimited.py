@@ -117,4 +117,4 @@ def parse_delimited(text: Column) -> Column:
         headed = tx.let(F.struct(rows.alias("rows"), has_header(rows).alias("headed")), build)
         return F.when(F.size(rows) == 0, failed("no rows")).otherwise(headed)
 
-    return F.when(tx.strip(text) == "", failed("file is empty")).otherwise(tx.let(rows_of(text), judge))
+    return F.when(tx.strip(text) == "", failed(fv.EMPTY_FILE)).otherwise(tx.let(rows_of(text), judge))

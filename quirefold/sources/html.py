@@ -10,6 +10,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.sources.parsed import block, failed, joined_rows, result
 
@@ -143,9 +144,9 @@ def parse_html(html: Column) -> Column:
         blocks = F.transform(numbered, lambda t: block(joined_rows(t["grid"], "\t"), "table", t["location"]))
         prose = F.filter(F.array(block(text, "prose", F.lit("body"), title)), lambda b: b["text"] != "")
         parsed = F.struct(F.concat(prose, blocks).alias("blocks"), tables.alias("tables"))
-        return tx.let(parsed, lambda p: F.when(F.size(p["blocks"]) == 0, failed("no extractable text")).otherwise(result(p["blocks"], p["tables"])))
+        return tx.let(parsed, lambda p: F.when(F.size(p["blocks"]) == 0, failed(fv.NO_TEXT)).otherwise(result(p["blocks"], p["tables"])))
 
     cut = lambda c: tx.let(split_tables(c), lambda s: F.struct(
         page_title(c).alias("title"), visible_text(s["outside"]).alias("text"), table_grids(s["tables"]).alias("grids")))
     whole = tx.let(clean_html(html), lambda c: tx.let(cut(c), build))
-    return F.when(tx.strip(html) == "", failed("file is empty")).otherwise(whole)
+    return F.when(tx.strip(html) == "", failed(fv.EMPTY_FILE)).otherwise(whole)

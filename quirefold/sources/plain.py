@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.sources.parsed import block, failed, result
 
@@ -30,4 +31,4 @@ def sections(text: Column) -> Column:
 
 
 def parse_text(text: Column) -> Column:
-    return F.when(tx.strip(text) == "", failed("file is empty")).otherwise(result(sections(text)))
+    return F.when(tx.strip(text) == "", failed(fv.EMPTY_FILE)).otherwise(result(sections(text)))
