@@ -168,19 +168,29 @@ def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 def furthest(fits, at: int, end: int, guess: int) -> int:
     """The highest place from ``at`` + 1 to ``end`` up to which a piece ``fits``, at least ``at`` + 1, tried first at ``guess`` more.
 
-    Steps double from the guess until they straddle the answer and are then bisected: no try is much longer than twice the piece.
+    Steps away from the guess double until they straddle the answer and are then bisected, so a good guess takes two tries.
     """
-    low, step = at + 1, max(2, guess)
-    high = min(end, at + step)
-    while high > low and fits(high):
-        low, step = high, 2 * step
-        high = min(end, at + step)
-    if high == low:
-        return low
-    high -= 1  # does not fit
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if fits(mid) else (low, mid - 1)
+    low, step = at + 1, 1  # has to do, whether or not it fits
+    place = max(low, min(end, at + guess))
+    if place == low or fits(place):
+        low = place
+        while low < end:
+            high = min(end, low + step)
+            if not fits(high):
+                break
+            low, step = high, 2 * step
+        else:
+            return low
+    else:
+        high = place
+        while high - step > low:
+            if fits(high - step):
+                low = high - step
+                break
+            high, step = high - step, 2 * step
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if fits(mid) else (low, mid)
     return low
 
 
