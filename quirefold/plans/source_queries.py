@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import fixed_values as fv
 from quirefold.functions import text as tx
 from quirefold.functions.ids import parent_id
-from quirefold.operators import admission, extract, ingest, library, vectors
+from quirefold.operators import admission, counts, extract, ingest, library, vectors
 from quirefold.operators.chunk import chunk_prose
 from quirefold.plans import corpora
 from quirefold.plans import oracle_parts as op
@@ -338,6 +338,58 @@ def snapshot_roundtrip(spark, sf_dir):
     return _listed({t: copy.read(t) for t in frames})
 
 
+@query("counts_in_step", L + """
+SELECT 'documents' AS name, '' AS key, count(*) AS n FROM lib_docs WHERE document_id % 3 <> 0
+UNION ALL SELECT 'ready', '', count(*) FROM lib_docs WHERE document_id % 3 <> 0 AND status = 'ready'
+UNION ALL SELECT 'type', file_type, count(*) FROM lib_docs WHERE document_id % 3 <> 0 GROUP BY file_type
+UNION ALL SELECT 'status', status, count(*) FROM lib_docs WHERE document_id % 3 <> 0 GROUP BY status
+UNION ALL SELECT 'chunks', '', count(*) FROM inv WHERE document_id % 3 <> 0
+UNION ALL SELECT 'tables', '', count(*) FROM lib_tables WHERE document_id % 3 <> 0
+UNION ALL SELECT 'fields', '', count(*) FROM inv_fields WHERE document_id % 3 <> 0
+UNION ALL SELECT 'kind', kind, count(*) FROM inv_fields WHERE document_id % 3 <> 0 GROUP BY kind""")
+def counts_in_step(spark, sf_dir):
+    """Counts after two writers' batches, deletes in two rounds and a batch that uses deleted ids again, against a recount."""
+    lib = library.Library(spark, scratch_path(spark, "library"), 8)
+    kept = counts.Counts(lib)
+    frames = {n: df for n, df in _library_frames(spark, sf_dir, F.lit(False)).items() if n in counts.COUNTED}
+    key = F.col("document_id")
+    part = lambda where: {n: (parent_document(df) if "document_id" not in df.columns else df).filter(where) for n, df in frames.items()}
+    lib.write_batch(0, part(key % 2 == 0), "load")
+    kept.catch_up()
+    lib.write_batch(0, part(key % 2 == 1), "stream")
+    lib.delete(frames["documents"].filter(key % 5 == 0).select("document_id"))
+    kept.catch_up()
+    lib.delete(frames["documents"].filter((key % 3 == 0) | (key % 5 == 0)).select("document_id"))
+    lib.write_batch(1, part((key % 5 == 0) & (key % 3 != 0)), "stream")
+    kept.catch_up()
+    kept.catch_up()
+    return kept.totals()
+
+
+@query("bulk_load", """
+WITH n AS (SELECT source || '_' || doc_id AS title, text, sha256(text) AS h, CASE WHEN doc_id % 10 = 0 THEN '.exe' WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS ext FROM documents),
+f AS (SELECT *, title || ext AS filename FROM n),
+a AS (SELECT *, row_number() OVER (ORDER BY filename) AS document_id FROM f WHERE ext <> '.exe'),
+k AS (SELECT h, min(document_id) AS first_id FROM a GROUP BY h)
+SELECT 'document' AS kind, document_id, filename, title, substr(ext, 2) AS file_type, octet_length(encode(text)) AS size, NULL AS reason, NULL AS canonical_id FROM a JOIN k USING (h) WHERE document_id = first_id
+UNION ALL SELECT 'reject', document_id, filename, title, substr(ext, 2), octet_length(encode(text)), 'duplicate', first_id FROM a JOIN k USING (h) WHERE document_id <> first_id
+UNION ALL SELECT 'reject', NULL, filename, title, 'exe', octet_length(encode(text)), 'unsupported file type: exe', NULL FROM f WHERE ext = '.exe'""")
+def bulk_load(spark, sf_dir):
+    """Documents written as files and loaded from their folder: the catalogue and the rejects, row by row."""
+    k = F.col("doc_id")
+    ending = F.when(k % 10 == 0, ".exe").when(k % 2 == 0, ".txt").otherwise(".md")
+    docs = spread(corpora.read(spark, sf_dir, "documents")).select(
+        F.concat("source", F.lit("_"), k.cast("string"), ending).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    folder = scratch_path(spark, "files")
+    datasource.write_folder(docs, folder)
+    lib = library.Library(spark, scratch_path(spark, "library"), 8)
+    library.bulk_load(lib, folder)
+    columns = ["document_id", "filename", "title", "file_type", "size"]
+    null = F.lit(None)
+    loaded = lib.read("documents").select(F.lit("document").alias("kind"), *columns, null.cast("string").alias("reason"), null.cast("long").alias("canonical_id"))
+    return loaded.unionByName(lib.read("rejects").select(F.lit("reject").alias("kind"), *columns, "reason", "canonical_id"))
+
+
 PARTS = 5
 
 
