@@ -60,33 +60,26 @@ def prose_pieces(words: Column, window: Column, overlap: int = fv.OVERLAP_WORDS)
     return tx.let(F.struct(words.alias("w"), window.alias("n")), cut)
 
 
-def _pack(counts, head: int, cap: int, rate: TokenRate) -> list[dict]:
-    runs, start, used = [], 0, head
-    for i, n in enumerate(counts):
-        if i > start and (used + n) * rate.num // rate.den + rate.add > cap:
-            runs.append({"start": start + 2, "n": i - start})
-            start, used = i, head
-        used += n
-    if len(counts) > start:
-        runs.append({"start": start + 2, "n": len(counts) - start})
-    return runs
-
-
-def row_runs(rate: TokenRate, max_tokens: int):
-    """UDF: per block, runs of table rows (1-based line number and length) that fit the budget.
-
-    The restart of the running total after each full chunk has no linear-time array
-    expression, so the row word counts (integers only) go through Arrow.
+RUNS = "array<struct<start:int,n:int>>"
+
+
+def row_runs(counts: Column, head: Column, rate: TokenRate, max_tokens: int) -> Column:
+    """Runs of table rows (1-based line number and length) whose words, with those of the head, fit the budget; at least one row each.
+
+    One pass over the rows' word counts that keeps where the run began and what it holds. A run is added to the result when it
+    ends, so beside the pass the work is the square of the number of runs, which the cap on uploads bounds.
     """
+    no_runs = F.array().cast(RUNS)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), head.alias("used"), no_runs.alias("runs"))
+    run = lambda s: F.array(F.struct((s["start"] + 2).alias("start"), (s["i"] - s["start"]).alias("n")))
 
-    @F.pandas_udf("array<array<struct<start:int,n:int>>>")
-    def runs(counts: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([
-            [_pack(rows, int(head), max_tokens, rate) for rows, head in zip(per_block, per_head)]
-            for per_block, per_head in zip(counts, heads)
-        ])
+    def step(state: Column, n: Column) -> Column:
+        full = (state["i"] > state["start"]) & (rate.estimate(state["used"] + n) > max_tokens)
+        return F.struct(
+            (state["i"] + 1).alias("i"), F.when(full, state["i"]).otherwise(state["start"]).alias("start"),
+            (F.when(full, head).otherwise(state["used"]) + n).alias("used"), F.when(full, F.concat(state["runs"], run(state))).otherwise(state["runs"]).alias("runs"))
 
-    return runs
+    return F.aggregate(counts, start, step, lambda s: F.when(s["i"] > s["start"], F.concat(s["runs"], run(s))).otherwise(s["runs"]))
 
 
 def chunk_prose(docs: DataFrame, heading: Column | None = None, rate: TokenRate = DEFAULT_RATE,
@@ -105,13 +98,9 @@ def _piece(block: Column, text: Column) -> Column:
 def _estimated(staged: DataFrame, rate: TokenRate, overlap: int, max_tokens: int) -> tuple[DataFrame, Column]:
     """The pieces of each block by estimated sizes."""
     body = lambda b: F.slice(b["lines"], F.lit(2), F.greatest(F.size(b["lines"]) - 1, F.lit(0)))
-    staged = staged.withColumn(
-        "_runs",
-        row_runs(rate, max_tokens)(
-            F.transform("_b", lambda b: F.transform(body(b), tx.word_count)),
-            F.transform("_b", lambda b: tx.word_count(F.concat(b["h"], F.coalesce(F.get(b["lines"], F.lit(0)), F.lit(""))))),
-        ),
-    )
+    head = lambda b: tx.word_count(F.concat(b["h"], F.coalesce(F.get(b["lines"], F.lit(0)), F.lit(""))))
+    sized = F.transform("_b", lambda b: tx.let(head(b), lambda h: row_runs(F.transform(body(b), tx.word_count), h, rate, max_tokens)))
+    staged = staged.withColumn("_runs", sized)
     table_pieces = lambda b, runs: F.transform(
         runs, lambda r: F.concat(F.get(b["lines"], F.lit(0)), F.lit("\n"), F.array_join(F.slice(b["lines"], r["start"], r["n"]), "\n"))
     )

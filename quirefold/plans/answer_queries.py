@@ -157,6 +157,14 @@ def value_filter(spark, sf_dir):
     return tablefacts.value_filters(asked, extract.cells_of(rows, headers)).drop("f_key")
 
 
+@query("value_mentions", op.with_(op.TAB, op.QST, FACTS) + "SELECT question, table_id, f_col, f_name, f_value FROM vf")
+def value_mentions(spark, sf_dir):
+    """The values that questions mention, by automata over the distinct cells."""
+    headers, rows = _tables(spark, sf_dir)
+    asked = tablefacts.asked(corpora.questions(spark, sf_dir))
+    return tablefacts.value_filters_by_automaton(asked, extract.cells_of(rows, headers)).drop("f_key")
+
+
 @query("numeric_columns", op.with_(op.TAB, op.QST, FACTS) + "SELECT table_id, f_col, f_key, col_name, n_rows, n_num, round(total, 2) AS total FROM st WHERE n_num >= greatest(1, 0.6 * n_rows)")
 def numeric_columns(spark, sf_dir):
     headers, rows = _tables(spark, sf_dir)
