@@ -2,6 +2,8 @@
 
 A line of a document is deleted if it lies in a run of consecutive lines, together of at least ``min_words`` words, that
 occurs earlier in the corpus (smaller document id, null ids last, then text hash, then line number). Blank lines do not count and stay.
+Only runs of whole, equal lines are repeats. Where a later occurrence overlaps the earliest one in the same document, only the
+lines behind the earliest go, so that a run is never deleted for being a copy of itself.
 
 1. Lines get 128-bit ids; only ids that occur twice can be part of a repeated run, and only gapless stretches of such
    lines with enough words are kept.
@@ -105,8 +107,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = materialize(
             keyed.groupBy("m", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "intervals"
         )
+        kept_to = F.col("first.idx") + F.col("m")  # what a copy shares with the occurrence that stays is no part of it
+        own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k1") == F.col("k1")) & (F.col("idx") < kept_to)
+        begin = F.when(own, kept_to).otherwise(F.col("idx"))
         later.append(materialize(
-            keyed.join(first, ["m", "r1", "r2"]).filter(place != F.col("first")).select(*DOC, "idx", "m"), "copies"
+            keyed.join(first, ["m", "r1", "r2"]).filter(place != F.col("first")).select(*DOC, begin.alias("idx"), (F.col("idx") + F.col("m") - 1).alias("end")), "copies"
         ))
         if 2 * h <= longest:
             next_rank = F.max("rank").over(Window.partitionBy(*DOC).orderBy("idx").rangeBetween(h, h))
@@ -116,7 +121,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         h *= 2
     if not later:
         return lines.limit(0).groupBy(*DOC).agg(F.sort_array(F.collect_set("ln")).alias("lines"))
-    copies = reduce(DataFrame.union, later).select(*DOC, F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("m") - 1)).alias("idx"))
+    copies = reduce(DataFrame.union, later).filter(F.col("idx") <= F.col("end")).select(*DOC, F.explode(F.sequence("idx", "end")).alias("idx"))
     numbers = alive.select(*DOC, "idx", "ln").alias("a").join(
         copies.distinct().alias("b"), _same_doc("a", "b") & (F.col("a.idx") == F.col("b.idx")), "left_semi"
     )

@@ -47,7 +47,8 @@ ends AS (SELECT a.rid, a.idx AS i, min(b.idx) AS j FROM cum a JOIN cum b ON a.ri
          SELECT b.rid, max(a.idx), b.idx FROM cum a JOIN cum b ON a.rid = b.rid AND b.e - (a.e - a.w) >= 50 AND b.idx >= a.idx GROUP BY b.rid, b.idx),
 runs AS (SELECT ends.rid, doc_id, i, j, array_to_string(ls[i:j], chr(10)) AS run FROM ends JOIN docs USING (rid)),
 firsts AS (SELECT run, min(struct_pack(a := doc_id, b := i)) AS f FROM runs GROUP BY run HAVING count(*) > 1),
-gone AS (SELECT DISTINCT rid, unnest(generate_series(i, j)) AS idx FROM runs JOIN firsts USING (run) WHERE struct_pack(a := doc_id, b := i) <> f),
+copies AS (SELECT rid, unnest(generate_series(i, j)) AS idx, CASE WHEN doc_id = f.a THEN f.b + j - i ELSE 0 END AS kept_to FROM runs JOIN firsts USING (run) WHERE struct_pack(a := doc_id, b := i) <> f),
+gone AS (SELECT DISTINCT rid, idx FROM copies WHERE idx > kept_to),
 lns AS (SELECT nb.rid, nb.ln FROM nb JOIN gone USING (rid, idx)),
 kept AS (SELECT raw.rid, string_agg(raw.l, chr(10) ORDER BY raw.ln) AS t FROM raw ANTI JOIN lns ON raw.rid = lns.rid AND raw.ln = lns.ln GROUP BY raw.rid),
 n AS (SELECT rid, count(*) AS k FROM lns GROUP BY rid), a AS (SELECT rid, count(*) AS k FROM nb GROUP BY rid)

@@ -8,7 +8,7 @@ from tests.llm.helpers import clashing, frame, odd_documents, prose
 
 
 def brute(rows, min_words):
-    """Kept text by (id, text): a line goes if it lies in a run of enough words that starts at an earlier place too."""
+    """Kept text by (id, text): a line goes if it lies in a run of enough words that starts at an earlier place too, and not in that earliest run."""
     docs = {}
     for r in rows:
         if r[1] is not None:
@@ -25,7 +25,8 @@ def brute(rows, min_words):
                 if sum(counts[i:j]) >= min_words:
                     run = tuple(x for _, x in lines[i:j])
                     if run in places:
-                        gone[key] |= set(range(i, j))
+                        first, at = places[run]
+                        gone[key] |= set(range(i, j)) - (set(range(at, at + j - i)) if first == key else set())
                     else:
                         places[run] = (key, i)
     out = {}
@@ -66,6 +67,17 @@ def test_copies_of_long_documents(spark):
     assert check(spark, rows, 50) == 7 * 300
 
 
+def test_the_first_copy_stays_whole_where_copies_overlap(spark):
+    same = "\n".join(["same"] * 60)
+    two = "\n".join(["one two three", "four five"] * 30)
+    rows = [(1, same, "en", "a", 0), (2, two, "en", "a", 0), (3, "other\n" + same, "en", "a", 0), (4, "\n".join(["same"] * 120), "en", "a", 0)]
+    check(spark, rows, 50)
+    found = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert found[1]["text"] == "\n".join(["same"] * 50) and found[1]["__deleted"] == 10
+    assert found[2]["text"].split("\n") == two.split("\n")[:20]
+    assert found[3]["text"] == "other" and found[4]["text"] == ""
+
+
 def test_empty_table(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
     assert linededup.repeated_lines(frame(spark, [(1, None, None, None, None)])).count() == 0
