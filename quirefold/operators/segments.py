@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.operators import keyword
-from quirefold.session import broadcast_if_small, materialize, scratch_path
+from quirefold.session import broadcast_if_small, materialize, scratch_path, table_name
 
 #: Segments of one size class that are merged into one; a class holds sizes up to this many times its smallest.
 FACTOR = 4
@@ -78,7 +78,7 @@ def create(chunks: DataFrame, stem: bool = True, buckets: int | None = None) ->
     if buckets is None:
         n = chunks.count()
         buckets = max(min(spark.sparkContext.defaultParallelism, 1 + n // 100), n // keyword.CHUNKS_PER_BUCKET)
-    index = SegmentedIndex(spark, f"quirefold_segments_{uuid.uuid4().hex}", scratch_path(spark, "segments"), buckets, stem)
+    index = SegmentedIndex(spark, table_name("segments"), scratch_path(spark, "segments"), buckets, stem)
     return append(index, chunks)
 
 

@@ -51,6 +51,26 @@ def foldered(df: DataFrame, label: str, folders: str, sort: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+def table_name(label: str) -> str:
+    """A new name in the catalogue, to be dropped by ``release_tables``."""
+    _TABLES.append(f"quirefold_{label}_{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Take the bucketed tables that this process made out of the catalogue, when the indexes that read them are no longer used.
+
+    Their files stay until the scratch folder expires. Returns how many there were.
+    """
+    n = len(_TABLES)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    return n
+
+
 def bucketed(df: DataFrame, label: str, buckets: int, by: str, folders: str | None, sort: str) -> DataFrame:
     """Write ``df`` once to the shared folder as a table bucketed by ``by``, in folders of ``folders`` if any, sorted by ``sort``.
 
@@ -58,7 +78,7 @@ def bucketed(df: DataFrame, label: str, buckets: int, by: str, folders: str | No
     and row groups.
     """
     spark = df.sparkSession
-    name = f"quirefold_{label}_{uuid.uuid4().hex}"
+    name = table_name(label)
     writer = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(sort)
     writer = writer if folders is None else writer.partitionBy(folders)
     writer.option("path", scratch_path(spark, label)).saveAsTable(name)

@@ -154,3 +154,16 @@ def test_near_against_all_combinations(spark):
     found = keyword.near_matches(spark.createDataFrame(groups, "query_id long, terms array<string>, distance int"), keyword.build_index(chunks, stem=False))
     want = [(q, k, span) for q, terms, d in groups for k, span in brute_near(texts, [w for t in terms for w in t.split("-")], d)]
     assert sorted((r["query_id"], r["chunk_id"], r["span"]) for r in found.collect()) == sorted(want) and len(want) > 20
+
+
+def test_tables_leave_the_catalogue(spark):
+    from quirefold import session
+
+    session.release_tables(spark)
+    index = keyword.build_index(chunk_rows(spark, range(3)), stem=False)
+    parts = segments.create(chunk_rows(spark, range(3)), False, 2)
+    names = {t.name for t in spark.catalog.listTables() if t.name.startswith("quirefold_")}
+    assert {t for t in names if t.startswith(("quirefold_tokens", "quirefold_postings"))} and index.n_chunks == 6
+    parts.close()
+    assert session.release_tables(spark) >= 3 and session.release_tables(spark) == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quirefold_") and t.name in names]
