@@ -20,6 +20,9 @@ from quirefold.functions.ids import parent_id
 from quirefold.session import broadcast_if_small, materialize
 
 TABLES = ["chunks", "fields", "tables", "table_rows", "vectors", "rejects", "documents"]
+#: Ids by content hash, in folders by the hash's first digit and sorted by it: what a micro-batch looks its own hashes up in.
+HASHES = "hashes"
+FEW_HASHES = 1000
 BATCH = ["writer", "batch_id"]
 BUCKETS = 64
 MAIN = "main"
@@ -57,6 +60,11 @@ class Library:
 
     def write_batch(self, batch_id: int, frames: dict[str, DataFrame], writer: str = MAIN) -> None:
         """Write one batch of one writer; documents come last and make it visible."""
+        documents = frames.get("documents")
+        if documents is not None and "content_hash" in documents.columns:
+            rows = documents.select("document_id", "content_hash").withColumn("bucket", self._digit()).hint("rebalance", "bucket")
+            rows.sortWithinPartitions("bucket", "content_hash").write.mode("overwrite").partitionBy("bucket").parquet(
+                f"{self._path(HASHES)}/writer={writer}/batch_id={batch_id}")
         for table in TABLES:
             if table in frames:
                 df = frames[table]
@@ -66,6 +74,21 @@ class Library:
                 out = df.withColumn("bucket", self._bucket(df)).hint("rebalance", "bucket")
                 out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/writer={writer}/batch_id={batch_id}")
 
+    @staticmethod
+    def _digit() -> Column:
+        return F.coalesce(F.conv(F.substring("content_hash", 1, 1), 16, 10).cast("int"), F.lit(0))
+
+    def known_hashes(self, asked: DataFrame, replay: tuple[str, int] | None = None) -> DataFrame:
+        """(document_id, content_hash) of live documents that may have one of the hashes ``asked(content_hash)``.
+
+        Of few hashes only their folders are read, and in these only the row groups that can hold them.
+        """
+        few = [r[0] for r in asked.select("content_hash").distinct().limit(FEW_HASHES + 1).collect()]
+        rows = self._live(HASHES, replay)
+        if len(few) <= FEW_HASHES:  # more hashes than that are in every folder
+            rows = rows.filter(F.col("bucket").isin(sorted({int(h[0], 16) for h in few})) & F.col("content_hash").isin(few))
+        return rows.select("document_id", "content_hash")
+
     def exists(self) -> bool:
         """Whether anything was ever stored, be it rejects only."""
         return any(stored(self.spark, self._path(table)) is not None for table in ("documents", "rejects"))

@@ -21,4 +21,5 @@ REJECTS = (
 LIBRARY = {
     "documents": DOCUMENTS, "chunks": CHUNKS, "fields": FIELDS, "tables": LIBRARY_TABLES, "table_rows": TABLE_ROWS,
     "vectors": f"{VECTORS}, document_id long", "rejects": REJECTS,
+    "hashes": "document_id long, content_hash string",
 }

@@ -35,12 +35,12 @@ def ingest_batch(
 ) -> None:
     """One micro-batch: admit, de-duplicate, parse, extract, chunk, write, snapshot.
 
-    Duplicates are looked up in the stored catalogue, so the job keeps no growing state; a replayed batch leaves its own
+    Duplicates are looked up among the stored hashes, so the job keeps no growing state; a replayed batch leaves its own
     earlier attempt out, finds the same documents new and overwrites itself. Refused rows and duplicates are stored in ``rejects``.
     """
     admitted, refused = admission.admit(batch) if max_mb is None else admission.admit(batch, max_mb)
-    known = library.read("documents", (writer, batch_id)).select("document_id", "content_hash") if library.exists() else None
     light = materialize(admitted.select("document_id", "filename", "title", "file_type", "size", "content_hash"), "admitted")
+    known = library.known_hashes(light, (writer, batch_id)) if library.exists() else None
     keep, rejects = settle(light, refused, known)
     fresh = materialize(admitted.join(broadcast_if_small(keep), "document_id", "left_semi"), "fresh")
     library.write_batch(batch_id, {**ingest.ingest(spread(fresh)), "rejects": rejects}, writer)

@@ -187,3 +187,20 @@ def test_other_faults_are_not_taken_for_nothing_stored(spark, tmp_path):
         frame = library.stored(spark, str(tmp_path / "a"))
         assert frame is not None
         frame.count()
+
+
+def test_micro_batches_look_up_their_own_hashes(spark):
+    lib = library.Library(spark, scratch_path(spark, "lib"), 2)
+    streaming.ingest_batch(lib, rows(spark, *[f"text {k}" for k in range(40)]), 0, writer="w")
+    lib.delete(spark.createDataFrame([(3,)], "document_id long"))
+    asked = rows(spark, "text 2", "text 7", "new").select("content_hash")  # texts of the documents 3 and 8
+    known = lib.known_hashes(asked)
+    assert ids(known) == [8]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(content_hash" in plan
+    assert ids(lib.known_hashes(asked, ("w", 0))) == [] and ids(lib.known_hashes(rows(spark, *[f"text {k}" for k in range(40)] * 30))) == [k + 1 for k in range(40) if k != 2]
+    assert lib.known_hashes(asked.limit(0)).count() == 0
+    target = scratch_path(spark, "snap")
+    lib.snapshot(target)
+    copy = library.Library(spark, scratch_path(spark, "copy"), 2)
+    assert copy.restore(target) and ids(copy.known_hashes(asked)) == [8]
