@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quirefold.llm import topk
@@ -50,3 +51,18 @@ def test_empty(spark):
     none = topk.whole_vectors(spark.createDataFrame([], SCHEMA))
     assert topk.top_k(none, none, 5).count() == 0
     assert topk.top_k(none, none, 5).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("cut", [-1e30, 0.0, 30000.0, 60000.0])
+def test_pairs_below_the_cutoff_are_dropped_early(cut):
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda m: np.floor(256 * m / np.linalg.norm(m, axis=1)[:, None]))(rng.normal(size=(n, 64)))
+    queries, vectors = unit(40), unit(3000)
+    vectors[:40] = queries
+    blocks = topk._by_norm(queries, 4)
+    q, column, score, done = topk.resolve(queries, vectors, blocks, np.full(40, cut))
+    total = queries @ vectors.T
+    want = {(a, b, total[a, b]) for a, b in zip(*np.nonzero(total >= cut))}
+    assert set(zip(q.tolist(), column.tolist(), score.tolist())) == want and len(q) == len(want)
+    share = done / (total.size * 64)
+    assert share <= 1 and (cut < 30000 or share < 0.8) and (cut < 60000 or share < 0.55)
