@@ -22,22 +22,32 @@ from quirefold.session import broadcast_if_small, materialize
 
 WINDOW = 13
 SHARE = 20
-BLOCK_BYTES = 16 << 20
+#: Size of a block of the benchmark: bytes of its texts and ``WINDOW_BYTES`` for each word, since a window begins at nearly every word.
+BLOCK_BYTES = 64 << 20
+WINDOW_BYTES = 128
+#: Longer items are cut into pieces that overlap by a window less one word.
+PIECE_WORDS = 1 << 14
 SHARD_BYTES = 8 << 20
 #: Words are runs of digits, lower-case letters and all bytes from 0x80.
 WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
+JVM_WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WORD_PATTERN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 RESULT = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 @dataclass
 class Phrases:
-    """The benchmark's distinct windows as word numbers, and the items that hold each."""
+    """The benchmark's distinct windows as word numbers, and the items that hold each: those of window k lie from ``first[k]`` to ``first[k + 1]``."""
 
     words: dict[bytes, int]
     table: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    names: list[str]
+    first: np.ndarray
+    holders: np.ndarray
+
+    def items(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.holders[self.first[k]:self.first[k + 1]].tolist()]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -46,15 +56,27 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def phrases_of(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
     numbers: dict[bytes, int] = {}
-    held: dict[tuple[int, ...], set[str]] = {}
+    names: dict[str | None, int] = {}
+    tables, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
     for item, text in rows:
         found = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text.encode() if text else None)]
-        for at in range(max(1, len(found) - window + 1) if found else 0):
-            held.setdefault(tuple(found[at:at + window]), set()).update([item] if item is not None else [])
-    table = np.zeros((len(held), window), np.int64)
-    for k, key in enumerate(held):
-        table[k, :len(key)] = key
-    return Phrases(numbers, table, np.array([len(k) for k in held], np.int64), [sorted(v) for v in held.values()])
+        if not found:
+            continue
+        codes = np.array(found + [0] * (window - len(found)), np.int32)
+        tables.append(np.lib.stride_tricks.sliding_window_view(codes, window))
+        owners.append(np.full(len(tables[-1]), names.setdefault(item, len(names)), np.int64))
+    every, owner = np.concatenate(tables), np.concatenate(owners)
+    if not len(every):
+        return Phrases(numbers, every.astype(np.int64), owner, [], np.zeros(1, np.int64), owner)
+    rows_as_one = np.ascontiguousarray(every).view(np.dtype((np.void, every.dtype.itemsize * window))).ravel()
+    _, at, which = np.unique(rows_as_one, return_index=True, return_inverse=True)
+    table = every[at].astype(np.int64)
+    pairs = np.unique(which.ravel() * len(names) + owner)
+    window_of, holders = pairs // len(names), pairs % len(names)
+    named = holders != names.get(None, -1)  # items without an id count as hits but have no name
+    window_of, holders = window_of[named], holders[named]
+    first = np.searchsorted(window_of, np.arange(len(table) + 1))
+    return Phrases(numbers, table, (table > 0).sum(axis=1), ["" if n is None else n for n in names], first, holders)
 
 
 def scan(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -95,21 +117,42 @@ def scan(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int, list[tu
         out[doc][1].append((int(a - bounds[doc]), int(b - bounds[doc])))
     doc = np.searchsorted(bounds, at, "right") - 1
     for key in np.unique(doc * len(phrases.table) + which).tolist():
-        out[key // len(phrases.table)][2].extend(phrases.items[key % len(phrases.table)])
+        out[key // len(phrases.table)][2].extend(phrases.items(key % len(phrases.table)))
     return [(n, spans, sorted(set(items))) for n, spans, items in out]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Phrases]:
-    """The benchmark in blocks whose size is measured and bounded before one is sent to the tasks."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()["b"] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    if n == 1:
-        yield phrases_of([tuple(r) for r in rows.collect()], window)
+    """The benchmark in blocks whose size is measured and bounded before one is collected and sent to the tasks.
+
+    Repeated rows count once and long items are cut, so no row is large, unless a single word is. Rows are dealt to many small
+    buckets, and buckets that fit together by their measured sizes make a block.
+    """
+    words = F.regexp_extract_all("text", F.lit(JVM_WORDS), 0)
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropDuplicates()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE_WORDS))
+    cut = (
+        rows.filter("text is not null").select("item", words.alias("words")).filter("size(words) > 0")
+        .select("item", "words", F.explode(starts).alias("at"))
+        .select("item", F.slice("words", F.col("at") + 1, PIECE_WORDS + window - 1).alias("words"))
+        .select("item", F.array_join("words", " ").alias("text"), (F.size("words") * WINDOW_BYTES).alias("size"))
+        .withColumn("size", F.col("size") + F.octet_length("text"))
+    )
+    total = int(cut.agg(F.sum("size").alias("b")).first()["b"] or 0)
+    if total <= block_bytes:
+        yield phrases_of([(r["item"], r["text"]) for r in cut.collect()], window)
         return
-    dealt = materialize(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "benchmark")
-    for k in range(n):
-        yield phrases_of([(r["item"], r["text"]) for r in dealt.filter(F.col("block") == k).collect()], window)
+    buckets = F.pmod(F.xxhash64("item", "text"), F.lit(8 * -(-total // block_bytes)))
+    dealt = materialize(cut.withColumn("bucket", buckets), "benchmark")
+    sizes = dealt.groupBy("bucket").agg(F.sum("size").alias("b")).orderBy("bucket").collect()  # eight rows a block
+    groups, room = [], 0
+    for bucket, size in sizes:
+        if not groups or size > room:
+            groups.append([])
+            room = block_bytes
+        groups[-1].append(bucket)
+        room -= size
+    for group in groups:
+        yield phrases_of([(r["item"], r["text"]) for r in dealt.filter(F.col("bucket").isin(group)).collect()], window)
 
 
 def scan_documents(
@@ -119,7 +162,8 @@ def scan_documents(
     """``(doc_id, text_key, n_words, spans, items)``, one row per row of ``docs``; spans are word ranges, sorted and apart.
 
     Null and empty texts have no words. An item without words matches nothing; items without an id count as hits but are not
-    listed. A benchmark beyond ``block_bytes`` is searched for block by block and the blocks' spans are merged.
+    listed. A benchmark beyond ``block_bytes`` is searched for block by block and the blocks' spans are merged; repeated rows of
+    the benchmark count once, and an item of any length is cut into pieces that hold all its windows.
     """
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = rows.select("doc_id", text_key("text").alias("text_key"), "text")

@@ -34,7 +34,7 @@ def benchmark_rows(rows):
     return [*items, ("short", "alpha beta"), ("one", "word"), ("none", ""), ("null", None), (None, long[0][:90]), ("3", items[3][1]), ("new", prose(rng, 3))]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 4000])
 def test_odd_documents(spark, block_bytes):
     rows = odd_documents()
     items = benchmark_rows(rows)
@@ -103,3 +103,16 @@ def test_index_against_plain_search():
     for k, n in enumerate(lengths):
         want = [p for p in range(len(text) - n) if (text[p:p + n] == phrases[k, :n]).all()]
         assert sorted(index.locate(np.arange(low[k], high[k])).tolist()) == want
+
+
+def test_blocks_are_bounded_and_keep_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 16)
+    rng = random.Random(4)
+    rows = [("a", prose(rng, 40))] + [("b", prose(rng, 3))] * 500 + [(str(k), prose(rng, 2)) for k in range(30)] + [("c", "Été 漢字-x1 " * 9)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    whole = decontaminate.phrases_of(rows)
+    back = lambda p: {(tuple(w for n in t if n for w, m in p.words.items() if m == n), i) for k, t in enumerate(p.table.tolist()) for i in p.items(k)}
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 13, 20000))
+    assert len(blocks) > 3
+    assert set().union(*map(back, blocks)) == back(whole)
+    assert all(len(b.table) * decontaminate.WINDOW_BYTES <= 20000 for b in blocks)
