@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 
@@ -78,3 +79,33 @@ def test_without_labels_or_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
     empty = frame(spark, [])
     assert langid.identify(empty, langid.fit(empty)).count() == 0
+
+
+def plainly(net, text):
+    """The definition once more, a number at a time: windows, filters, best responses, softmax, mean by bytes."""
+    raw, total = text.encode(), [0.0] * len(net.langs)
+    for at in range(0, len(raw), langid.WINDOW):
+        own = raw[at:at + langid.WINDOW]
+        window = own + bytes(langid.WINDOW - len(own))
+        hidden = []
+        for width, weights, bias in zip(langid.WIDTHS, net.filters, net.biases):
+            for f in range(langid.FILTERS):
+                best = max(
+                    sum(float(net.embed[window[s + k]][e]) * float(weights[k * langid.EMBED + e][f]) for k in range(width) for e in range(langid.EMBED))
+                    for s in range(langid.WINDOW - width + 1)
+                )
+                hidden.append(max(best + float(bias[f]), 0.0))
+        logits = [sum(h * float(net.out[j][c]) for j, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(len(net.langs))]
+        powers = [math.exp(x - max(logits)) for x in logits]
+        total = [t + len(own) * p / sum(powers) for t, p in zip(total, powers)]
+    shares = [t / len(raw) for t in total]
+    return net.langs[shares.index(max(shares))], max(shares)
+
+
+def test_identify_against_the_definition(spark):
+    net = langid.Net.fresh(["de", "en", "fr"])
+    texts = ["one short text", "Über die Äcker " * 12, "漢字 and more " * 9, "x" * langid.WINDOW, "last one, of " + "many words " * 30]
+    found = langid.identify(frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), net).collect()
+    for r in found:
+        lang, score = plainly(net, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -140,3 +141,22 @@ def test_long_words_are_encoded_in_time():
     found = encode([*words, " ".join(words)])
     assert time.process_time() - began < 5
     assert [x.tolist() for x in found[:2]] == [plain.encode(w, add_special_tokens=False).ids for w in words[:2]]
+
+
+def test_ranks_only_for_files_of_known_parts():
+    with open(PATH, encoding="utf-8") as file:
+        text = file.read()
+    ranks = packing._ranks(json.loads(text))
+    assert ranks and packing.vocabulary(PATH).ranks == ranks
+    merges = json.loads(text)["model"]["merges"]
+    for part, value in [
+        (("normalizer",), {"type": "NFC"}), (("pre_tokenizer",), {"type": "Whitespace"}), (("pre_tokenizer", "add_prefix_space"), True),
+        (("pre_tokenizer", "use_regex"), False), (("post_processor",), {"type": "Sequence"}), (("model", "type"), "WordPiece"),
+        (("model", "ignore_merges"), True), (("model", "unk_token"), "<unk>"), (("model", "merges"), merges[::-1]), (("model", "merges"), merges[1:]),
+    ]:
+        spec = json.loads(text)
+        at = spec
+        for name in part[:-1]:
+            at = at[name]
+        at[part[-1]] = value
+        assert packing._ranks(spec) is None, part
