@@ -1,7 +1,12 @@
 """Corpus pipeline: from raw documents to packed training sequences.
 
 Each stage works on all rows that the one before left, is written as Parquet and read again, so a lost executor costs a
-re-read and no stage holds the lineage of another. Stages but the last return the columns of ``documents``.
+re-read and no stage holds the lineage of another. Stages but the last return the columns of ``documents``. A run that
+has a name keeps its stages in folders of that name, so that it goes on after its last finished stage if its driver is lost.
+
+Null and empty texts, repeated rows and null ids are rows like any other: the classifier scores them (null as empty), line
+dedup leaves texts without lines as they are, near dedup takes them as one class of fingerprint zero, decontamination
+finds no words in them, and packing gives those that are left one piece with the end id. Empty tables pass through as empty.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quirefold.llm import decontaminate, linededup, packing, quality, queries, simhash  # noqa: E402
-from quirefold.session import scratch_path  # noqa: E402
+from quirefold.operators.library import stored  # noqa: E402
+from quirefold.session import scratch_path, scratch_root  # noqa: E402
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +63,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """All stages over ``documents``; the last one's rows.
+
+    With ``name``, stages that an earlier run of this name over the same tables has finished are not run again. A stage counts as
+    finished when the row that is written behind it is there; what an interrupted one left is overwritten.
+    """
+    folder = scratch_path(spark, "pipeline") if name is None else os.path.join(scratch_root(spark), f"pipeline-{name}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+    for number, (stage_name, stage) in enumerate(STAGES, 1):
+        path = os.path.join(folder, f"{number}-{stage_name}")
+        done = stored(spark, f"{path}-finished") if name is not None else None
+        if done is None or done.isEmpty():
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            if name is not None:
+                spark.range(1, numPartitions=1).write.mode("overwrite").parquet(f"{path}-finished")
         docs = spark.read.parquet(path)
     return docs
