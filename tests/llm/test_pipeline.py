@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -116,3 +117,26 @@ def test_stages_with_clashing_columns_and_without_rows(spark):
 def test_run_is_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
+
+
+def test_a_named_run_goes_on_behind_its_last_finished_stage(spark, monkeypatch):
+    ran = []
+
+    def stage(label, fails=False):
+        def step(spark, docs, sf_dir):
+            ran.append(label)
+            if fails and ran.count(label) == 1:
+                raise RuntimeError("driver lost")
+            return docs.selectExpr("doc_id + 1 as doc_id")
+
+        return label, step
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b", fails=True), stage("c")])
+    folder, name = scratch_path(spark, "tables"), scratch_path(spark, "x").rsplit("-", 1)[1]
+    spark.range(3).selectExpr("id as doc_id").write.parquet(f"{folder}/documents.parquet")
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, folder, name)
+    for _ in range(2):
+        assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, folder, name).collect()) == [3, 4, 5]
+    assert ran == ["a", "b", "b", "c"]
+    assert corpus_pipeline.run(spark, folder).count() == 3 and ran[-3:] == ["a", "b", "c"]
