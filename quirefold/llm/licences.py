@@ -285,7 +285,8 @@ def scan(
 ) -> DataFrame:
     """``(doc_id, matches)`` of every row; matches are structs of licence, dice, first and last line. Null and empty texts have none.
 
-    Equally good licences of a piece are all listed; repeated rows are repeated, further columns are not read. Templates may be a table ``(licence, text)``; it is measured first and must fit ``TEMPLATE_BYTES``.
+    Equally good licences of a piece are all listed; repeated rows are repeated, further columns are not read, an empty table gives no
+    rows, and very long texts are scanned whole, without the pieces that are longer than any template allows. Templates may be a table ``(licence, text)``; it is measured first and must fit ``TEMPLATE_BYTES``.
     """
     if isinstance(templates, DataFrame):
         if measured_bytes(templates) > TEMPLATE_BYTES:

@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, text_key, fp, component_id)``: one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of at most ``radius`` differing bits, null only if every id of
-    the class is null. Repeated rows are repeated in the result; an empty table gives an empty one.
+    the class is null. Repeated rows are repeated in the result; an empty table gives an empty one. Null and empty texts have
+    fingerprint zero and are linked like any other; very long texts count with all their shingles; further columns are not read.
     """
     with small_batches(docs.sparkSession):
         prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
