@@ -68,10 +68,9 @@ def failing_rule(line: bytes, words: list[bytes], low: bytes, phrases: list[byte
     separators = sum(w in _separators for w in words) if n > 1 else 0
     if separators > 1 and separators * 8 >= n:
         return 0
-    if n <= 2 * len(_menu):
-        menu = sum(w in _menu for w in _menu_word.findall(low))
-        if menu > 1 and menu * 2 >= n:
-            return 0
+    menu = sum(w in _menu for w in _menu_word.findall(low))
+    if menu > 1 and menu * 2 >= n:
+        return 0
     if phrases and sum(p in low for p in phrases) * PHRASE_WORDS >= n and any(p in low for p in phrases):
         return 1
     if len(_noisy.findall(line)) * 4 > n:

@@ -116,3 +116,11 @@ def test_labels(spark):
     rows = linerules.measure(docs).filter("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
     good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
     assert len(bad) > 50 and sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_menus_longer_than_the_word_list():
+    """A line of menu words is navigation at any length; words that repeat count each time."""
+    for words, rule in ((["Home", "Menu", "Login."] * 40, 0), (["Home", "the."] * 60, 0), (["Home", "the", "cat."] * 60, None)):
+        line = " ".join(words)
+        found = linerules.failing_rule(line.encode(), line.encode().split(), line.lower().encode(), [])
+        assert found == rule and brute_line(line) == (None if rule is None else linerules.RULES[rule])
