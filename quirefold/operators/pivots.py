@@ -22,7 +22,9 @@ from quirefold.session import broadcast_if_small, materialize, measured_bytes
 
 PIVOTS = 64
 BLOCK_ROWS = 64
-QUERY_BYTES = 16 << 20
+QUERY_BYTES = 8 << 20
+#: Seed pairs up to this size are sent to the tasks; more meet their blocks by a shuffle.
+SEED_BYTES = 4 << 20
 #: Blocks per question that are scored first, for the cutoff.
 SEED_BLOCKS = 4
 SLACK = 10.0 ** -(SCORE_DIGITS - 1)
@@ -114,22 +116,39 @@ def _bounds(batch: pa.RecordBatch, far: np.ndarray, free: np.ndarray) -> np.ndar
     return out
 
 
-def _score(index: PivotIndex, wanted: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, key, score): the k best of each task for the pairs ``wanted(block, q)``; a block's vectors are read where they lie."""
+def _score(index: PivotIndex, query_ids: np.ndarray, queries: np.ndarray, far: np.ndarray, free: np.ndarray, cutoff: np.ndarray, k: int) -> DataFrame:
+    """(query_id, key, score): the k best of each task in the blocks whose bound reaches a question's cutoff, read where they lie.
+
+    The bounds are computed beside the vectors, so no list of questions and blocks is written, joined or sent.
+    """
+    key = index.key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = _TopK(query_ids, queries, k)
+        for batch in batches:
+            for part in range(batch.num_rows):
+                one = batch.slice(part, 1)
+                own = np.flatnonzero(_bounds(one, far, free)[:, 0] + SLACK >= np.maximum(cutoff, top.floor))
+                if len(own):
+                    ids = one.column("ids")[0].values.to_numpy()
+                    top.add(ids, one.column("vectors")[0].values.to_numpy().reshape(len(ids), -1), own)
+        yield top.batch(key)
+
+    return index.blocks.select("low", "high", "ids", "vectors").mapInArrow(run, f"query_id long, {key} long, score double")
+
+
+def _score_seeds(index: PivotIndex, seeds: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(query_id, key, score): the k best of each task for the pairs ``seeds(block, q)``, a few blocks a question."""
     key = index.key
-    asked = wanted.groupBy("block").agg(F.collect_list("q").alias("qs"))
-    rows = index.blocks.select("block", "ids", "vectors").join(broadcast_if_small(asked), "block").select("ids", "vectors", "qs")
+    asked = seeds.groupBy("block").agg(F.collect_list("q").alias("qs"))
+    rows = index.blocks.select("block", "ids", "vectors").join(broadcast_if_small(asked, SEED_BYTES), "block").select("ids", "vectors", "qs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = _TopK(query_ids, queries, k)
         for batch in batches:
             for ids, flat, qs in zip(batch.column(0), batch.column(1), batch.column(2)):
                 ids = ids.values.to_numpy()
-                part = _TopK(query_ids[own := qs.values.to_numpy()], queries[own], k)
-                part.best = [top.best[i] for i in own]
-                part.add(ids, flat.values.to_numpy().reshape(len(ids), -1))
-                for i, best in zip(own, part.best):
-                    top.best[i] = best
+                top.add(ids, flat.values.to_numpy().reshape(len(ids), -1), qs.values.to_numpy())
         yield top.batch(key)
 
     return rows.mapInArrow(run, f"query_id long, {key} long, score double")
@@ -154,23 +173,24 @@ def _search_block(index: PivotIndex, table: pa.Table, k: int) -> Search:
                     [pa.array(q, pa.int32()), batch.column("block").take(pa.array(best.ravel())), pa.array(bound[q, best.ravel()])], names=["q", "block", "bound"])
 
     seeds = top_k(summary.mapInArrow(seed, "q int, block long, bound double"), "q", SEED_BLOCKS, [F.desc("bound"), F.asc("block")])
-    first = top_k(_score(index, materialize(seeds.select("q", "block"), "seeds"), query_ids, queries, k), "query_id", k, order)
+    first = top_k(_score_seeds(index, materialize(seeds.select("q", "block"), "seeds"), query_ids, queries, k), "query_id", k, order)
     names = spark.createDataFrame(pa.table({"query_id": pa.array(query_ids, pa.int64()), "q": pa.array(np.arange(len(query_ids)), pa.int32())}))
     cutoff = np.full(len(query_ids), -2.0)
     for row in first.filter(F.col("rnk") == k).join(F.broadcast(names), "query_id").select("q", "score").collect():  # a row a question
         cutoff[row["q"]] = row["score"]
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = np.zeros(len(far), np.int64)
         for batch in batches:
-            q, block = np.nonzero(_bounds(batch, far, free) + SLACK >= cutoff[:, None])
-            at = pa.array(block)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column("block").take(at), batch.column("n").take(at)], names=["q", "block", "n"])
+            scored += (_bounds(batch, far, free) + SLACK >= cutoff[:, None]) @ batch.column("n").to_numpy()
+        q = np.flatnonzero(scored)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(scored[q], pa.int64())], names=["q", "scored"])
 
-    wanted = materialize(summary.mapInArrow(reach, "q int, block long, n long"), "wanted-blocks")
-    hits = top_k(_score(index, wanted, query_ids, queries, k), "query_id", k, order).select("query_id", "rnk", index.key, "score")
+    hits = top_k(_score(index, query_ids, queries, far, free, cutoff, k), "query_id", k, order).select("query_id", "rnk", index.key, "score")
     total = summary.agg(F.sum("n").alias("vectors"))
-    scored = wanted.groupBy("q").agg(F.sum("n").alias("scored")).join(F.broadcast(names), "q")
-    return Search(hits, scored.crossJoin(F.broadcast(total)).select("query_id", "vectors", "scored"))  # the total is one row
+    scored = summary.mapInArrow(reach, "q int, scored long").groupBy("q").agg(F.sum("scored").alias("scored")).join(F.broadcast(names), "q")
+    work = scored.crossJoin(F.broadcast(total)).select("query_id", "vectors", "scored")  # the total is one row
+    return Search(materialize(hits, "pivot-hits"), materialize(work, "pivot-work"))  # written: the plan keeps no block of questions
 
 
 def search(queries: DataFrame, index: PivotIndex, k: int) -> Search:

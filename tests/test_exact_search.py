@@ -87,3 +87,26 @@ def test_pivots_without_vectors_or_questions(spark):
     assert pivots.search(frame(spark, np.eye(3)).withColumnRenamed("chunk_id", "query_id"), pivots.build(frame(spark, none)), 2).hits.count() == 0
     assert pivots.search(frame(spark, none).withColumnRenamed("chunk_id", "query_id"), pivots.build(frame(spark, np.eye(3))), 2).hits.count() == 0
     assert same(spark, np.zeros((5, 3)), np.eye(3), 2) == 0
+
+
+def test_many_queries_in_few_cells(spark):
+    """Only scores that reach a query's floor are looked at one by one, in blocks of queries and of vectors; ties go by id."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(700, 8))
+    base[100:130] = base[99]
+    units = base / np.linalg.norm(base, axis=1)[:, None]
+    top = vectors._TopK(np.arange(700), units, 5)
+    calls, plain = 0, vectors._best
+    def counted(*a):
+        nonlocal calls
+        calls += 1
+        return plain(*a)
+    vectors._best = counted
+    try:
+        for lo in range(0, 700, 10):
+            top.add(np.arange(lo, lo + 10), units[lo : lo + 10])
+    finally:
+        vectors._best = plain
+    scores = np.round(units @ units.T, 9)
+    assert [d.tolist() for _, d in top.best] == [np.lexsort((np.arange(700), -row))[:5].tolist() for row in scores]
+    assert calls < 700 * 70 / 2
