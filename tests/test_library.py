@@ -57,6 +57,24 @@ def test_bulk_load(spark, tmp_path):
         library.bulk_load(lib, str(tmp_path))
 
 
+def test_bulk_load_opens_every_file_once(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / f"f{i}.txt").write_text(f"text {i % 4}")
+    opened, scan = spark.sparkContext.accumulator(0), files.admit_folder
+
+    def read(content_hash):
+        opened.add(1)
+        return content_hash
+
+    def counted(*args):
+        admitted, refused = scan(*args)
+        return admitted.withColumn("content_hash", F.udf(read, "string")("content_hash")), refused
+
+    monkeypatch.setattr(files, "admit_folder", counted)
+    assert library.bulk_load(library.Library(spark, scratch_path(spark, "once"), 4), str(tmp_path)) == 4
+    assert opened.value == 5
+
+
 def test_streaming_across_files(spark):
     source = scratch_path(spark, "source")
     schema = "document_id long, title string, text string"
