@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,21 @@ def test_overlapping_phrases():
     counter = tokenscan.PhraseCounter([["a", "a"], ["a", "a", "b"], ["b"]])
     rows, phrases, times = counter.counts(pa.array([["a", "a", "a", "b"], None, [], ["b", "a"], ["a", "c", "a"]]))
     assert list(zip(rows.tolist(), phrases.tolist(), times.tolist())) == [(0, 0, 2), (0, 1, 1), (0, 2, 1), (3, 2, 1)]
+
+
+def test_ranking_of_many_phrases_holds_only_the_cells_that_are_asked_for(spark, monkeypatch):
+    """Queries by the block and all at once give the same rows; of the phrases' weights only those of the queries that ask are held, and no postings are written."""
+    monkeypatch.setattr(keyword, "FEW_PHRASES", 0)
+    queries = spark.createDataFrame(QUERIES + [(7, "alpha alpha state-of"), (8, '"art of" OR zeta')], "query_id long, q string")
+    got = []
+    for block, cells in ((2048, 1 << 21), (2, 50)):
+        monkeypatch.setattr(keyword, "RANK_QUERIES", block)
+        monkeypatch.setattr(tokenscan, "CELLS", cells)
+        index = keyword.build_index(corpus(spark), stem=False)
+        found = keyword.bm25_search(queries, index, limit=9).collect()
+        assert callable(index.stored)
+        got.append(sorted((r["query_id"], r["rnk"], r["chunk_id"], round(r["score"], 8)) for r in found))
+    assert got[0] == got[1] and {q for q, *_ in got[0]} >= {1, 2, 3, 6, 7}
+    weights = tokenscan.Weights([1, 0, 1], [2, 0, 0], [5.0, 2.0, 3.0], 3, 4)
+    scores = weights.scores(np.array([0, 0, 1]), np.array([0, 1, 1]), np.array([1.0, 0.5, 2.0]), 2)
+    assert len(weights.value) == 3 and scores.tolist() == [[3.5, 6.0], [0.0, 0.0], [2.5, 10.0], [0.0, 0.0]]
