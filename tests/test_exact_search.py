@@ -110,3 +110,30 @@ def test_many_queries_in_few_cells(spark):
     scores = np.round(units @ units.T, 9)
     assert [d.tolist() for _, d in top.best] == [np.lexsort((np.arange(700), -row))[:5].tolist() for row in scores]
     assert calls < 700 * 70 / 2
+
+
+def test_many_queries_of_the_same_table(spark):
+    """Vectors that are their own queries, beyond the bound: each block of queries meets all vectors; repeated ids and ties as in one block."""
+    rng = np.random.default_rng(5)
+    matrix = rng.standard_normal((400, 6))
+    matrix[50:120] = matrix[7]
+    matrix[20] = 0
+    held = frame(spark, matrix).unionByName(frame(spark, matrix[:30]))
+    asked = held.select(F.col("chunk_id").alias("query_id"), "embedding")
+    for k in (3, 90):
+        got = [sorted((r["query_id"], r["rnk"], r["chunk_id"], round(r["score"], 7)) for r in vectors.knn_batch(asked, held, k, **options).collect())
+               for options in ({}, {"resident_bytes": 6000, "block_bytes": 3000})]
+        assert got[0] == got[1] and len(got[0]) == 400 * k
+
+
+def test_single_precision_leaves_no_neighbour_out(spark):
+    """Scores that differ by less than single precision can tell are ranked by their exact values."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(32)
+    matrix = base + 1e-5 * rng.standard_normal((3000, 32))
+    units = matrix / np.linalg.norm(matrix, axis=1)[:, None]
+    top = vectors._TopK(np.arange(40), units[:40], 7)
+    for lo in range(0, 3000, 500):
+        top.add(np.arange(lo, lo + 500), units[lo : lo + 500])
+    scores = np.round(np.einsum("ik,jk->ij", units[:40], units), 9)
+    assert [d.tolist() for _, d in top.best] == [np.lexsort((np.arange(3000), -row))[:7].tolist() for row in scores]
