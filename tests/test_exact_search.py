@@ -137,3 +137,21 @@ def test_single_precision_leaves_no_neighbour_out(spark):
         top.add(np.arange(lo, lo + 500), units[lo : lo + 500])
     scores = np.round(np.einsum("ik,jk->ij", units[:40], units), 9)
     assert [d.tolist() for _, d in top.best] == [np.lexsort((np.arange(3000), -row))[:7].tolist() for row in scores]
+
+
+def test_totals_of_substrings_meet_a_place_once_per_needle(spark):
+    """Totals equal those of the listed places; questions that ask the same text do not multiply the places that are joined."""
+    texts, rows = places(spark)
+    rows = rows.withColumn("kind", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    asked = [(k, q) for k, q in enumerate(["hot", "HOT", "t te", "ab", "", None, "nowhere", "hot"])] + [(0, "hot"), (0, "ab")]
+    queries = spark.createDataFrame(asked, "query_id long, q string")
+    index = substring.build(rows.unionByName(rows.limit(40)))
+    totals = {"n": ("count", F.lit(1)), "low_id": ("min", F.col("id")), "high_id": ("max", F.col("id")), "total": ("sum", F.col("id"))}
+    found = substring.search(queries, index, ["kind"], totals)
+    want = substring.search(queries, index).groupBy("query_id", "kind").agg(
+        F.count("*").alias("n"), F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.sum("id").alias("total"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, want.select(found.columns).collect()))) and found.count() > 10
+    many = spark.range(500).select("id", F.lit("hot").alias("q")).withColumnRenamed("id", "query_id")
+    assert "Scan parquet" in (plan := substring.search(many, index, [], totals)._jdf.queryExecution().executedPlan().toString()) and "low#" not in plan
+    alike = substring.build(spark.range(600).select(F.format_string("pay invoice %d now", "id").alias("text")))
+    assert alike.grams.count() < 600 * 16 / 3
