@@ -127,6 +127,24 @@ def test_block_max_skips_most_postings_of_the_passages(spark):
     assert listed(found.hits) == listed(keyword.bm25_search(asked, index, limit=10))
 
 
+def test_many_wanted_blocks_move_no_posting(spark, monkeypatch):
+    """Beyond the bound of a broadcast the questions of a block go to its bucket; the index's own postings are not written a second time."""
+    index = keyword.build_index(chunk_rows(spark, range(150), seqs=3), stem=False)
+    want = listed(keyword.bm25_search(questions(spark), index, limit=20))
+    index = keyword.build_index(chunk_rows(spark, range(150), seqs=3), stem=False)
+    monkeypatch.setattr(blockmax, "BROADCAST_BYTES", 0)
+    blocks = blockmax.build(index, 2, 2)
+    assert callable(index.stored)
+    terms = spark.createDataFrame([(1, "w1", 1, 0.5), (2, "w1", 2, 0.5), (2, "w3", 1, 0.7)], "query_id long, term string, times long, idf double")
+    wanted = blocks.postings.filter("block % 3 > 0").select("block").distinct().crossJoin(spark.range(1, 3).withColumnRenamed("id", "query_id"))
+    found = blockmax._scored(blocks, terms, wanted.filter("query_id = 1 or block % 2 = 0"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    left = plan[: plan.index("block_postings")]
+    assert "ShuffledHashJoin" in plan and "Exchange" not in left
+    assert {(r["query_id"], blocks.postings.filter(F.col("chunk_id") == r["chunk_id"]).first()["block"] % 2) for r in found.limit(12).collect()} <= {(1, 0), (1, 1), (2, 0)}
+    assert listed(blockmax.search(questions(spark), blocks, 20).hits) == want
+
+
 def test_long_documents_are_many_blocks(spark):
     rows = spark.range(100_000).select(blockmax.block_of(F.col("id")).alias("b")).groupBy("b").count()
     assert rows.agg(F.max("count")).first()[0] == blockmax.CHUNKS_PER_PART
