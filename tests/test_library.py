@@ -222,3 +222,12 @@ def test_micro_batches_look_up_their_own_hashes(spark):
     lib.snapshot(target)
     copy = library.Library(spark, scratch_path(spark, "copy"), 2)
     assert copy.restore(target) and ids(copy.known_hashes(asked)) == [8]
+
+
+def test_frames_of_the_library_queries_are_made_once(spark):
+    """Batches, deletes and vectors read stored documents and chunks: none makes the invoices again."""
+    from quirefold.plans import source_queries
+
+    frames = source_queries._library_frames(spark, "/root/testdata/sf0.001", F.lit(False))
+    for table in ("documents", "chunks", "vectors", "fields"):
+        assert "orders.parquet" not in "".join(frames[table].inputFiles()), table
