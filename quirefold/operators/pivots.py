@@ -17,17 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.operators.ranking import SCORE_DIGITS, stable, top_k
-from quirefold.operators.vectors import _matrix, _TopK
+from quirefold.operators.vectors import _cut, _matrix, _TopK
 from quirefold.session import broadcast_if_small, materialize, measured_bytes
 
 PIVOTS = 64
 BLOCK_ROWS = 64
-QUERY_BYTES = 8 << 20
+QUERY_BYTES = 32 << 20
 #: Seed pairs up to this size are sent to the tasks; more meet their blocks by a shuffle.
 SEED_BYTES = 4 << 20
 #: Blocks per question that are scored first, for the cutoff.
 SEED_BLOCKS = 4
+#: Scores of seeds that a task holds before it keeps the best.
+SEED_ROWS = 1 << 21
 SLACK = 10.0 ** -(SCORE_DIGITS - 1)
+#: What bounds in single precision can be too low by.
+SINGLE = 4e-6
+#: Questions and blocks whose bounds are computed at once, and blocks that are scored at once if most questions need them.
+TILE = 1 << 9
+GROUP = 32
 
 
 @dataclass
@@ -105,36 +112,66 @@ class Search:
     work: DataFrame
 
 
-def _bounds(batch: pa.RecordBatch, far: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """(questions, blocks): the highest cosine that a block's vectors can have; 2 where there is no bound."""
-    out = np.full((len(far), batch.num_rows), 2.0)
-    low, high = batch.column("low"), batch.column("high")
-    for k in range(batch.num_rows):
-        if low[k].is_valid:
-            least = np.maximum(far - high[k].values.to_numpy(), low[k].values.to_numpy() - far).max(axis=1)
-            out[:, k] = np.where(free, 2.0, 1 - np.maximum(least, 0) ** 2 / 2)
-    return out
+class _Bounds:
+    """What is known of a batch of blocks: the highest cosines that a block's vectors can have, for a tile of questions at a time."""
+
+    def __init__(self, batch: pa.RecordBatch, far: np.ndarray, free: np.ndarray):
+        self.far, self.free, self.n = far, free, batch.num_rows
+        self.known = np.asarray(batch.column("low").is_valid())
+        sides = [np.asarray(batch.column(c).flatten(), dtype=np.float32).reshape(-1, far.shape[1]) if self.known.any() else np.zeros((0, far.shape[1]), np.float32) for c in ("low", "high")]
+        self.low, self.high = (np.ascontiguousarray(x.T) for x in sides)
+
+    def of(self, at: int) -> np.ndarray:
+        """(questions of the tile that begins at ``at``, blocks); 2 where there is no bound. Single precision: too low by ``SINGLE`` at most."""
+        far = self.far[at : at + TILE]
+        out = np.full((len(far), self.n), 2.0, np.float32)
+        places = np.flatnonzero(self.known)
+        for lo in range(0, len(places), TILE):
+            width = min(TILE, len(places) - lo)
+            least, gap = np.zeros((len(far), width), np.float32), np.empty((len(far), width), np.float32)
+            for p in range(far.shape[1]):
+                mine = far[:, p, None]
+                np.maximum(least, np.subtract(mine, self.high[p, lo : lo + width], out=gap), out=least)
+                np.maximum(least, np.subtract(self.low[p, lo : lo + width], mine, out=gap), out=least)
+            out[:, places[lo : lo + width]] = 1 - least * least / 2
+        out[self.free[at : at + TILE]] = 2
+        return out
 
 
 def _score(index: PivotIndex, query_ids: np.ndarray, queries: np.ndarray, far: np.ndarray, free: np.ndarray, cutoff: np.ndarray, k: int) -> DataFrame:
-    """(query_id, key, score): the k best of each task in the blocks whose bound reaches a question's cutoff, read where they lie.
+    """(q, query_id, key, score): the k best of each task in the blocks whose bound reaches a question's cutoff, read where they lie, and
+    (q, query_id, scored): how many vectors these blocks have.
 
-    The bounds are computed beside the vectors, so no list of questions and blocks is written, joined or sent.
+    The bounds are computed beside the vectors, so no list of questions and blocks is written, joined or sent. Neighbouring blocks that
+    most questions of a tile need are multiplied at once, the others with the questions that need them.
     """
     key = index.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _TopK(query_ids, queries, k)
+        top, scored = _TopK(query_ids, queries, k, cutoff), np.zeros(len(far), np.int64)
         for batch in batches:
-            for part in range(batch.num_rows):
-                one = batch.slice(part, 1)
-                own = np.flatnonzero(_bounds(one, far, free)[:, 0] + SLACK >= np.maximum(cutoff, top.floor))
-                if len(own):
-                    ids = one.column("ids")[0].values.to_numpy()
-                    top.add(ids, one.column("vectors")[0].values.to_numpy().reshape(len(ids), -1), own)
-        yield top.batch(key)
-
-    return index.blocks.select("low", "high", "ids", "vectors").mapInArrow(run, f"query_id long, {key} long, score double")
+            bounds, n = _Bounds(batch, far, free), np.asarray(batch.column("n"))
+            start = np.append(0, np.cumsum(n))
+            ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
+            vectors = np.asarray(batch.column("vectors").flatten()).reshape(len(ids), -1)
+            for at in range(0, len(far), TILE):
+                bound = bounds.of(at)
+                scored[at : at + TILE] += (bound + (SLACK + SINGLE) >= cutoff[at : at + TILE, None]) @ n
+                for lo in range(0, len(n), GROUP):
+                    reach = bound[:, lo : lo + GROUP] + (SLACK + SINGLE) >= top.floor[at : at + TILE, None]
+                    groups = [(lo, lo + reach.shape[1], reach.any(axis=1))] if reach.mean() > 0.5 else [(lo + i, lo + i + 1, reach[:, i]) for i in np.flatnonzero(reach.any(axis=0))]
+                    for first, end, need in groups:
+                        some = slice(start[first], start[end])
+                        top.add(ids[some], vectors[some], at + np.flatnonzero(need))
+        for part, values in ((True, top.batch(key)), (False, scored)):
+            q = top.rows() if part else np.flatnonzero(scored)
+            none = lambda kind: pa.nulls(len(q), kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q, pa.int32()), pa.array(query_ids[q], pa.int64()), values.column(1) if part else none(pa.int64()),
+                 values.column(2) if part else none(pa.float64()), none(pa.int64()) if part else pa.array(scored[q], pa.int64())],
+                names=["q", "query_id", key, "score", "scored"])
+
+    return index.blocks.select("n", "low", "high", "ids", "vectors").mapInArrow(run, f"q int, query_id long, {key} long, score double, scored long")
 
 
 def _score_seeds(index: PivotIndex, seeds: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
@@ -144,12 +181,22 @@ def _score_seeds(index: PivotIndex, seeds: DataFrame, query_ids: np.ndarray, que
     rows = index.blocks.select("block", "ids", "vectors").join(broadcast_if_small(asked, SEED_BYTES), "block").select("ids", "vectors", "qs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _TopK(query_ids, queries, k)
+        held, size = [], 0
+
+        def best() -> tuple:
+            return _cut(*[np.concatenate([x[i] for x in held]) for i in range(3)], k)[:3]
+
         for batch in batches:
             for ids, flat, qs in zip(batch.column(0), batch.column(1), batch.column(2)):
-                ids = ids.values.to_numpy()
-                top.add(ids, flat.values.to_numpy().reshape(len(ids), -1), qs.values.to_numpy())
-        yield top.batch(key)
+                ids, qs = ids.values.to_numpy(), qs.values.to_numpy()
+                scores = queries[qs] @ flat.values.to_numpy().reshape(len(ids), -1).T
+                held.append((np.repeat(qs.astype(np.int64), len(ids)), scores.ravel(), np.tile(ids, len(qs))))
+                size += scores.size
+                if size > SEED_ROWS:
+                    held, size = [best()], 0
+        if held:
+            q, scores, ids = best()
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query_id", key, "score"])
 
     return rows.mapInArrow(run, f"query_id long, {key} long, score double")
 
@@ -158,39 +205,30 @@ def _search_block(index: PivotIndex, table: pa.Table, k: int) -> Search:
     spark = index.blocks.sparkSession
     query_ids, queries = np.asarray(table["query_id"]), _matrix(table["embedding"])
     free = ~queries.any(axis=1)  # a zero question has the same cosine with all vectors
-    far = _distances(queries, index.pivots)
+    far = _distances(queries, index.pivots).astype(np.float32)
     order = [stable(F.col("score")).desc(), F.asc(index.key)]
     summary = index.blocks.select("block", "n", "low", "high")
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = _bounds(batch, far, free)
             n = min(SEED_BLOCKS, batch.num_rows)
-            if n:
+            bounds = _Bounds(batch, far, free)
+            for at in range(0, len(far) if n else 0, TILE):
+                bound = bounds.of(at)
                 best = np.argpartition(-bound, n - 1, axis=1)[:, :n]
-                q = np.repeat(np.arange(len(far)), n)
+                q = np.repeat(np.arange(len(bound)), n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int32()), batch.column("block").take(pa.array(best.ravel())), pa.array(bound[q, best.ravel()])], names=["q", "block", "bound"])
+                    [pa.array(at + q, pa.int32()), batch.column("block").take(pa.array(best.ravel())), pa.array(bound[q, best.ravel()], pa.float64())], names=["q", "block", "bound"])
 
     seeds = top_k(summary.mapInArrow(seed, "q int, block long, bound double"), "q", SEED_BLOCKS, [F.desc("bound"), F.asc("block")])
     first = top_k(_score_seeds(index, materialize(seeds.select("q", "block"), "seeds"), query_ids, queries, k), "query_id", k, order)
-    names = spark.createDataFrame(pa.table({"query_id": pa.array(query_ids, pa.int64()), "q": pa.array(np.arange(len(query_ids)), pa.int32())}))
-    cutoff = np.full(len(query_ids), -2.0)
-    for row in first.filter(F.col("rnk") == k).join(F.broadcast(names), "query_id").select("q", "score").collect():  # a row a question
-        cutoff[row["q"]] = row["score"]
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = np.zeros(len(far), np.int64)
-        for batch in batches:
-            scored += (_bounds(batch, far, free) + SLACK >= cutoff[:, None]) @ batch.column("n").to_numpy()
-        q = np.flatnonzero(scored)
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(scored[q], pa.int64())], names=["q", "scored"])
-
-    hits = top_k(_score(index, query_ids, queries, far, free, cutoff, k), "query_id", k, order).select("query_id", "rnk", index.key, "score")
-    total = summary.agg(F.sum("n").alias("vectors"))
-    scored = summary.mapInArrow(reach, "q int, scored long").groupBy("q").agg(F.sum("scored").alias("scored")).join(F.broadcast(names), "q")
-    work = scored.crossJoin(F.broadcast(total)).select("query_id", "vectors", "scored")  # the total is one row
-    return Search(materialize(hits, "pivot-hits"), materialize(work, "pivot-work"))  # written: the plan keeps no block of questions
+    last = {row["query_id"]: row["score"] for row in first.filter(F.col("rnk") == k).select("query_id", "score").collect()}  # a row a question
+    cutoff = np.array([last.get(i, -2.0) for i in query_ids.tolist()])
+    found = materialize(_score(index, query_ids, queries, far, free, cutoff, k), "pivot-found")  # written: the plan keeps no block of questions
+    hits = top_k(found.filter("scored is null"), "query_id", k, order).select("query_id", "rnk", index.key, "score")
+    scored = found.filter("scored is not null").groupBy("q", "query_id").agg(F.sum("scored").alias("scored"))
+    work = scored.crossJoin(F.broadcast(summary.agg(F.sum("n").alias("vectors")))).select("query_id", "vectors", "scored")  # the total is one row
+    return Search(hits, work)
 
 
 def search(queries: DataFrame, index: PivotIndex, k: int) -> Search:

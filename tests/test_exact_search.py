@@ -155,3 +155,22 @@ def test_totals_of_substrings_meet_a_place_once_per_needle(spark):
     assert "Scan parquet" in (plan := substring.search(many, index, [], totals)._jdf.queryExecution().executedPlan().toString()) and "low#" not in plan
     alike = substring.build(spark.range(600).select(F.format_string("pay invoice %d now", "id").alias("text")))
     assert alike.grams.count() < 600 * 16 / 3
+
+
+def test_pivots_for_many_tiles_of_questions(spark, monkeypatch):
+    """Questions in several tiles and groups of blocks; bounds in single precision hold for every vector of a block, with the slack that is added."""
+    monkeypatch.setattr(pivots, "GROUP", 3)
+    monkeypatch.setattr(pivots, "SEED_ROWS", 500)
+    rng = np.random.default_rng(7)
+    matrix = np.repeat(rng.standard_normal((13, 12)), 90, axis=0) + 0.3 * rng.standard_normal((1170, 12))
+    matrix[40:70], matrix[600] = matrix[39], 0
+    assert same(spark, matrix, matrix, 6, block_rows=16) > 0.1
+    index = pivots.build(frame(spark, matrix), block_rows=16)
+    units = matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)[:, None]
+    batch = index.blocks.toArrow().combine_chunks().to_batches()[0]
+    far = pivots._distances(units, index.pivots).astype(np.float32)
+    bounds = pivots._Bounds(batch, far, ~units.any(axis=1))
+    for at in range(0, len(units), pivots.TILE):
+        bound = bounds.of(at) + pivots.SLACK + pivots.SINGLE
+        for b, ids in enumerate(batch.column("ids").to_pylist()):
+            assert (bound[:, b] >= (units[at : at + pivots.TILE] @ units[ids].T).max(axis=1)).all()
